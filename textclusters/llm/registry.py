@@ -8,32 +8,67 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textclusters.llm import bpe, pii, quality, simhash
+from textclusters.llm import bpe, decontaminate, licenses, linededup, pii, quality, simhash, urlfilter
+from textclusters.llm.oracles import ORACLES
 from textclusters.llm.shared import documents
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every test item that a document holds, within the error budget."""
+    return decontaminate.contaminated(documents(spark, sf_dir), _table(spark, sf_dir, "benchmark"))
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every text: counts, hash of the base spans, all spans."""
     return pii.digest(pii.personal_data(documents(spark, sf_dir)))
 
 
+def op3_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of every page.
+
+    A page shows the document whose number ends its path; that one's labels are
+    the page's: bad if of low quality or toxic.
+    """
+    pages = _table(spark, sf_dir, "pages")
+    labels = _table(spark, sf_dir, "labels")
+    number = F.regexp_extract(urlfilter.path_of(F.col("url")), r"([0-9]+)[^0-9]*$", 1).try_cast("long")
+    bad = F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).otherwise(0)
+    of_page = pages.select("page_id", number.alias("doc_id")).join(labels, "doc_id").select("page_id", bad.alias("bad"))
+    return urlfilter.judge(pages, of_page)
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
     found = simhash.near_duplicates(documents(spark, sf_dir))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line or whole text that is a licence notice."""
+    return licenses.matches(documents(spark, sf_dir))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality measures and verdict for every document."""
     return quality.quality(documents(spark, sf_dir))
 
 
+def op8_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What line deduplication takes from every document, and a hash of what it leaves."""
+    done = linededup.dedup_lines(documents(spark, sf_dir))
+    return done.select("doc_id", "n_lines", "n_removed", "n_runs", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts and hashes of the ids and of the decoded bytes."""
     return bpe.digest_documents(documents(spark, sf_dir), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op2_pii, op4_simhash, op7_quality, op9_bpe)}
-ORACLES = {}
+__all__ = ["ORACLES", "QUERIES"]
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_pii, op3_urlfilter, op4_simhash, op6_licenses, op7_quality, op8_linededup, op9_bpe)}
