@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textclusters.llm.shared import map_batches, texts_of
+from textclusters.llm.shared import keep_rows, map_batches, texts_of
 
 #: Edits allowed for each character of an item; characters from which an item is long enough to tell a leak from chance.
 ERROR_RATE, MIN_CHARS = 0.08, 24
@@ -192,3 +192,20 @@ def _against(docs: DataFrame, block: list[tuple[str, list[int]]], rate: float) -
         return work
 
     return map_batches(docs, make, SCHEMA)
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_RATE, min_chars: int = MIN_CHARS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of docs, with all their columns, that hold no item of benchmark; no shuffle."""
+    for block in blocks(benchmark, min_chars, block_bytes):
+        docs = _without(docs, block, error_rate)
+    return docs
+
+
+def _without(docs: DataFrame, block: list[tuple[str, list[int]]], rate: float) -> DataFrame:
+    sent = docs.sparkSession.sparkContext.broadcast(block)
+
+    def make():
+        matcher = Matcher(sent.value, rate)
+        return lambda texts: [next(matcher.find(normal(x)), None) is None for x in texts]
+
+    return keep_rows(docs, make)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textclusters.llm.shared import map_batches
+from textclusters.llm.shared import keep_rows, map_batches, texts_of
 
 #: Words below which a document fails, and the share of words in repeated three-word windows beyond which it does.
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
@@ -132,6 +132,14 @@ def measures(texts: list[str], min_repeat: int = MIN_REPEAT) -> dict[str, np.nda
     }
 
 
+def verdicts(texts: list[str], min_repeat: int, max_covered_percent: int, max_longest: int) -> dict[str, np.ndarray]:
+    """The measures of each text with base_failed and kept."""
+    got = measures(texts, min_repeat)
+    failed = (got["n_words"] < MIN_WORDS) | (100 * got["n_repeat_words"] > MAX_REPEAT_PERCENT * got["n_words"])
+    kept = ~failed & (100 * got["covered_words"] <= max_covered_percent * got["n_words"]) & (got["longest_repeat"] <= max_longest)
+    return got | {"base_failed": failed, "kept": kept}
+
+
 def quality(docs: DataFrame, min_repeat: int = MIN_REPEAT, max_covered_percent: int = MAX_COVERED_PERCENT, max_longest: int = MAX_LONGEST) -> DataFrame:
     """SCHEMA's columns for every row of docs(doc_id, text).
 
@@ -145,12 +153,14 @@ def quality(docs: DataFrame, min_repeat: int = MIN_REPEAT, max_covered_percent:
 
     def make():
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            got = measures([x or "" for x in batch.column("text").to_pylist()], min_repeat)
-            failed = (got["n_words"] < MIN_WORDS) | (100 * got["n_repeat_words"] > MAX_REPEAT_PERCENT * got["n_words"])
-            kept = ~failed & (100 * got["covered_words"] <= max_covered_percent * got["n_words"]) & (got["longest_repeat"] <= max_longest)
-            got |= {"base_failed": failed, "kept": kept}
+            got = verdicts(texts_of(batch), min_repeat, max_covered_percent, max_longest)
             return pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, got.values())], names=["doc_id", *got])
 
         return work
 
     return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), make, SCHEMA)
+
+
+def keep_good(docs: DataFrame, min_repeat: int = MIN_REPEAT, max_covered_percent: int = MAX_COVERED_PERCENT, max_longest: int = MAX_LONGEST) -> DataFrame:
+    """The rows of docs, with all their columns, that quality() keeps; no shuffle."""
+    return keep_rows(docs, lambda: lambda texts: verdicts(texts, min_repeat, max_covered_percent, max_longest)["kept"].tolist())

@@ -144,3 +144,20 @@ def near_duplicates(docs: DataFrame, words_in_shingle: int = 3) -> DataFrame:
     rooted = each.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     named = rooted.join(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("fp", "component_id")
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, words_in_shingle: int = 3) -> DataFrame:
+    """The rows of docs, with all their columns, less those that near_duplicates()
+    links to a smaller doc_id: one document of each component stays.
+
+    Rows without doc_id stay. Where doc_ids repeat, rows that repeat both doc_id and
+    text become one, and of rows with one doc_id and other texts all go if one does.
+    """
+    found = near_duplicates(docs, words_in_shingle)
+    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
+    kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    ids = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
+    if ids.isEmpty():
+        return kept
+    nameless = kept.where("doc_id IS NULL")
+    return kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id", "text"]).unionByName(nameless)
