@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textclusters.llm import bpe, decontaminate, licenses, linededup, pii, quality, simhash, urlfilter
+from textclusters.llm import bpe, decontaminate, licenses, linededup, lmscore, pii, quality, simhash, urlfilter
 from textclusters.llm.oracles import ORACLES
 from textclusters.llm.shared import documents
 
@@ -70,5 +70,10 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest_documents(documents(spark, sf_dir), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
 
 
+def op10_lmscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and model log10 probabilities of every document."""
+    return lmscore.score(documents(spark, sf_dir))
+
+
 __all__ = ["ORACLES", "QUERIES"]
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_pii, op3_urlfilter, op4_simhash, op6_licenses, op7_quality, op8_linededup, op9_bpe)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_pii, op3_urlfilter, op4_simhash, op6_licenses, op7_quality, op8_linededup, op9_bpe, op10_lmscore)}
