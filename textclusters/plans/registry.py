@@ -1,4 +1,274 @@
-"""All registered queries by name, and the DuckDB SQL for each."""
+"""All registered queries by name; each runs over whole tables."""
 
-QUERIES = {}
-ORACLES = {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from textclusters.operators import annotated, brown, counts, dependency, index, opinions, pmi
+from textclusters.plans.oracles import ORACLES
+from textclusters.sources import adapters
+from textclusters.sources.tables import table
+
+#: The parameters of the clustering queries.
+MIN_FREQ, MAX_VOCAB, N_CLUSTERS = 3, 8000, 256
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents")
+
+
+def _sentences(spark, sf_dir) -> DataFrame:
+    return adapters.sentences(_documents(spark, sf_dir))
+
+
+def bigram_counts(spark, sf_dir):
+    """Adjacent words and sentinels with their counts."""
+    return counts.bigram_counts(_sentences(spark, sf_dir))
+
+
+def unigram_counts(spark, sf_dir):
+    """Words with their counts."""
+    return counts.unigram_counts(_sentences(spark, sf_dir))
+
+
+def bigram_counts_by_group(spark, sf_dir):
+    """Adjacent words with their counts for each language."""
+    return counts.bigram_counts(_sentences(spark, sf_dir), "grp")
+
+
+def vocabulary(spark, sf_dir):
+    """The most frequent words by rank."""
+    return counts.vocabulary(unigram_counts(spark, sf_dir), MIN_FREQ, MAX_VOCAB)
+
+
+def filtered_bigrams(spark, sf_dir):
+    """Bigrams of the vocabulary and the sentinels."""
+    return counts.filtered_bigrams(bigram_counts(spark, sf_dir), vocabulary(spark, sf_dir))
+
+
+def filtered_unigrams(spark, sf_dir):
+    """Unigrams of the vocabulary and the sentinels."""
+    return counts.filtered_unigrams(unigram_counts(spark, sf_dir), vocabulary(spark, sf_dir))
+
+
+def bigram_mass(spark, sf_dir):
+    """The sum of the filtered bigrams' counts."""
+    return counts.bigram_mass(filtered_bigrams(spark, sf_dir))
+
+
+def _weights(spark, sf_dir) -> DataFrame:
+    kept = filtered_bigrams(spark, sf_dir)
+    return pmi.weighted_pmi(kept, filtered_unigrams(spark, sf_dir), counts.bigram_mass(kept))
+
+
+def weighted_pmi(spark, sf_dir):
+    """Weighted pointwise mutual information of the filtered bigrams."""
+    return _weights(spark, sf_dir).withColumn("wpmi", F.round("wpmi", 6))
+
+
+def seed_clusters(spark, sf_dir):
+    """The most frequent words, each its own cluster."""
+    return brown.seed_clusters(vocabulary(spark, sf_dir), N_CLUSTERS)
+
+
+def seed_affinity(spark, sf_dir):
+    """Affinity of each word to each seed that it shares a pair with."""
+    return pmi.affinities(_weights(spark, sf_dir), seed_clusters(spark, sf_dir))
+
+
+def seed_assignment(spark, sf_dir):
+    """Cluster of every word of the vocabulary if only the seeds are members."""
+    vocab, seeds = vocabulary(spark, sf_dir), seed_clusters(spark, sf_dir)
+    rest = vocab.where(F.col("rank") > N_CLUSTERS).select("word")
+    near = pmi.nearest_cluster(rest, pmi.affinities(_weights(spark, sf_dir), seeds), N_CLUSTERS)
+    return brown.with_sentinels(seeds.unionByName(near))
+
+
+def brown_clusters(spark, sf_dir):
+    """Cluster of every word of the vocabulary by greedy assignment."""
+    return brown.brown_cluster(_sentences(spark, sf_dir), N_CLUSTERS, MIN_FREQ, MAX_VOCAB)
+
+
+def brown_clusters_by_group(spark, sf_dir):
+    """Greedy clusters for each language on its own."""
+    return brown.brown_cluster(_sentences(spark, sf_dir), N_CLUSTERS, MIN_FREQ, MAX_VOCAB, "grp")
+
+
+def brown_cluster_sizes(spark, sf_dir):
+    """Words in each of the greedy clusters."""
+    return brown.cluster_sizes(brown_clusters(spark, sf_dir))
+
+
+def cluster_sizes(spark, sf_dir):
+    """Words in each cluster of the seed assignment."""
+    return brown.cluster_sizes(seed_assignment(spark, sf_dir))
+
+
+def cluster_mass(spark, sf_dir):
+    """Occurrences of the words in each cluster of the seed assignment."""
+    return brown.cluster_mass(seed_assignment(spark, sf_dir), unigram_counts(spark, sf_dir))
+
+
+def cluster_lookup(spark, sf_dir):
+    """Every word of every sentence with its cluster by the seed assignment."""
+    words = _sentences(spark, sf_dir).select("doc_id", "line_no", F.posexplode("words").alias("place", "word"))
+    return brown.get_cluster(words, seed_assignment(spark, sf_dir))
+
+
+def _raw(spark, sf_dir) -> DataFrame:
+    return adapters.annotated(_documents(spark, sf_dir))
+
+
+def _parsed(spark, sf_dir) -> annotated.Parsed:
+    return annotated.parse_annotated(_raw(spark, sf_dir))
+
+
+def line_kinds(spark, sf_dir):
+    """Lines of each kind in every annotated sentence."""
+    rows = annotated.lines(_raw(spark, sf_dir)).groupBy("sid", "kind").agg(F.count("*").alias("n_lines"))
+    return rows
+
+
+def chunks(spark, sf_dir):
+    """Chunks with parent, type and labels."""
+    from textclusters.functions.annotation import chunk_label
+
+    rows = _parsed(spark, sf_dir).chunks
+    return rows.select("sid", "chunk_id", "kind", "parent", "dep_type", chunk_label(F.col("cases"), F.col("entities")).alias("label"))
+
+
+def morphemes(spark, sf_dir):
+    """Morphemes with their chunk and their offsets."""
+    return _parsed(spark, sf_dir).morphemes
+
+
+def morpheme_display(spark, sf_dir):
+    """Morphemes as tables show them."""
+    return annotated.morpheme_display(morphemes(spark, sf_dir))
+
+
+def case_links(spark, sf_dir):
+    """Case links of every chunk."""
+    return _parsed(spark, sf_dir).chunks.select("sid", "chunk_id", F.posexplode("cases").alias("idx", "x")).select("sid", "chunk_id", "idx", "x.word", "x.marker", "x.position")
+
+
+def entities(spark, sf_dir):
+    """Named entities of every chunk."""
+    return _parsed(spark, sf_dir).chunks.select("sid", "chunk_id", F.posexplode("entities").alias("idx", "x")).select("sid", "chunk_id", "idx", "x.type", "x.word")
+
+
+def sentence_table(spark, sf_dir):
+    """Sentences with article, numbers, header and text."""
+    return _parsed(spark, sf_dir).sentences
+
+
+def chunk_text(spark, sf_dir):
+    """Text and labels of every chunk."""
+    parsed = _parsed(spark, sf_dir)
+    return annotated.chunk_texts(parsed.chunks, parsed.morphemes)
+
+
+def sentence_text(spark, sf_dir):
+    """Text of every block of every sentence file."""
+    return annotated.block_texts(_raw(spark, sf_dir))
+
+
+def plain_text(spark, sf_dir):
+    """Text of every sentence file without marker lines."""
+    return annotated.plain_texts(_raw(spark, sf_dir))
+
+
+def children(spark, sf_dir):
+    """Children of every chunk that has any."""
+    rows = dependency.children(_parsed(spark, sf_dir).chunks)
+    return rows.select("sid", "parent", F.array_join(F.col("children").cast("array<string>"), ",").alias("children"), "min_child")
+
+
+def chunk_counts(spark, sf_dir):
+    """Chunks of every sentence."""
+    return dependency.chunk_counts(_parsed(spark, sf_dir).chunks)
+
+
+def _grid(spark, sf_dir) -> DataFrame:
+    return dependency.dependency_grid(_parsed(spark, sf_dir).chunks)
+
+
+def grid_cells(spark, sf_dir):
+    """Cells of each class in every sentence's grid."""
+    return _grid(spark, sf_dir).groupBy("sid", "class").agg(F.count("*").alias("n_cells"))
+
+
+def grid_rows(spark, sf_dir):
+    """The drawn row of every chunk."""
+    return dependency.grid_rows(_grid(spark, sf_dir))
+
+
+def _opinions(spark, sf_dir):
+    documents = _documents(spark, sf_dir)
+    rows = adapters.opinion_rows(documents, table(spark, sf_dir, "benchmark"))
+    return documents, opinions.locate_opinions(rows, order=("item_id",))
+
+
+def opinion_spans(spark, sf_dir):
+    """Opinions with the place of their expressions."""
+    return _opinions(spark, sf_dir)[1][0]
+
+
+def opinion_overlap(spark, sf_dir):
+    """Morphemes inside an opinion span, with the lowest span's number."""
+    documents, (found, _) = _opinions(spark, sf_dir)
+    return opinions.overlaps(adapters.document_morphemes(documents), found)
+
+
+def morpheme_offsets(spark, sf_dir):
+    """Every word of every document with its offsets in the joined text."""
+    return adapters.document_morphemes(_documents(spark, sf_dir))
+
+
+def chunk_opinions(spark, sf_dir):
+    """Labels of every chunk of every document."""
+    documents, (found, _) = _opinions(spark, sf_dir)
+    return opinions.label_chunks(adapters.document_morphemes(documents), found)
+
+
+def article_categories(spark, sf_dir):
+    """Articles with their category."""
+    return index.articles(_parsed(spark, sf_dir).sentences, adapters.LANGS)
+
+
+def _headings(spark, sf_dir):
+    return index.article_headings(_parsed(spark, sf_dir).sentences, plain_text(spark, sf_dir), adapters.LANGS)
+
+
+def article_headings(spark, sf_dir):
+    """Articles with the text of their first sentence, by category and name."""
+    return index.category_index(_headings(spark, sf_dir)[0])
+
+
+def article_rejects(spark, sf_dir):
+    """Articles without a first sentence or a category."""
+    return _headings(spark, sf_dir)[1]
+
+
+def category_sizes(spark, sf_dir):
+    """Articles in each category."""
+    return index.category_sizes(_headings(spark, sf_dir)[0])
+
+
+def sentence_order(spark, sf_dir):
+    """Every sentence's place in its article."""
+    return index.sentence_order(_parsed(spark, sf_dir).sentences)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        (bigram_counts, unigram_counts, bigram_counts_by_group, vocabulary, filtered_bigrams, filtered_unigrams, bigram_mass)
+        + (weighted_pmi, seed_clusters, seed_affinity, seed_assignment, brown_clusters, brown_clusters_by_group, brown_cluster_sizes)
+        + (cluster_sizes, cluster_mass, cluster_lookup, line_kinds, chunks, morphemes, morpheme_display, case_links, entities)
+        + (sentence_table, chunk_text, sentence_text, plain_text, children, chunk_counts, grid_cells, grid_rows)
+        + (opinion_spans, opinion_overlap, morpheme_offsets, chunk_opinions)
+        + (article_categories, article_headings, article_rejects, category_sizes, sentence_order)
+    )
+}
+
+__all__ = ["ORACLES", "QUERIES"]
