@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textclusters.llm import bpe, decontaminate, licenses, linededup, lmscore, pii, quality, simhash, urlfilter
+from textclusters.llm import bpe, decontaminate, licenses, linededup, lmscore, pii, quality, simhash, substrings, urlfilter
 from textclusters.llm.oracles import ORACLES
 from textclusters.llm.shared import documents
 
@@ -49,6 +49,11 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the removal of repeated strings of 100 bytes takes from every document."""
+    return substrings.dedup_substrings(documents(spark, sf_dir)).drop("kept")
+
+
 def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every line or whole text that is a licence notice."""
     return licenses.matches(documents(spark, sf_dir))
@@ -76,4 +81,4 @@ def op10_lmscore(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 __all__ = ["ORACLES", "QUERIES"]
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_pii, op3_urlfilter, op4_simhash, op6_licenses, op7_quality, op8_linededup, op9_bpe, op10_lmscore)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_pii, op3_urlfilter, op4_simhash, op5_substrings, op6_licenses, op7_quality, op8_linededup, op9_bpe, op10_lmscore)}

@@ -1,5 +1,6 @@
 """Small helpers that the corpus operators share."""
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -40,6 +41,16 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that nobody holds any more.
+
+    Spark does so when the driver's JVM collects its garbage, which on a driver
+    with little to do may be long after the disks have filled.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str) -> DataFrame:
     """Apply an Arrow batch function to every batch of df, without a shuffle.
 
