@@ -1,0 +1,144 @@
+"""Parsing, dependencies, opinions and the index on small hand-made cases."""
+
+import pytest
+
+from textclusters.operators import annotated, dependency, index, opinions
+from textclusters.sources import corpus
+
+GOOD = """# S-ID:KN1_Kyoto_1-1-1-01 x
+* 1D <a><C用;【京都】;ガ;0;0;9.999:KN1(同一文):0タグ><NE:LOCATION:京都>
+京都 きょうと 京都 名詞 6 地名 4 * 0 * 0 "x"
++ 3P <C用;【私】;メモ;0;0;9.999:KN1(1文前):0タグ>
+は は は 助詞 9 副助詞 2 * 0 * 0
+* -1D <C用;【人】;ヲ;0;0;9.999:KN1(1文前):0タグ>
+良い よい 良い 形容詞 3 * 0 イ形容詞 19 基本形 2
+EOS
+"""
+
+
+def raw(spark, *texts):
+    return spark.createDataFrame([(f"KN{i}_Kyoto_1-1-{i}-01", t) for i, t in enumerate(texts, 1)], "sid string, value string")
+
+
+def test_chunks_morphemes_and_sentence(spark):
+    parsed = annotated.parse_annotated(raw(spark, GOOD))
+    got = parsed.chunks.orderBy("chunk_id").collect()
+    assert [(r.chunk_id, r.kind, r.parent, r.dep_type) for r in got] == [(0, "*", 1, "D"), (1, "+", 3, "P"), (2, "*", -1, "D")]
+    assert [tuple(x) for x in got[0].cases] == [("京都", "ガ", "同一文")] and [tuple(x) for x in got[0].entities] == [("LOCA", "京都")]
+    places = [(r.surface, r.chunk_id, r.off_start, r.off_end, r.pos2, r.conj_type, r.conj_form) for r in parsed.morphemes.orderBy("ln").collect()]
+    assert places == [("京都", 0, 0, 1, "地名", "*", "*"), ("は", 1, 2, 2, "副助詞", "*", "*"), ("良い", 2, 3, 4, "*", "イ形容詞", "基本形")]
+    one = parsed.sentences.first()
+    assert (one.article, one.sent_no, one.sub_no, one.text) == ("KN1_Kyoto_1", 1, 1, "京都は良い") and one.header.startswith("# S-ID")
+    assert parsed.rejects.count() == 0
+
+
+def test_labels(spark):
+    parsed = annotated.parse_annotated(raw(spark, GOOD))
+    got = {r.chunk_id: (r.text, r.label) for r in annotated.chunk_texts(parsed.chunks, parsed.morphemes).collect()}
+    assert got == {0: ("京都", "京都:ガ, LOCA:京都"), 1: ("は", "メモ:私"), 2: ("良い", "人:ヲ:1文前")}
+
+
+def test_stars_are_shown_as_nothing(spark):
+    shown = annotated.morpheme_display(annotated.parse_annotated(raw(spark, GOOD)).morphemes).orderBy("ln").collect()
+    assert [(r.pos, r.conj) for r in shown] == [("名詞 地名", " "), ("助詞 副助詞", " "), ("形容詞 ", "イ形容詞 基本形")]
+
+
+def test_malformed_link_is_rejected_and_the_rest_kept(spark):
+    bad = GOOD.replace("【京都】;ガ", "【>】;ガ", 1)
+    parsed = annotated.parse_annotated(raw(spark, bad, GOOD))
+    assert [(r.sid, r.reason) for r in parsed.rejects.collect()] == [("KN1_Kyoto_1-1-1-01", "link")]
+    assert parsed.chunks.count() == 5 and parsed.morphemes.count() == 6
+    with pytest.raises(Exception, match="malformed link"):
+        annotated.parse_annotated(raw(spark, bad), strict=True).chunks.collect()
+
+
+def test_several_sentences_in_a_file_and_plain_text(spark):
+    two = raw(spark, "# x\n* -1D\na a a\nEOS\n* -1D\nEnd e e\nb b b\nEOS\nrest r r\n")
+    assert [(r.block, r.text) for r in annotated.block_texts(two).orderBy("block").collect()] == [(0, "a"), (1, "Endb")]
+    assert annotated.plain_texts(two).first().text == "abrest"
+
+
+def test_empty_and_null_files(spark):
+    rows = spark.createDataFrame([("s-1-01", ""), ("t-1-01", None)], "sid string, value string")
+    parsed = annotated.parse_annotated(rows)
+    assert parsed.chunks.count() == 0 and parsed.rejects.count() == 0
+
+
+def chunk_rows(spark, *parents, kinds=None):
+    return spark.createDataFrame([("s", i, p, (kinds or "D" * 99)[i]) for i, p in enumerate(parents)], "sid string, chunk_id int, parent int, dep_type string")
+
+
+def test_grid(spark):
+    grid = dependency.dependency_grid(chunk_rows(spark, 2, 2, 3, -1, kinds="DPDD"))
+    assert {r.i: r.drawing for r in dependency.grid_rows(grid).collect()} == {0: "━┓　", 1: "P　", 2: "┓"}
+    classes = {(r.i, r.j): r["class"] for r in grid.collect()}
+    assert classes[1, 2] == "joins" and classes[0, 1] == "passes"
+
+
+def test_parent_beyond_the_last_chunk_never_joins(spark):
+    grid = dependency.dependency_grid(chunk_rows(spark, 9, 2, -1))
+    assert {(r.i, r.j): r["class"] for r in grid.collect()} == {(0, 1): "passes", (0, 2): "passes", (1, 2): "first"}
+
+
+def test_oversized_sentences_are_named(spark):
+    rows = chunk_rows(spark, 1, 2, -1)
+    assert dependency.dependency_grid(rows, 2).count() == 0
+    assert [r.sid for r in dependency.oversized(rows, 2).collect()] == ["s"]
+
+
+def opinion_rows(spark, *rows):
+    return spark.createDataFrame([("s", "今日は良い、良い天気", h, e, t, g) for h, e, t, g in rows], "sid string, sent string, holder string, expr string, type string, target string")
+
+
+def test_opinions_are_split_and_located(spark):
+    good, bad = opinions.locate_opinions(opinion_rows(spark, ("[著者]\\n客", "良い\\n天気", "T\\nU", "x\\ny"), ("0", "良い", "T", "x"), ("[著者]", "悪い", "T", "z"), ("a\\nb", "良い", "T", "w")))
+    assert sorted((r.holder, r.expr, r.start, r.end) for r in good.collect()) == [("[著者]", "良い", 3, 4), ("a", "良い", 3, 4), ("客", "天気", 8, 9)]
+    assert sorted((r.expr or "", r.reason) for r in bad.collect()) == [("", "missing"), ("悪い", "not found")]
+
+
+def test_fewer_holders_drop_expressions(spark):
+    good, _ = opinions.locate_opinions(opinion_rows(spark, ("[著者]\\n", "良い\\n天気", "T", "x")))
+    assert [(r.holder, r.expr) for r in good.collect()] == [("[著者]", "良い")]
+
+
+def test_lowest_span_wins_and_is_labelled_once(spark):
+    words = ["今日", "は", "良い", "、", "良い", "天気"]
+    at, rows = 0, []
+    for i, w in enumerate(words):
+        rows.append(("s", i, i // 2, w, at, at + len(w) - 1))
+        at += len(w)
+    morphemes = spark.createDataFrame(rows, "sid string, ln int, chunk_id int, surface string, off_start int, off_end int")
+    good, _ = opinions.locate_opinions(opinion_rows(spark, ("[著者]\\n客\\n客", "良い\\n良い\\n天気", "T\\nT\\nU", "x\\nx\\ny")))
+    got = {r.chunk_id: (r.labels, r.with_sentiment) for r in opinions.label_chunks(morphemes, good).collect()}
+    assert got == {0: ("", False), 1: ("T[x]", True), 2: ("U[y]:客", True)}
+    marks = {r.ln: r.in_opinion for r in opinions.marked_morphemes(morphemes, good).collect()}
+    assert [i for i, m in sorted(marks.items()) if m] == [2, 5]
+    assert not any(r.in_opinion for r in opinions.marked_morphemes(morphemes, None).collect())
+
+
+def test_index(spark):
+    sentences = spark.createDataFrame([("KN1_Kyoto_1", f"KN1_Kyoto_1-1-{n}-{s}", n) for n, s in ((10, "01"), (2, "01"), (1, "02"), (1, "01"))] + [("KN2_Else_1", "KN2_Else_1-1-1-01", 1)], "article string, sid string, sent_no int")
+    assert [r.sid[-4:] for r in index.sentence_order(sentences).where("article = 'KN1_Kyoto_1'").orderBy("place").collect()] == ["1-01", "1-02", "2-01", "0-01"]
+    texts = spark.createDataFrame([("KN1_Kyoto_1-1-1-01", "京都")], "sid string, text string")
+    good, bad = index.article_headings(sentences, texts)
+    assert [tuple(r) for r in good.collect()] == [("KN1_Kyoto_1", "Kyoto", "京都")]
+    assert [tuple(r) for r in bad.collect()] == [("KN2_Else_1", "category")]
+
+
+def test_files(spark, tmp_path):
+    folder = tmp_path / "corpus" / "KN1_Kyoto_1"
+    folder.mkdir(parents=True)
+    (folder / "KN1_Kyoto_1-1-1-01").write_text(GOOD, encoding="utf-8")
+    (folder / "fileinfos").write_text("no sentence")
+    got = corpus.read_corpus(spark, str(tmp_path / "corpus")).collect()
+    assert [(r.sid, r.value) for r in got] == [("KN1_Kyoto_1-1-1-01", GOOD)]
+    (tmp_path / "a.tsv").write_text("s\tsent\t[著者]\tx\tT\tg\n\ns\tsent\tshort\n", encoding="utf-8")
+    rows = corpus.read_opinions(spark, str(tmp_path / "a.tsv")).orderBy("line").collect()
+    assert [(r.sid, r.holder, r.target) for r in rows] == [("s", "[著者]", "g"), ("s", "short", None)]
+    df = spark.createDataFrame([("Kyoto", "a", 1), ("Sports", "b", 2)], "category string, article string, n int")
+    corpus.write_by_category(df, str(tmp_path / "out"))
+    assert sorted(p.name for p in (tmp_path / "out").glob("category=*")) == ["category=Kyoto", "category=Sports"]
+    clusters = spark.createDataFrame([("a", 1)], "word string, cluster int")
+    corpus.write_clusters(clusters, str(tmp_path / "c"))
+    assert corpus.read_clusters(spark, str(tmp_path / "c")).collect() == clusters.collect()
+    assert corpus.read_stored_opinions(spark, None) is None

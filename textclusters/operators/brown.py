@@ -70,7 +70,7 @@ def brown_cluster(sentences: DataFrame, n_clusters: int = 256, min_freq: int = 3
     alone = ranks.select(group, "rank", F.lit(None).cast("int").alias("other"), F.lit(0).alias("back"), F.lit(0.0).alias("wpmi"))
     assign = _greedy(n_clusters)
 
-    def of_group(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def of_group(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         cluster = assign(pdf)
         return pd.DataFrame({"g": key[0], "rank": np.arange(1, len(cluster)), "cluster": cluster[1:]})
 
