@@ -60,10 +60,8 @@ def brown_cluster(sentences: DataFrame, n_clusters: int = 256, min_freq: int = 3
         raise ValueError("n_clusters must be from 1 to 65535")
     group = group_col or "_group"
     rows = sentences if group_col else sentences.withColumn(group, F.lit(0))
-    unigrams, bigrams = counts.unigram_counts(rows, group), counts.bigram_counts(rows, group)
-    vocab = counts.vocabulary(unigrams, min_freq, max_vocab, group)
-    kept = counts.filtered_bigrams(bigrams, vocab, group)
-    weights = pmi.weighted_pmi(kept, counts.filtered_unigrams(unigrams, vocab, group), counts.bigram_mass(kept, group), group)
+    vocab, unigrams, bigrams, mass = counts.vocabulary_counts(rows, min_freq, max_vocab, group)
+    weights = pmi.weighted_pmi(bigrams, unigrams, mass, group)
     ranks = vocab.select(group, "word", "rank")
     ranked = weights.join(ranks.select(group, F.col("word").alias("prev"), F.col("rank").alias("a")), [group, "prev"]).join(ranks.select(group, F.col("word").alias("curr"), F.col("rank").alias("b")), [group, "curr"]).where("a <> b")
     edges = ranked.select(group, F.greatest("a", "b").alias("rank"), F.least("a", "b").alias("other"), (F.col("a") < F.col("b")).cast("int").alias("back"), "wpmi")

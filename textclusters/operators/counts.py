@@ -5,6 +5,8 @@ group column: counts, vocabularies and all that follows are then made for each
 group on its own. Without one there is a single group.
 """
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,9 +30,14 @@ def unigram_counts(sentences: DataFrame, group_col: str | None = None) -> DataFr
     keys = _keys(group_col)
     words = sentences.select(*keys, F.explode(path_words(F.col("words"))).alias("word"))
     counted = words.groupBy(*keys, "word").agg(F.count("*").alias("cnt"))
+    return counted.unionByName(sentinel_counts(sentences, group_col))
+
+
+def sentinel_counts(sentences: DataFrame, group_col: str | None = None) -> DataFrame:
+    """(word, cnt) of both sentinels: the number of sentences."""
+    keys = _keys(group_col)
     paths = sentences.groupBy(*keys).agg(F.count("*").alias("cnt"))
-    both = paths.select(*keys, F.explode(F.array(F.lit(BOS), F.lit(EOS))).alias("word"), "cnt")
-    return counted.unionByName(both)
+    return paths.select(*keys, F.explode(F.array(F.lit(BOS), F.lit(EOS))).alias("word"), "cnt")
 
 
 def bigram_counts(sentences: DataFrame, group_col: str | None = None) -> DataFrame:
@@ -88,3 +95,24 @@ def filtered_unigrams(unigrams: DataFrame, vocab: DataFrame, group_col: str | No
 def bigram_mass(bigrams: DataFrame, group_col: str | None = None) -> DataFrame:
     """(n double): the sum of the counts."""
     return bigrams.groupBy(*_keys(group_col)).agg(F.coalesce(F.sum("cnt"), F.lit(0)).cast(T.DoubleType()).alias("n"))
+
+
+class Counts(NamedTuple):
+    """The vocabulary, and the counts of its words and pairs with their mass."""
+
+    vocab: DataFrame
+    unigrams: DataFrame
+    bigrams: DataFrame
+    mass: DataFrame
+
+
+def vocabulary_counts(sentences: DataFrame, min_freq: int = 3, max_vocab: int = 8000, group_col: str | None = None) -> Counts:
+    """All that weights and clusters are made from, the corpus read once for words and once for pairs.
+
+    What is used more than once is persisted: at most max_vocab words, and the pairs
+    among them (a group). Lost parts are computed again from their lineage.
+    """
+    vocab = vocabulary(unigram_counts(sentences, group_col), min_freq, max_vocab, group_col).persist()
+    bigrams = filtered_bigrams(bigram_counts(sentences, group_col), vocab, group_col).persist()
+    unigrams = vocab.drop("rank").unionByName(sentinel_counts(sentences, group_col))
+    return Counts(vocab, unigrams, bigrams, bigram_mass(bigrams, group_col))

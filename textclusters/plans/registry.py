@@ -55,14 +55,17 @@ def bigram_mass(spark, sf_dir):
     return counts.bigram_mass(filtered_bigrams(spark, sf_dir))
 
 
-def _weights(spark, sf_dir) -> DataFrame:
-    kept = filtered_bigrams(spark, sf_dir)
-    return pmi.weighted_pmi(kept, filtered_unigrams(spark, sf_dir), counts.bigram_mass(kept))
+def _counted(spark, sf_dir) -> counts.Counts:
+    return counts.vocabulary_counts(_sentences(spark, sf_dir), MIN_FREQ, MAX_VOCAB)
+
+
+def _weights(known: counts.Counts) -> DataFrame:
+    return pmi.weighted_pmi(known.bigrams, known.unigrams, known.mass)
 
 
 def weighted_pmi(spark, sf_dir):
     """Weighted pointwise mutual information of the filtered bigrams."""
-    return _weights(spark, sf_dir).withColumn("wpmi", F.round("wpmi", 6))
+    return _weights(_counted(spark, sf_dir)).withColumn("wpmi", F.round("wpmi", 6))
 
 
 def seed_clusters(spark, sf_dir):
@@ -72,14 +75,16 @@ def seed_clusters(spark, sf_dir):
 
 def seed_affinity(spark, sf_dir):
     """Affinity of each word to each seed that it shares a pair with."""
-    return pmi.affinities(_weights(spark, sf_dir), seed_clusters(spark, sf_dir))
+    known = _counted(spark, sf_dir)
+    return pmi.affinities(_weights(known), brown.seed_clusters(known.vocab, N_CLUSTERS))
 
 
 def seed_assignment(spark, sf_dir):
     """Cluster of every word of the vocabulary if only the seeds are members."""
-    vocab, seeds = vocabulary(spark, sf_dir), seed_clusters(spark, sf_dir)
-    rest = vocab.where(F.col("rank") > N_CLUSTERS).select("word")
-    near = pmi.nearest_cluster(rest, pmi.affinities(_weights(spark, sf_dir), seeds), N_CLUSTERS)
+    known = _counted(spark, sf_dir)
+    seeds = brown.seed_clusters(known.vocab, N_CLUSTERS)
+    rest = known.vocab.where(F.col("rank") > N_CLUSTERS).select("word")
+    near = pmi.nearest_cluster(rest, pmi.affinities(_weights(known), seeds), N_CLUSTERS)
     return brown.with_sentinels(seeds.unionByName(near))
 
 
