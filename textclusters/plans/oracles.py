@@ -170,6 +170,7 @@ SELECT doc_id, line_no, place, word, coalesce(cluster, 0)::INTEGER AS cluster FR
     "sentence_text": _sql(_PIECES, "SELECT sid, 0 AS block, array_to_string(w, '') AS text FROM piece"),
     "plain_text": _sql(_HEADINGS, "SELECT * FROM plain"),
     "children": _sql(_PIECES, "SELECT sid, parent, string_agg(chunk_id::VARCHAR, ',' ORDER BY chunk_id) AS children, min(chunk_id) AS min_child FROM chunk WHERE parent >= 0 GROUP BY ALL"),
+    "dependency_edges": _sql(_PIECES, "SELECT sid, chunk_id AS child, parent, dep_type FROM chunk"),
     "chunk_counts": _sql(_PIECES, "SELECT sid, len(w)::INTEGER AS n_chunks FROM piece"),
     "grid_cells": _sql(_GRID, "SELECT sid, class, count(*) AS n_cells FROM cell GROUP BY ALL"),
     "grid_rows": _sql(
@@ -181,6 +182,7 @@ FROM cell GROUP BY sid, i""",
     ),
     "morpheme_offsets": _sql(_DOC_WORDS, "SELECT * FROM morpheme"),
     "opinion_spans": _sql(_DOC_WORDS, "SELECT * FROM opinion"),
+    "sentence_opinions": _sql(_DOC_WORDS, "SELECT d.doc_id::VARCHAR AS sid, count(o.idx) AS n_opinions FROM documents d LEFT JOIN opinion o ON o.sid = d.doc_id::VARCHAR GROUP BY d.doc_id"),
     "opinion_overlap": _sql(_DOC_WORDS, "SELECT * FROM overlap"),
     "chunk_opinions": _sql(
         _DOC_WORDS,

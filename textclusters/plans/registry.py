@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textclusters.functions.annotation import chunk_label
 from textclusters.operators import annotated, brown, counts, dependency, index, opinions, pmi
 from textclusters.plans.oracles import ORACLES
 from textclusters.sources import adapters
@@ -135,8 +136,6 @@ def line_kinds(spark, sf_dir):
 
 def chunks(spark, sf_dir):
     """Chunks with parent, type and labels."""
-    from textclusters.functions.annotation import chunk_label
-
     rows = _parsed(spark, sf_dir).chunks
     return rows.select("sid", "chunk_id", "kind", "parent", "dep_type", chunk_label(F.col("cases"), F.col("entities")).alias("label"))
 
@@ -188,6 +187,11 @@ def children(spark, sf_dir):
     return rows.select("sid", "parent", F.array_join(F.col("children").cast("array<string>"), ",").alias("children"), "min_child")
 
 
+def dependency_edges(spark, sf_dir):
+    """Dependency edges of every sentence."""
+    return dependency.edges(_parsed(spark, sf_dir).chunks)
+
+
 def chunk_counts(spark, sf_dir):
     """Chunks of every sentence."""
     return dependency.chunk_counts(_parsed(spark, sf_dir).chunks)
@@ -218,6 +222,12 @@ def opinion_spans(spark, sf_dir):
     return _opinions(spark, sf_dir)[1][0]
 
 
+def sentence_opinions(spark, sf_dir):
+    """Every document with the number of its opinions."""
+    documents, (found, _) = _opinions(spark, sf_dir)
+    return opinions.sentences_with_opinions(documents.select(F.col("doc_id").cast("string").alias("sid")), found)
+
+
 def opinion_overlap(spark, sf_dir):
     """Morphemes inside an opinion span, with the lowest span's number."""
     documents, (found, _) = _opinions(spark, sf_dir)
@@ -270,8 +280,8 @@ QUERIES = {
         (bigram_counts, unigram_counts, bigram_counts_by_group, vocabulary, filtered_bigrams, filtered_unigrams, bigram_mass)
         + (weighted_pmi, seed_clusters, seed_affinity, seed_assignment, brown_clusters, brown_clusters_by_group, brown_cluster_sizes)
         + (cluster_sizes, cluster_mass, cluster_lookup, line_kinds, chunks, morphemes, morpheme_display, case_links, entities)
-        + (sentence_table, chunk_text, sentence_text, plain_text, children, chunk_counts, grid_cells, grid_rows)
-        + (opinion_spans, opinion_overlap, morpheme_offsets, chunk_opinions)
+        + (sentence_table, chunk_text, sentence_text, plain_text, children, dependency_edges, chunk_counts, grid_cells, grid_rows)
+        + (opinion_spans, sentence_opinions, opinion_overlap, morpheme_offsets, chunk_opinions)
         + (article_categories, article_headings, article_rejects, category_sizes, sentence_order)
     )
 }
