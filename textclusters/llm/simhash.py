@@ -109,7 +109,7 @@ def links(fps: DataFrame, tile: int = TILE) -> DataFrame:
     A crowded anchor's homes and replicas are dealt into tiles by hash, and every
     tile of homes meets every tile of replicas in a group of bounded size.
     """
-    homes, replicas = (x for x in at_anchors(fps))
+    homes, replicas = at_anchors(fps)
     crowd = replicas.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > tile).select("anchor", F.ceil(F.col("n") / tile).cast("int").alias("tiles"))
     crowd = cut(crowd)
     mine = homes.join(crowd, "anchor", "left_anti").withColumnRenamed("fp", "b")
