@@ -182,11 +182,14 @@ def _cells_of(docs: DataFrame, contested: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for i, text in enumerate(_raw(batch)):
-                name, start, size, names = cells(text, np.array(batch.column("blocks")[i].as_py(), np.int64))
-                ends = np.cumsum(np.r_[0, size]).astype(np.int32)
-                keys = [pa.array(np.full(len(name), batch.column(k)[i].as_py(), np.int64)) for k in _KEY]
-                yield pa.RecordBatch.from_arrays([pa.array(name), *keys, pa.array(start.astype(np.int32)), pa.ListArray.from_arrays(pa.array(ends), pa.array(names))], names=["cell", *_KEY, "start", "names"])
+            for at in range(0, batch.num_rows, 100):
+                part = batch.slice(at, 100)
+                listed, keys = part.column("blocks"), [part.column(k).to_numpy() for k in _KEY]
+                name, start, size, names = zip(*(cells(text, listed[i].values.to_numpy()) for i, text in enumerate(_raw(part))), strict=True)
+                owner = np.repeat(np.arange(part.num_rows), list(map(len, name)))
+                ends = np.cumsum(np.concatenate([[0], *size])).astype(np.int32)
+                columns = [np.concatenate(name), *(k[owner] for k in keys), np.concatenate(start).astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(names)))], names=["cell", *_KEY, "start", "names"])
 
     return docs.join(listed, _KEY).select(*_KEY, "text", "blocks").mapInArrow(run, "cell long, doc_id long, version long, start int, names array<long>")
 
