@@ -17,8 +17,8 @@ def plain(docs, bench):
     docs = [d for d, k in zip(docs, verdict, strict=True) if k]
     lines = plain_line_dedup(docs)
     docs = [(i, text) for i, (n, gone, _, text) in lines.items() if gone == 0 or gone < n]
-    fps = {i: simhash.fingerprint(t, 5) for i, t in docs}
-    root = roots((a, b) for a in fps for b in fps if a < b and (fps[a] ^ fps[b]).bit_count() <= 3)
+    fps = [{i: simhash.fingerprint(t, n) for i, t in docs} for n in (5, 3)]
+    root = roots((a, b) for own in fps for a in own for b in own if a < b and (own[a] ^ own[b]).bit_count() <= 3)
     docs = [(i, t) for i, t in docs if root.get(i, i) == i]
     matcher = decontaminate.Matcher([(decontaminate.normal(t), [i]) for i, t in bench], decontaminate.ERROR_RATE)
     docs = [(i, t) for i, t in docs if not list(matcher.find(decontaminate.normal(t)))]
@@ -36,6 +36,7 @@ def tables(spark, tmp_path):
     docs = [(i, "\n".join(line(rng.randint(5, 40)) for _ in range(rng.randint(1, 6)))) for i in range(60)]
     docs += [(60 + i, docs[i][1]) for i in range(5)]
     docs += [(70 + i, docs[10 + i][1].replace(" ", "  ", 1)) for i in range(5)]
+    docs += [(75 + i, docs[20 + i][1] + " " + rng.choice(words)) for i in range(5)]
     docs += [(80 + i, line(60) + "\n" + bench[i][1].upper() + " " + line(60)) for i in range(4)]
     docs += [(90 + i, rng.choice(shared) + "\n" + line(70)) for i in range(20)]
     docs += [(200, None), (201, ""), (202, "same words " * 100)]

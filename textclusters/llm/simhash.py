@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textclusters.llm.components import connected_components, spanning_links
-from textclusters.llm.shared import cut, map_batches
+from textclusters.llm.shared import cut, map_batches, texts_of
 
 #: Bits by which linked fingerprints may differ; the covering above is built for it.
 DISTANCE = 3
@@ -32,10 +32,12 @@ def fingerprint(text: str, words_in_shingle: int = 3) -> int:
     A bit is set if more than half of the hashes have it. Fewer words than a
     shingle: the whole sequence is the one shingle; no words: zero.
     """
-    words = text.encode("utf-8", "surrogatepass").lower().split()
+    return _of_words(text.encode("utf-8", "surrogatepass").lower().split(), words_in_shingle)
+
+
+def _of_words(words: list[bytes], n: int) -> int:
     if not words:
         return 0
-    n = words_in_shingle
     shingles = [b" ".join(words)] if len(words) < n else map(b" ".join, zip(*(words[i:] for i in range(n)), strict=False))
     hashes = np.fromiter((xxhash.xxh64_intdigest(s, 42) for s in shingles), np.uint64, max(1, len(words) - n + 1))
     # Columns of bits, counted in pieces so that a very long text needs little memory.
@@ -43,17 +45,21 @@ def fingerprint(text: str, words_in_shingle: int = 3) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, words_in_shingle: int = 3) -> DataFrame:
-    """(doc_id, fp long) for every row of docs; a null text counts as empty."""
+def fingerprints(docs: DataFrame, widths: tuple[int, ...] = (3,)) -> DataFrame:
+    """(doc_id, fp, fp1, ...) longs for every row of docs, one fingerprint for each
+    number of words in a shingle; a null text counts as empty."""
+    names = ["fp", *(f"fp{k}" for k in range(1, len(widths)))]
 
     def make():
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            fps = [fingerprint(x or "", words_in_shingle) for x in batch.column("text").to_pylist()]
-            return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.array(fps, np.uint64).view(np.int64))], names=["doc_id", "fp"])
+            words = [x.encode("utf-8", "surrogatepass").lower().split() for x in texts_of(batch)]
+            columns = [pa.array(np.array([_of_words(x, n) for x in words], np.uint64).view(np.int64)) for n in widths]
+            return pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=["doc_id", *names])
 
         return work
 
-    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), make, "doc_id long, fp long")
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return map_batches(narrow, make, ", ".join(["doc_id long", *(f"{n} long" for n in names)]))
 
 
 def _syndrome(part: Column) -> Column:
@@ -128,32 +134,48 @@ def links(fps: DataFrame, tile: int = TILE) -> DataFrame:
     return pairs.unionByName(tiled.groupBy("anchor", "h", "r").applyInArrow(_tile, "a long, b long"))
 
 
-def near_duplicates(docs: DataFrame, words_in_shingle: int = 3) -> DataFrame:
+def _node(name: str, k: int) -> Column:
+    """A fingerprint as a node; those of other widths are kept apart by a hash."""
+    return F.col(name) if k == 0 else F.xxhash64(F.lit(k), F.col(name))
+
+
+def near_duplicates(docs: DataFrame, widths: tuple[int, ...] = (3,)) -> DataFrame:
     """(doc_id, fp, component_id) for every row of docs(doc_id, text).
 
-    Documents link if their fingerprints differ in at most three bits;
-    component_id is the smallest doc_id that can be reached. Equal fingerprints
-    are first made one, so a group of copies of any size costs one comparison.
-    Null texts and texts without a word have fingerprint zero and link like any
-    other; a row without doc_id keeps its component and does not name it; rows
-    that repeat a doc_id each get a row; other columns are ignored.
+    Documents link if, for one of the numbers of words in a shingle, their
+    fingerprints differ in at most three bits; component_id is the smallest doc_id
+    that can be reached; fp is of the first width. Equal fingerprints are first made
+    one, so a group of copies of any size costs one comparison. Null texts and texts
+    without a word have fingerprint zero and link like any other; a row without
+    doc_id keeps its component and does not name it; rows that repeat a doc_id each
+    get a row; other columns are ignored.
     """
-    rows = cut(fingerprints(docs, words_in_shingle))
-    each = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    roots = connected_components(links(each.select("fp")))
-    rooted = each.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    names = ["fp", *(f"fp{k}" for k in range(1, len(widths)))]
+    rows = cut(fingerprints(docs, widths))
+    each = cut(rows.groupBy(*names).agg(F.min("doc_id").alias("first")))
+    graph = None
+    for k, name in enumerate(names):
+        found = links(each.select(F.col(name).alias("fp")).distinct() if len(names) > 1 else each.select("fp"))
+        found = found.select(_node("a", k).alias("a"), _node("b", k).alias("b"))
+        if k:
+            # A document joins its fingerprints of all widths.
+            found = found.unionByName(each.select(F.col("fp").alias("a"), _node(name, k).alias("b")))
+        graph = found if graph is None else graph.unionByName(found)
+    roots = connected_components(graph)
+    of_fp = each.groupBy("fp").agg(F.min("first").alias("first")) if len(names) > 1 else each
+    rooted = of_fp.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     named = rooted.join(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("fp", "component_id")
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, words_in_shingle: int = 3) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, widths: tuple[int, ...] = (3,)) -> DataFrame:
     """The rows of docs, with all their columns, less those that near_duplicates()
     links to a smaller doc_id: one document of each component stays.
 
     Rows without doc_id stay. Where doc_ids repeat, rows that repeat both doc_id and
     text become one, and of rows with one doc_id and other texts all go if one does.
     """
-    found = near_duplicates(docs, words_in_shingle)
+    found = near_duplicates(docs, widths)
     gone = found.where("doc_id <> component_id").select("doc_id").distinct()
     kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
     ids = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
