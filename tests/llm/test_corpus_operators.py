@@ -173,25 +173,27 @@ def test_scores_have_the_base_and_beat_it_on_held_out_texts(spark):
     sides = [[f"{s}{k}" for k in range(30)] for s in "xy"]
     docs = [(i, " ".join(rng.choice(sides[i % 2]) for _ in range(60))) for i in range(400)] + [(400, None), (401, "never seen")]
     rows = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
-    for common in (1 << 17, 8):
-        got = {r.doc_id: r for r in lmscore.score(rows, common=common, slot_bits=12).collect()}
+    for common, with_path in ((1 << 17, 1 << 13), (1 << 17, 8), (8, 4)):
+        got = {r.doc_id: r for r in lmscore.score(rows, common, with_path, slot_bits=12).collect()}
         for i, (held, n, known, train, base) in plain_scores(docs).items():
             r = got[i]
             assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held, n, known, train) and r.base_score == pytest.approx(base)
         out = [r for r in got.values() if r.held_out and r.n_tokens > 50]
         assert len(out) > 40
-        if common > 100:
+        if with_path > 100:
             assert sum(r.score for r in out) > 0.93 * sum(r.base_score for r in out)
 
 
 def test_scores_of_all_continuations_add_up(spark):
-    """The probabilities of all texts of up to one word, and of longer ones by what is left, are below one and near it."""
+    """The probabilities of all texts of up to one word are below one together and near it,
+    however tokens are told apart: by a path, by a share known to all tasks, by a joined count."""
     docs = [(i, w) for i, w in enumerate(["a", "b", "a", "c", ""] * 20)]
     asked = [(1000 + k, t) for k, t in enumerate(["", "a", "b", "c", "zzz"])]
     ids = {t: i for i, t in asked}
-    got = {r.doc_id: r.score for r in lmscore.score(spark.createDataFrame(docs + asked, "doc_id long, text string"), slot_bits=10).collect()}
-    total = sum(10 ** got[ids[t]] for t in ids)
-    assert 0.7 < total < 1.0001
+    rows = spark.createDataFrame(docs + asked, "doc_id long, text string")
+    for common, with_path in ((9, 9), (9, 1), (2, 1), (0, 0)):
+        got = {r.doc_id: r.score for r in lmscore.score(rows, common, with_path, slot_bits=10).collect()}
+        assert 0.7 < sum(10 ** got[ids[t]] for t in ids) < 1.0001
 
 
 def test_scores_odd_rows(spark, odd, empty):
