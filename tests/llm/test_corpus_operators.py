@@ -196,6 +196,15 @@ def test_scores_of_all_continuations_add_up(spark):
         assert 0.7 < sum(10 ** got[ids[t]] for t in ids) < 1.0001
 
 
+def test_contexts_tell_rare_tokens_apart(spark):
+    """A token that is not a leaf of the tree is predicted by the one before it, and not only as one of the rare."""
+    docs = [(i, " ".join(f"a{(i + k) % 40} b{(i + k) % 40}" for k in range(20))) for i in range(300)]
+    asked = [(1000, "a7 b7"), (1001, "a7 b8")]
+    rows = spark.createDataFrame(docs + asked, "doc_id long, text string")
+    got = {r.doc_id: r.score for r in lmscore.score(rows, common=4, with_path=4).collect()}
+    assert got[1000] > got[1001] + 0.5
+
+
 def test_scores_odd_rows(spark, odd, empty):
     got = lmscore.score(odd, slot_bits=10).collect()
     assert len(got) == len(ODD_ROWS) and all(math.isfinite(r.score) for r in got)
