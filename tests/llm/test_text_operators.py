@@ -56,6 +56,18 @@ def test_pii_added_kinds():
     assert told("a token of thanks; the account was long") == []
 
 
+def test_pii_iban_ends_before_what_follows():
+    automaton = pii.anchors()
+    accounts = lambda t: [t[s:e] for s, k, e in pii.find(t, automaton) if pii.KINDS[k] == "account"]
+    iban = "DE89370400440532013000"
+    for after in (" BIC COBADEFFXXX", " Please pay", " 12 EUR", " A", ".", "", " AND " + "MORE " * 20, " iban NO9386011117947"):
+        assert accounts(f"IBAN: {iban}{after}")[0] == iban, after
+        assert accounts(f"IBAN: DE89 3704 0044 0532 0130 00{after}")[0] == "DE89 3704 0044 0532 0130 00", after
+    assert accounts(f"IBAN: {iban} iban NO9386011117947") == [iban, "NO9386011117947"]
+    assert accounts("iban NO9386011117947 X") == ["NO9386011117947"]
+    assert accounts("IBAN: DE88370400440532013000 BIC COBADEFFXXX") == [] and accounts(f"IBAN: {iban}X") == []
+
+
 def test_pii_odd_rows(odd, empty):
     got = pii.digest(pii.personal_data(odd)).collect()
     assert len(got) == len(ODD_ROWS) and all(r.base_sha256 == hashlib.sha256(b"").hexdigest() and r.spans == "" for r in got)
