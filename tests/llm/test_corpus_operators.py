@@ -228,6 +228,20 @@ def test_url_rules(spark):
     assert {r.rule: r.verdict for r in got if r.rule} == {r: v for v, r in urlfilter.RULES}
 
 
+def test_url_ids_of_letters_and_digits_share_a_template(spark):
+    """Hex ids and numbered slugs of bad hosts: pages without a label are blocked by those with one."""
+    rng = random.Random(4)
+    ids = ["".join(rng.choice("0123456789abcdef") for _ in range(12)) for _ in range(60)]
+    slugs = [f"{''.join(rng.choice('abcdefgh') for _ in range(6))}-{i}" for i in range(60)]
+    few = ["1a2b", "3c4d", "5e6f", "7a8b", "9c0d", "1e2f", "2a1b", "4c3d"]
+    urls = [f"s://hex.org/p/{x}" for x in ids] + [f"s://slug.org/p/{x}" for x in slugs] + [f"s://few.org/p/{x}" for x in few] + [f"s://good.org/p/{i}" for i in range(400)]
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
+    labels = spark.createDataFrame([(i, int(i < 128)) for i in range(0, len(urls), 2)], "page_id long, bad int")
+    got = {r.page_id: r for r in urlfilter.judge(pages, labels).collect()}
+    assert {got[i].verdict for i in range(128)} == {"block"} and {got[i].verdict for i in range(128, len(urls))} == {"allow"}
+    assert {got[i].template for i in range(120)} == {"/p/*"} and got[200].template == "/p/{n}"
+
+
 def test_url_templates(spark):
     urls = [f"s://h.org/good/{i}" for i in range(30)] + [f"s://h.org/bad/{i}.html" for i in range(30)] + [f"s://h.org/tag/name{chr(97 + i)}" for i in range(26)] + ["s://other.org/" + "a/" * 500]
     pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")

@@ -2,9 +2,10 @@
 
 Each host has a tree of path templates. A segment's digits become a wildcard at
 once; where a node of the tree has many children of small share each, they become
-one wildcard too. Leaves of one host with the same skeleton (literals aside) are
-merged as far as their labelled shares of bad pages do not differ more than chance
-allows. A leaf is rejected if its smoothed share of bad pages is too high.
+one wildcard too, with or without digits. Leaves of one host with the same skeleton
+(literals aside; a number, with what stands around it, is kept) are merged as far as
+their labelled shares of bad pages do not differ more than chance allows. A leaf is
+rejected if its smoothed share of bad pages is too high.
 All of it is DataFrame operations; each step is an aggregation with partial sums.
 """
 
@@ -55,12 +56,13 @@ def _templates(pages: DataFrame, fanout: int, rare_share: float) -> DataFrame:
     each = each.withColumn("parent", F.array_join(F.slice("segments", F.lit(1), F.col("depth")), "/")).drop("segments")
     child = each.groupBy("host", "depth", "parent", "segment").agg(F.sum("pages").alias("n"))
     node = child.groupBy("host", "depth", "parent").agg(F.count("*").alias("children"), F.sum("n").alias("total"))
-    wide = child.join(node, ["host", "depth", "parent"]).where((F.col("children") >= fanout) & (F.col("n") < rare_share * F.col("total")) & ~F.col("segment").contains("{n}"))
+    wide = child.join(node, ["host", "depth", "parent"]).where((F.col("children") >= fanout) & (F.col("n") < rare_share * F.col("total")))
     marked = each.join(wide.select("host", "depth", "parent", "segment", F.lit("*").alias("wild")), ["host", "depth", "parent", "segment"], "left")
     # At most DEPTH + 1 segments of one path.
     leaf = marked.groupBy("host", "path").agg(F.array_sort(F.collect_list(F.struct("depth", F.coalesce("wild", "segment").alias("s")))).alias("x"))
     leaf = paths.select("host", "path").join(leaf, ["host", "path"], "left").withColumn("x", F.coalesce(F.transform("x", lambda e: e["s"]), F.array().cast("array<string>")))
-    plain = F.transform("x", lambda s: F.when(s.contains("{n}") | s.isin("*", "**"), s).otherwise(F.lit("*")))
+    one_number = lambda s: F.size(F.split(s, r"\{n\}")) == 2
+    plain = F.transform("x", lambda s: F.when(one_number(s) | s.isin("*", "**"), s).otherwise(F.lit("*")))
     return leaf.select("host", "path", F.concat(F.lit("/"), F.array_join("x", "/")).alias("template"), F.concat(F.lit("/"), F.array_join(plain, "/")).alias("skeleton"))
 
 
