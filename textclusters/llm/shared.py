@@ -1,17 +1,23 @@
 """Small helpers that the corpus operators share."""
 
-import gc
 import tempfile
 import uuid
+import zlib
 from collections.abc import Callable, Iterator
+from weakref import WeakKeyDictionary
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The white space that separates words: blank and U+0009 to U+000D.
 SPACE = r"[\x20\x09-\x0D]+"
+#: Rows of a batch that are worked on at a time, and bytes of their texts, one long text aside.
+PART_ROWS, PART_BYTES = 1000, 4 << 20
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_TABLES: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def lower_ascii(column):
@@ -20,11 +26,17 @@ def lower_ascii(column):
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of checkpoints that the cluster names in spark.checkpoint.dir;
-    only where none is set (tests, a laptop) a temporary one is taken."""
+    """The folder of checkpoints that the cluster names in spark.checkpoint.dir.
+
+    Where none is set, a temporary one is taken if all tasks run on this machine
+    (tests, a laptop); a cluster must name one.
+    """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     return context.getCheckpointDir()
 
 
@@ -35,24 +47,37 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """The same rows, written as Parquet to the shared folder and read again."""
-    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of plans that nobody holds any more.
-
-    Spark does so when the driver's JVM collects its garbage, which on a driver
-    with little to do may be long after the disks have filled.
-    """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """The same rows, written as a Parquet table in the shared folder and read again."""
+    spark = df.sparkSession
+    folder = shared_folder(spark)
+    database = f"scratch_{zlib.crc32(folder.encode()):08x}"
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {database} LOCATION '{folder}/tables'")
+    name = f"{database}.t{uuid.uuid4().hex}"
+    df.write.format("parquet").saveAsTable(name)
+    table = spark.table(name)
+    _TABLES[table] = name
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete what stored() wrote, once all that was made from it has been written."""
+    for table in tables:
+        table.sparkSession.sql(f"DROP TABLE IF EXISTS {_TABLES.pop(table)}")
+
+
+def parts(batch: pa.RecordBatch, rows: int = PART_ROWS, size: int = PART_BYTES) -> Iterator[pa.RecordBatch]:
+    """A batch by parts of bounded rows and bytes; a text that is longer is a part of its own."""
+    n = batch.num_rows
+    own = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False) if "text" in batch.schema.names else np.zeros(n, np.int64)
+    upto, at = np.concatenate([[0], np.cumsum(own, dtype=np.int64)]), 0
+    while at < n:
+        end = min(at + rows, max(at + 1, int(np.searchsorted(upto, upto[at] + size, "right")) - 1))
+        yield batch.slice(at, end - at)
+        at = end
 
 
 def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str) -> DataFrame:
-    """Apply an Arrow batch function to every batch of df, without a shuffle.
+    """Apply an Arrow batch function to the parts of every batch of df, without a shuffle.
 
     make() runs once in each task, so that tables built there are reused.
     """
@@ -60,12 +85,7 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for batch in batches:
-            yield from small(batch, work)
-
-    def small(batch: pa.RecordBatch, work) -> Iterator[pa.RecordBatch]:
-        # A batch holds thousands of rows; by parts its results stay small.
-        for start in range(0, batch.num_rows, 1000):
-            yield work(batch.slice(start, 1000))
+            yield from map(work, parts(batch))
 
     return df.mapInArrow(run, schema)
 
@@ -76,8 +96,7 @@ def keep_rows(df: DataFrame, make: Callable[[], Callable[[list[str]], list[bool]
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep = make()
         for batch in batches:
-            for start in range(0, batch.num_rows, 1000):
-                part = batch.slice(start, 1000)
+            for part in parts(batch):
                 yield part.filter(pa.array(keep(texts_of(part)), pa.bool_()))
 
     return df.mapInArrow(run, df.schema)
@@ -88,5 +107,10 @@ def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     return [x or "" for x in batch.column(name).to_pylist()]
 
 
+def narrow(docs: DataFrame) -> DataFrame:
+    """(doc_id long, text string) of docs, its other columns left out."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

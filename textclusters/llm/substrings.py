@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textclusters.llm.shared import release, stored
+from textclusters.llm.shared import discard, narrow, parts, stored
 
 #: Bytes of a string; bytes of a sample; the number of samples that a string has to choose from.
 WIDTH, GRAM = 100, 32
@@ -164,8 +164,7 @@ def _raw(batch: pa.RecordBatch) -> list[bytes]:
 def _all_blocks(docs: DataFrame, names_only: bool) -> DataFrame:
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
+            for part in parts(batch):
                 ids, versions = part.column("doc_id").to_numpy(), part.column("version").to_numpy()
                 for text, sample, block, packed in blocks(_raw(part)):
                     if names_only:
@@ -182,8 +181,7 @@ def _cells_of(docs: DataFrame, contested: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 100):
-                part = batch.slice(at, 100)
+            for part in parts(batch, 100):
                 listed, keys = part.column("blocks"), [part.column(k).to_numpy() for k in _KEY]
                 name, start, size, names = zip(*(cells(text, listed[i].values.to_numpy()) for i, text in enumerate(_raw(part))), strict=True)
                 owner = np.repeat(np.arange(part.num_rows), list(map(len, name)))
@@ -195,32 +193,41 @@ def _cells_of(docs: DataFrame, contested: DataFrame) -> DataFrame:
 
 
 def _later(rows: DataFrame, names: list[str], place: str) -> tuple[DataFrame, DataFrame]:
-    """(firsts, later): of the rows that share names, the first by document and place, and all others."""
+    """(firsts, later): of the rows that share names, the first by document and place, and all others.
+
+    The firsts are finished before they are joined, so that Spark can split a very common name's rows.
+    """
     order = F.struct(*_KEY, place)
-    firsts = rows.groupBy(*names).agg(F.min(order).alias("first"), F.count("*").alias("n"))
+    firsts = stored(rows.groupBy(*names).agg(F.min(order).alias("first"), F.count("*").alias("n")))
     later = rows.join(firsts.where("n > 1").drop("n"), names).where(order > F.col("first")).drop("first")
     return firsts, later
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """(doc_id, version, start, end) spans of bytes to remove, of docs(doc_id, version, text)."""
-    shared = _all_blocks(docs, True).groupBy("sample").agg(F.count("*").alias("n")).where("n > 1").select("sample")
+    """(doc_id, version, spans array<struct<start, end>>): the bytes to remove of docs(doc_id, version, text)."""
+    # Counted on their own: joined to a finished table, a very common sample's rows are split.
+    shared = stored(_all_blocks(docs, True).groupBy("sample").agg(F.count("*").alias("n")).where("n > 1").select("sample"))
     found = stored(_all_blocks(docs, False).join(shared, "sample", "left_semi"))
-    release(docs.sparkSession)
+    discard(shared)
     firsts, later = _later(found, ["sample", "block"], "packed")
     low, high = F.shiftright("packed", 7).bitwiseAND(F.lit(127)), F.col("packed").bitwiseAND(F.lit(127))
     base = F.shiftright("packed", 14) - (CHOICE - 1)
     copied = stored(later.select(*_KEY, (base + low).alias("start"), (base + high + WIDTH).alias("end")))
-    firsts = stored(firsts.select("sample", "first.*"))
+    discard(found)
     several = firsts.groupBy("sample").agg(F.count("*").alias("n")).where("n > 1").select("sample")
-    contested = firsts.join(several, "sample", "left_semi").select(*_KEY, "packed")
+    contested = firsts.join(several, "sample", "left_semi").select("first.*")
     each = stored(_cells_of(docs, contested))
-    release(docs.sparkSession)
+    discard(firsts)
     alike = each.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1").select("cell")
     strings = each.join(alike, "cell", "left_semi").select("cell", *_KEY, "start", F.posexplode("names").alias("k", "name")).select("cell", "name", *_KEY, (F.col("start") + F.col("k")).alias("at"))
+    strings = stored(strings)
+    discard(each)
     # Neighbouring strings of one document that are all later copies are one span.
-    single = _later(stored(strings), ["cell", "name"], "at")[1].select(*_KEY, F.col("at").cast("long").alias("start"), (F.col("at") + WIDTH).cast("long").alias("end"))
-    return copied.unionByName(single)
+    firsts, single = _later(strings, ["cell", "name"], "at")
+    single = single.select(*_KEY, F.col("at").cast("long").alias("start"), (F.col("at") + WIDTH).cast("long").alias("end"))
+    spans = stored(copied.unionByName(single).groupBy(*_KEY).agg(F.collect_list(F.struct("start", "end")).alias("spans")))  # one document's
+    discard(copied, strings, firsts)
+    return spans
 
 
 def dedup_substrings(docs: DataFrame) -> DataFrame:
@@ -234,18 +241,16 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
     each different text, ordered by a hash of the text, and rows that repeat both
     are treated alike. Other columns are ignored.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    docs = narrow(docs).fillna("", "text")
     named = docs.where("doc_id IS NOT NULL")
     repeats = not named.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
     # The hash is carried only where it is needed to tell documents apart.
     docs = docs.withColumn("version", F.xxhash64("text") if repeats else F.lit(0).cast("long"))
     named = docs.where("doc_id IS NOT NULL")
-    spans = repeated_spans(named.dropDuplicates(_KEY) if repeats else named)
-    listed = stored(spans.groupBy(*_KEY).agg(F.collect_list(F.struct("start", "end")).alias("spans")))  # one document's
-    release(docs.sparkSession)
+    listed = repeated_spans(named.dropDuplicates(_KEY) if repeats else named)
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in parts(whole)):
             out = []
             for text, spans in zip(_raw(batch), batch.column("spans"), strict=True):
                 flat = spans.values.flatten() if spans.is_valid else None
