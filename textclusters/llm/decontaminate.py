@@ -7,7 +7,9 @@ pieces; each hit names a window in which the item would have to lie, and Myers'
 bit-parallel algorithm gives the least edit distance of the item to any passage
 of the window. Nothing within the budget is missed, and nothing else is found.
 
-Case is folded and runs of white space count as one blank, on both sides.
+Case is folded and runs of white space count as one blank, on both sides. A short
+item, which chance could bring within the budget, is looked for without edits and
+between word borders.
 """
 
 from collections import defaultdict
@@ -18,10 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textclusters.llm.shared import keep_rows, map_batches, texts_of
+from textclusters.llm.shared import keep_rows, map_batches, narrow, texts_of
 
-#: Edits allowed for each character of an item; characters from which an item is long enough to tell a leak from chance.
-ERROR_RATE, MIN_CHARS = 0.08, 24
+#: Edits allowed for each character of an item; characters below which an item is short.
+ERROR_RATE, SHORT = 0.08, 24
 #: Bytes of test items that go to the executors at a time: the bound of what is broadcast.
 BLOCK_BYTES = 4 << 20
 SCHEMA = "doc_id long, item_id long, distance int, start int, end int"
@@ -49,9 +51,9 @@ def places(text: str) -> list[int]:
 class Item:
     """A normalised test item with its budget, its pieces and its bit masks."""
 
-    def __init__(self, text: str, ids: list[int], rate: float):
-        self.text, self.ids = text, ids
-        self.budget = int(rate * len(text))
+    def __init__(self, text: str, ids: list[int], rate: float, short: int):
+        self.text, self.ids, self.whole = text, ids, len(text) < short
+        self.budget = 0 if self.whole else int(rate * len(text))
         self.full, self.top = (1 << len(text)) - 1, 1 << (len(text) - 1)
         self.masks = self._masks(text)
         self.back = self._masks(text[::-1])
@@ -96,11 +98,16 @@ class Item:
         return distance, end - size, end
 
 
+def _in_word(text: str, start: int, end: int) -> bool:
+    """Whether a passage begins or ends within a word: letters or digits on both sides of an end of it."""
+    return any(text[i - 1 : i].isalnum() and text[i : i + 1].isalnum() for i in (start, end))
+
+
 class Matcher:
     """Finds the items of a block in texts."""
 
-    def __init__(self, items: list[tuple[str, list[int]]], rate: float):
-        self.items = [Item(text, ids, rate) for text, ids in items]
+    def __init__(self, items: list[tuple[str, list[int]]], rate: float, short: int = SHORT):
+        self.items = [Item(text, ids, rate, short) for text, ids in items]
         hits: dict[str, list[tuple[int, int]]] = defaultdict(list)
         for k, item in enumerate(self.items):
             for start, piece in item.pieces():
@@ -119,9 +126,11 @@ class Matcher:
                 starts[k].add(last + 1 - size - offset)
         for k, at in starts.items():
             item, best = self.items[k], None
-            exact = min((s for s in at if s >= 0 and text.startswith(item.text, s)), default=None)
+            n = len(item.text)
+            exact = min((s for s in at if s >= 0 and text.startswith(item.text, s) and not (item.whole and _in_word(text, s, s + n))), default=None)
             if exact is not None:
-                yield item, 0, exact, exact + len(item.text)
+                yield item, 0, exact, exact + n
+            if exact is not None or item.whole:
                 continue
             reach, low, high = item.budget, None, 0
             for s in [*sorted(at), None]:
@@ -136,14 +145,14 @@ class Matcher:
                 yield item, *best
 
 
-def blocks(benchmark: DataFrame, min_chars: int, block_bytes: int) -> Iterator[list[tuple[str, list[int]]]]:
+def blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[str, list[int]]]]:
     """The items, equal texts once with all their ids, in blocks of bounded size."""
-    narrow = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id IS NOT NULL AND text IS NOT NULL")
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id IS NOT NULL AND text IS NOT NULL")
     held: dict[str, list[int]] = {}
     size = 0
-    for row in narrow.toLocalIterator():
+    for row in items.toLocalIterator():
         text = normal(row.text)
-        if len(text) < min_chars:
+        if not text:
             continue
         size += 64 if text in held else 64 + 4 * len(text)
         held.setdefault(text, []).append(row.item_id)
@@ -154,29 +163,29 @@ def blocks(benchmark: DataFrame, min_chars: int, block_bytes: int) -> Iterator[l
         yield sorted(held.items())
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_RATE, min_chars: int = MIN_CHARS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_RATE, short: int = SHORT, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """SCHEMA's columns: for each row of docs(doc_id, text) and each item of
     benchmark(item_id, text) that it holds, the nearest passage, as code points
     of the text with the end exclusive.
 
     The items are the stated query set; they go to the executors in blocks of
-    bounded size, and each block meets all documents, without a shuffle. Items
-    without id or text, and those shorter than min_chars, are not looked for; a
-    null text holds nothing. Rows that repeat a doc_id, or lack one, each give
+    bounded size, and each block meets all documents, without a shuffle. An item
+    has a budget of error_rate edits a character; one of fewer than short characters
+    has none and must stand between word borders. Items without id, text or a
+    character besides white space are not looked for; a null text holds nothing. Rows that repeat a doc_id, or lack one, each give
     their own rows; other columns are ignored.
     """
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = docs.sparkSession.createDataFrame([], SCHEMA)
-    for block in blocks(benchmark, min_chars, block_bytes):
-        found = found.unionByName(_against(narrow, block, error_rate))
+    for block in blocks(benchmark, block_bytes):
+        found = found.unionByName(_against(narrow(docs), block, error_rate, short))
     return found
 
 
-def _against(docs: DataFrame, block: list[tuple[str, list[int]]], rate: float) -> DataFrame:
+def _against(docs: DataFrame, block: list[tuple[str, list[int]]], rate: float, short: int) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(block)
 
     def make():
-        matcher = Matcher(sent.value, rate)
+        matcher = Matcher(sent.value, rate, short)
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             rows = []
@@ -194,18 +203,18 @@ def _against(docs: DataFrame, block: list[tuple[str, list[int]]], rate: float) -
     return map_batches(docs, make, SCHEMA)
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_RATE, min_chars: int = MIN_CHARS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_RATE, short: int = SHORT, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of docs, with all their columns, that hold no item of benchmark; no shuffle."""
-    for block in blocks(benchmark, min_chars, block_bytes):
-        docs = _without(docs, block, error_rate)
+    for block in blocks(benchmark, block_bytes):
+        docs = _without(docs, block, error_rate, short)
     return docs
 
 
-def _without(docs: DataFrame, block: list[tuple[str, list[int]]], rate: float) -> DataFrame:
+def _without(docs: DataFrame, block: list[tuple[str, list[int]]], rate: float, short: int) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(block)
 
     def make():
-        matcher = Matcher(sent.value, rate)
+        matcher = Matcher(sent.value, rate, short)
         return lambda texts: [next(matcher.find(normal(x)), None) is None for x in texts]
 
     return keep_rows(docs, make)
