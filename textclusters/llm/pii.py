@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textclusters.llm.shared import map_batches, texts_of
+from textclusters.llm.shared import map_batches, narrow, texts_of
 
 KINDS = ("email", "ip", "card", "phone", "url", "account", "secret")
 BASE = KINDS[:4]
@@ -39,7 +39,7 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 _DIGITS = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_SCHEME_END = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*\Z")
+_SCHEME = _LOCAL - frozenset("_%")
 _AUTHORITY = re.compile(r"[^\s/?#@\"'<>]+@[A-Za-z0-9.-]+(?::[0-9]+)?(?:[/?#][^\s\"'<>]*)?")
 _ACCOUNT = re.compile(r"(?:\x20?(?:no|nr|number|num|n)\b\.?)?\x20?[:#=]?\x20?([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}|[0-9]{6,17}(?![0-9]))", re.A)
 _SECRET = re.compile(r"[\"']?\x20?[:=]\x20?(?:\"([^\"\s]{6,})\"|'([^'\s]{6,})'|([A-Za-z0-9_+/=.!#$%-]{6,}))", re.A)
@@ -90,7 +90,7 @@ def anchors() -> ahocorasick.Automaton:
 
 def find(text: str, automaton: ahocorasick.Automaton) -> list[tuple[int, int, int]]:
     """(start, place in KINDS, end) of every item, sorted; end is exclusive."""
-    found, email_end, dotted_end, digits_end, secret_end, account_end = [], 0, 0, 0, 0, 0
+    found, email_end, dotted_end, digits_end, scheme_end, secret_end, account_end = [], 0, 0, 0, 0, 0, 0
     for last, (anchor, size) in automaton.iter(text):
         at = last - size + 1
         if anchor == "@":
@@ -120,9 +120,13 @@ def find(text: str, automaton: ahocorasick.Automaton) -> list[tuple[int, int, in
             if (phone := _PHONE.match(text, at)) and 9 <= sum(c.isdigit() for c in phone[0]) <= 15:
                 found.append((at, 3, phone.end()))
         elif anchor == "://":
-            scheme = _SCHEME_END.search(text, max(0, at - 20), at)
-            if scheme and (rest := _AUTHORITY.match(text, at + 3)):
-                found.append((scheme.start(), 4, rest.end()))
+            start, first = at, at
+            while start > scheme_end and text[start - 1] in _SCHEME:
+                start -= 1
+                first = start if text[start].isalpha() else first
+            scheme_end = at + size
+            if first < at and (rest := _AUTHORITY.match(text, scheme_end)):
+                found.append((first, 4, rest.end()))
         elif anchor == "account":
             if at >= account_end and not text[at - 1 : at].isalpha() and (number := _ACCOUNT.match(text, last + 1)) and (size := len(number[1]) if number[1].isdigit() else _iban(number[1])):
                 account_end = number.start(1) + size
@@ -151,17 +155,18 @@ def personal_data(docs: DataFrame) -> DataFrame:
 
         return work
 
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return map_batches(narrow, make, "doc_id long, items array<struct<kind:string,start:int,end:int>>")
+    return map_batches(narrow(docs), make, "doc_id long, items array<struct<kind:string,start:int,end:int>>")
 
 
 def digest(found: DataFrame) -> DataFrame:
-    """Counts, hash and text form of personal_data's items, one row for each of its rows."""
+    """Counts, hash and text form of personal_data's items, one row for each of its rows;
+    counts of the added kinds and of all items come last."""
     told = lambda items: F.array_join(F.transform(items, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
     of_base = F.filter("items", lambda x: x["kind"].isin(*BASE))
     of_kind = lambda kind: F.filter("items", lambda x: x["kind"] == kind)
     counts = [F.size(of_kind(kind)).cast("long").alias(f"n_{kind}") for kind in KINDS]
-    return found.select("doc_id", *counts, F.sha2(told(of_base), 256).alias("base_sha256"), told(F.col("items")).alias("spans"))
+    base, added = counts[: len(BASE)], counts[len(BASE) :]
+    return found.select("doc_id", *base, F.sha2(told(of_base), 256).alias("base_sha256"), told(F.col("items")).alias("spans"), *added, F.size("items").cast("long").alias("n_items"))
 
 
 def base_digest(text: str, automaton: ahocorasick.Automaton) -> str:
