@@ -16,8 +16,7 @@ WITH seen AS (
   FROM pages),
 paths AS (
   SELECT host, path, count(*) AS pages,
-    list_filter(string_split(regexp_replace(path, '[0-9]+', '{{n}}', 'g'), '/'), lambda s: s <> '') AS all_segments,
-    CASE WHEN len(all_segments) > {urlfilter.DEPTH} THEN list_append(all_segments[1:{urlfilter.DEPTH}], '**') ELSE all_segments END AS segments
+    list_filter(string_split(regexp_replace(path, '[0-9]+', '{{n}}', 'g'), '/'), lambda s: s <> '') AS segments
   FROM seen GROUP BY host, path),
 each_ AS (
   SELECT host, path, pages, segments[d + 1] AS segment, d AS depth, array_to_string(segments[1:d], '/') AS parent
@@ -26,14 +25,14 @@ child AS (SELECT host, depth, parent, segment, sum(pages) AS n FROM each_ GROUP
 node AS (SELECT host, depth, parent, count(*) AS children, sum(n) AS total FROM child GROUP BY ALL),
 wide AS (
   SELECT c.* FROM child c JOIN node USING (host, depth, parent)
-  WHERE children >= {urlfilter.FANOUT} AND c.n < {urlfilter.RARE_SHARE} * total AND NOT contains(segment, '{{n}}')),
+  WHERE children >= {urlfilter.FANOUT} AND c.n < {urlfilter.RARE_SHARE} * total),
 leaf_of AS (
   SELECT e.host, e.path, list(CASE WHEN w.segment IS NULL THEN e.segment ELSE '*' END ORDER BY e.depth) AS x
   FROM each_ e LEFT JOIN wide w ON e.host = w.host AND e.depth = w.depth AND e.parent = w.parent AND e.segment = w.segment
   GROUP BY e.host, e.path),
 leaves AS (
   SELECT p.host, p.path, '/' || coalesce(array_to_string(x, '/'), '') AS template,
-    '/' || coalesce(array_to_string(list_transform(x, lambda s: CASE WHEN contains(s, '{{n}}') OR s IN ('*', '**') THEN s ELSE '*' END), '/'), '') AS skeleton
+    '/' || coalesce(array_to_string(list_transform(x, lambda s: CASE WHEN len(string_split(s, '{{n}}')) = 2 OR s = '*' THEN s ELSE '*' END), '/'), '') AS skeleton
   FROM paths p LEFT JOIN leaf_of l ON p.host = l.host AND p.path = l.path),
 placed AS (SELECT page_id, s.host, s.path, template, skeleton FROM seen s JOIN leaves l ON s.host = l.host AND s.path = l.path),
 known AS (
@@ -42,46 +41,57 @@ known AS (
 leaf AS (
   SELECT host, skeleton, template, count(bad) AS m, coalesce(sum(bad), 0)::BIGINT AS b
   FROM placed LEFT JOIN known USING (page_id) GROUP BY host, skeleton, template),
+stepped AS (SELECT *, CASE WHEN m > 0 THEN floor({urlfilter.STEPS} * b / greatest(m, 1)) END AS step FROM leaf),
+step AS (SELECT host, skeleton, step, sum(m)::BIGINT AS sm, sum(b)::BIGINT AS sb FROM stepped WHERE m > 0 GROUP BY host, skeleton, step),
+neighbour AS (
+  SELECT *, lag(sm) OVER w AS lm, lag(sb) OVER w AS lb, (lb + sb) / (lm + sm) AS share,
+    coalesce(abs(sb / sm - lb / lm) > {urlfilter.SIMILAR} * sqrt(share * (1 - share) * (1 / lm + 1 / sm)), false)::INTEGER AS apart
+  FROM step WINDOW w AS (PARTITION BY host, skeleton ORDER BY step)),
+branch AS (SELECT *, sum(apart) OVER (PARTITION BY host, skeleton ORDER BY step) AS branch FROM neighbour),
+merged AS (SELECT *, sum(sb) OVER w AS bad, sum(sm) OVER w AS all_ FROM branch WINDOW w AS (PARTITION BY host, skeleton, branch)),
 pool AS (SELECT host, skeleton, sum(m)::BIGINT AS pm, sum(b)::BIGINT AS pb FROM leaf GROUP BY host, skeleton),
-tested AS (
-  SELECT leaf.*, pb / greatest(pm, 1) AS share,
-    abs(b - m * share) <= {urlfilter.SIMILAR} * sqrt(m * share * (1 - share)) + 0.5 AS alike
-  FROM leaf JOIN pool USING (host, skeleton)),
-merged AS (SELECT host, skeleton, sum(m)::BIGINT AS am, sum(b)::BIGINT AS ab FROM tested WHERE alike GROUP BY host, skeleton),
 scored AS (
-  SELECT host, skeleton, template,
-    ((CASE WHEN alike THEN ab ELSE b END) + {urlfilter.PRIOR_WEIGHT} * (SELECT sum(b) / greatest(sum(m), 1) FROM leaf))
-      / ((CASE WHEN alike THEN am ELSE m END) + {urlfilter.PRIOR_WEIGHT}) AS purity
-  FROM tested LEFT JOIN merged USING (host, skeleton)),
+  SELECT s.host, s.skeleton, template,
+    (coalesce(bad, pb)::BIGINT + {urlfilter.PRIOR_WEIGHT} * (SELECT sum(b) / greatest(sum(m), 1) FROM leaf))
+      / (coalesce(all_, pm)::BIGINT + {urlfilter.PRIOR_WEIGHT}) AS purity
+  FROM stepped s JOIN pool p ON s.host = p.host AND s.skeleton = p.skeleton
+    LEFT JOIN merged g ON s.host = g.host AND s.skeleton = g.skeleton AND s.step = g.step),
 ruled AS (SELECT *, CASE {_RULES} END AS x FROM placed)
 SELECT page_id, host, path, x.rule AS rule,
   coalesce(x.verdict, CASE WHEN purity >= {urlfilter.LIMIT} THEN 'block' ELSE 'allow' END) AS verdict, template
 FROM ruled JOIN scored USING (host, skeleton, template)
 """
 
-_TEMPLATES = ", ".join(f"('{k}', '{t}')" for k, t in licenses.TEMPLATES)
-_SPAN = (2 - licenses.LIMIT) / licenses.LIMIT
+_TEMPLATES = ", ".join("('{}', '{}')".format(k, t.replace("'", "''")) for k, t in dict.fromkeys(licenses.TEMPLATES))
 _WORDS = r"list_filter(regexp_split_to_array(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '')"
-_BIGRAMS = "CASE WHEN len({0}) < 2 THEN {0} ELSE list_distinct(list_transform(range(1, len({0})), lambda i: {0}[i] || ' ' || {0}[i + 1])) END"
+_BIGRAMS = "list_transform(range(1, len({0})), lambda i: {0}[i] || ' ' || {0}[i + 1])"
+_LEAST = licenses.LIMIT / (2 - licenses.LIMIT)
 
+# A unit within the limit shares so many bigrams with the template; of texts that do, all windows are compared.
 OP6 = rf"""
-WITH known AS (
-  SELECT license_id, {_WORDS.format("notice")} AS words, {_BIGRAMS.format("words")} AS theirs, len(words) - 1 AS w
-  FROM (VALUES {_TEMPLATES}) AS t(license_id, notice)),
-line AS (
-  SELECT doc_id, unnest(string_split(text, chr(10))) AS part, unnest(range(len(string_split(text, chr(10))))) AS unit
-  FROM documents WHERE text IS NOT NULL),
-unit AS (
-  SELECT * FROM line
-  UNION ALL SELECT doc_id, text AS part, -1 AS unit FROM documents WHERE contains(text, chr(10))),
-parts AS (SELECT doc_id, unit, {_WORDS.format("part")} AS words FROM unit),
-near AS (
-  SELECT doc_id, unit, license_id, {_BIGRAMS.format("parts.words")} AS ours, theirs
-  FROM parts JOIN known ON len(parts.words) - 1 BETWEEN ceil(w / {_SPAN}) AND floor(w * {_SPAN})),
-scored AS (
-  SELECT doc_id, unit, license_id, round(2.0::DOUBLE * len(list_intersect(ours, theirs)) / (len(ours) + len(theirs)), 6) AS dice FROM near)
-SELECT doc_id, unit::INTEGER AS unit, license_id, dice FROM scored WHERE dice >= {licenses.LIMIT}
-QUALIFY row_number() OVER (PARTITION BY doc_id, unit ORDER BY dice DESC, license_id) = 1
+WITH notice AS MATERIALIZED (SELECT row_number() OVER () AS t, license_id, {_WORDS.format("notice")} AS words FROM (VALUES {_TEMPLATES}) AS v(license_id, notice)),
+template AS MATERIALIZED (SELECT t, license_id, len(words) AS w, list_distinct({_BIGRAMS.format("words")}) AS theirs FROM notice),
+known AS (SELECT *, ceil(len(theirs) * {_LEAST} - 1e-9) AS least FROM template),
+word AS MATERIALIZED (SELECT doc_id, {_WORDS.format("text")} AS words FROM documents WHERE text IS NOT NULL),
+parts AS MATERIALIZED (SELECT doc_id, {_BIGRAMS.format("words")} AS grams FROM word),
+gram AS (SELECT DISTINCT doc_id, unnest(grams) AS g FROM parts),
+met AS (
+  SELECT doc_id, t FROM gram JOIN (SELECT t, least, unnest(theirs) AS g FROM known) USING (g)
+  GROUP BY doc_id, t, least HAVING count(*) >= least),
+placed AS (
+  SELECT doc_id, license_id, grams, theirs, least(w - 1, len(grams)) AS size, unnest(range(len(grams) - least(w - 1, len(grams)) + 1)) AS start
+  FROM met JOIN parts USING (doc_id) JOIN known USING (t)),
+compared AS (
+  SELECT doc_id, license_id, start, size + 1 AS n, list_distinct(grams[start + 1 : start + size]) AS ours,
+    round(2.0::DOUBLE * len(list_intersect(ours, theirs)) / (len(ours) + len(theirs)), 6) AS dice, theirs
+  FROM placed),
+best AS (
+  SELECT doc_id, license_id, start, n, dice FROM compared WHERE dice >= {licenses.LIMIT}
+  QUALIFY row_number() OVER (PARTITION BY doc_id, license_id, theirs ORDER BY dice DESC, start) = 1)
+SELECT DISTINCT doc_id, license_id, start::INTEGER AS start_word, n::INTEGER AS n_words, dice FROM best x
+WHERE NOT EXISTS (
+  SELECT 1 FROM best y WHERE y.doc_id = x.doc_id AND x.start < y.start + y.n AND y.start < x.start + x.n
+    AND (y.dice > x.dice OR y.dice = x.dice AND (y.n > x.n OR y.n = x.n AND y.license_id < x.license_id)))
 """
 
 OP8 = rf"""

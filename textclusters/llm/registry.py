@@ -55,7 +55,7 @@ def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every line or whole text that is a licence notice."""
+    """The licence notices and passages that every document holds."""
     return licenses.matches(documents(spark, sf_dir))
 
 
