@@ -21,20 +21,30 @@ def line_kind(line: Column) -> Column:
     return F.when(line.startswith("#"), "header").when(line.rlike(r"^[+*]"), "chunk").when(line == "EOS", "end").otherwise("morpheme")
 
 
-def case_links(line: Column) -> Column:
-    """array<struct<word, marker, position>> of all case and anaphora links of a chunk line."""
-    return F.transform(F.regexp_extract_all(line, F.lit(LINKS), F.lit(1)), lambda x: F.struct(*(F.regexp_extract(x, LINK, i + 1).alias(name) for i, name in enumerate(("word", "marker", "position")))))
+def links_of(line: Column) -> Column:
+    """array<string>: all case and anaphora links of a chunk line, as they stand there."""
+    return F.regexp_extract_all(line, F.lit(LINKS), F.lit(1))
 
 
-def entities(line: Column) -> Column:
-    """array<struct<type, word>> of all named entities; the type is its first four characters."""
-    return F.transform(F.regexp_extract_all(line, F.lit(ENTITIES), F.lit(1)), lambda x: F.struct(F.regexp_extract(x, ENTITY, 1).alias("type"), F.regexp_extract(x, ENTITY, 2).alias("word")))
+def named_of(line: Column) -> Column:
+    """array<string>: all named entities of a chunk line, as they stand there."""
+    return F.regexp_extract_all(line, F.lit(ENTITIES), F.lit(1))
 
 
-def malformed(line: Column) -> Column:
+def case_links(links: Column) -> Column:
+    """array<struct<word, marker, position>> of links_of()."""
+    return F.transform(links, lambda x: F.struct(*(F.regexp_extract(x, LINK, i + 1).alias(name) for i, name in enumerate(("word", "marker", "position")))))
+
+
+def entities(named: Column) -> Column:
+    """array<struct<type, word>> of named_of(); the type is its first four characters."""
+    return F.transform(named, lambda x: F.struct(F.regexp_extract(x, ENTITY, 1).alias("type"), F.regexp_extract(x, ENTITY, 2).alias("word")))
+
+
+def malformed(line: Column, links: Column, named: Column) -> Column:
     """Why a chunk line can't be parsed, or null."""
-    bad = lambda every, one: F.exists(F.regexp_extract_all(line, F.lit(every), F.lit(1)), lambda x: ~x.rlike(one))
-    return F.when(~line.rlike(CHUNK), "chunk").when(bad(LINKS, LINK), "link").when(bad(ENTITIES, ENTITY), "entity")
+    bad = lambda found, one: F.exists(found, lambda x: ~x.rlike(one))
+    return F.when(~line.rlike(CHUNK), "chunk").when(bad(links, LINK), "link").when(bad(named, ENTITY), "entity")
 
 
 def link_label(link: Column) -> Column:

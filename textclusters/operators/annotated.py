@@ -1,17 +1,24 @@
-"""Tables of sentences, chunks and morphemes from annotated text."""
+"""Tables of sentences, chunks and morphemes from annotated text.
+
+A sentence file is one row, and all that is numbered along its lines is numbered
+within the row, by array functions: nothing is shuffled or sorted.
+"""
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from textclusters.functions import annotation as A
 
 
+def _lines(value: Column) -> Column:
+    return F.split(F.regexp_replace(value, r"\n\z", ""), "\n")
+
+
 def lines(raw: DataFrame) -> DataFrame:
     """(sid, ln, line, kind) of raw(sid, value), one row for each sentence file."""
-    each = raw.select("sid", F.posexplode(F.split(F.regexp_replace("value", r"\n\z", ""), "\n")).alias("ln", "line"))
+    each = raw.select("sid", F.posexplode(_lines(F.col("value"))).alias("ln", "line"))
     return each.withColumn("kind", A.line_kind(F.col("line")))
 
 
@@ -23,81 +30,121 @@ class Parsed:
     rejects: DataFrame
 
 
-def _numbered(raw: DataFrame) -> DataFrame:
-    """Lines with the running chunk number, sentence block and character offset.
+def _surface(line: Column) -> Column:
+    return F.get(F.split(line, " "), F.lit(0))
+
 
-    One shuffle on sid; a sentence's lines are one window.
+def _surfaces(some_lines: Column) -> Column:
+    """The surfaces of the morphemes among lines, joined."""
+    return F.array_join(F.transform(F.filter(some_lines, lambda x: A.line_kind(x) == "morpheme"), _surface), "")
+
+
+def _chunk_parts(raw: DataFrame, strict: bool) -> DataFrame:
+    """(sid, chunk_id, ln, line, links, named, reason, text), a row for each chunk line.
+
+    The text of a file is cut before each chunk line; what is matched in a line is
+    matched once, before the rows are made.
     """
-    order = Window.partitionBy("sid").orderBy("ln")
-    upto, before = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(Window.unboundedPreceding, -1)
-    surface = F.when(F.col("kind") == "morpheme", F.get(F.split("line", " "), F.lit(0))).otherwise("")
-    out = lines(raw).withColumn("surface", surface)
-    out = out.withColumn("chunk_id", (F.sum((F.col("kind") == "chunk").cast("int")).over(upto) - 1).cast("int"))
-    out = out.withColumn("block", F.coalesce(F.sum((F.col("kind") == "end").cast("int")).over(before), F.lit(0)).cast("int"))
-    return out.withColumn("off_start", F.coalesce(F.sum(F.length("surface")).over(before), F.lit(0)).cast("int"))
+    cut = F.split(F.regexp_replace("value", r"\n\z", ""), r"\n(?=[*+])")
+    raw = raw.select("sid", F.transform(cut, lambda part: F.split(part, "\n")).alias("own"))
+    # The part before the first chunk line is none, if the file does not start with one.
+    parts = F.filter("own", lambda x: A.line_kind(x[0]) == "chunk")
+    before = F.when(A.line_kind(F.get(F.get("own", F.lit(0)), F.lit(0))) == "chunk", 0).otherwise(F.size(F.get("own", F.lit(0))))
+    found = F.transform(parts, lambda x: F.struct(x[0].alias("line"), A.links_of(x[0]).alias("links"), A.named_of(x[0]).alias("named"), F.size(x).alias("n_lines"), _surfaces(x).alias("text")))
+    told = raw.select("sid", before.alias("before"), found.alias("found"))
+    ends = F.transform("found", lambda x: x["n_lines"])
+    each = told.select("sid", "before", ends.alias("sizes"), F.posexplode("found").alias("chunk_id", "x"))
+    upto = F.aggregate(F.slice("sizes", F.lit(1), F.col("chunk_id")), F.col("before"), lambda a, b: a + b)
+    reason = A.malformed(F.col("x.line"), F.col("x.links"), F.col("x.named"))
+    out = each.select("sid", "chunk_id", upto.alias("ln"), "x.line", "x.links", "x.named", "x.text", reason.alias("reason"))
+    if strict:
+        out = out.withColumn("reason", F.when(F.col("reason").isNotNull(), F.raise_error(F.concat(F.lit("malformed "), "reason", F.lit(" in "), "sid", F.lit(": "), "line"))))
+    return out
+
+
+def _morphemes(raw: DataFrame) -> DataFrame:
+    """(sid, ln, chunk_id, line, surface, off_start) with the running chunk number and character offset."""
+    start = F.struct(F.lit(-1).alias("chunk"), F.lit(0).alias("off"), F.array().cast("array<struct<chunk:int,off:int>>").alias("out"))
+
+    def step(at: Column, line: Column) -> Column:
+        kind = A.line_kind(line)
+        chunk = F.when(kind == "chunk", at["chunk"] + 1).otherwise(at["chunk"])
+        off = at["off"] + F.when(kind == "morpheme", F.length(_surface(line))).otherwise(0)
+        return F.struct(chunk.alias("chunk"), off.alias("off"), F.concat(at["out"], F.array(F.struct(chunk.alias("chunk"), at["off"].alias("off")))).alias("out"))
+
+    numbered = raw.select("sid", _lines(F.col("value")).alias("lines")).withColumn("at", F.aggregate("lines", start, step, lambda at: at["out"]))
+    each = numbered.select("sid", F.posexplode(F.arrays_zip("lines", "at")).alias("ln", "x")).select("sid", "ln", F.col("x.lines").alias("line"), F.col("x.at.chunk").alias("chunk_id"), F.col("x.at.off").alias("off_start"))
+    return each.where(A.line_kind(F.col("line")) == "morpheme").withColumn("surface", _surface(F.col("line")))
+
+
+def sentence_table(raw: DataFrame) -> DataFrame:
+    """(sid, article, sent_no, sub_no, header, text) of raw(sid, value), from the row of each file alone."""
+    number = lambda at: F.get(F.reverse(F.split("sid", "-")), F.lit(at)).try_cast("int")
+    own = _lines(F.col("value"))
+    return raw.where("value IS NOT NULL").select(
+        "sid",
+        F.regexp_extract("sid", r"^(.*)-1-[^-]*-[^-]*$", 1).alias("article"),
+        number(1).alias("sent_no"),
+        number(0).alias("sub_no"),
+        F.get(F.filter(own, lambda x: A.line_kind(x) == "header"), F.lit(0)).alias("header"),
+        _surfaces(own).alias("text"),
+    )
 
 
 def parse_annotated(raw: DataFrame, strict: bool = False) -> Parsed:
     """The tables of raw(sid, value).
 
-    A line that can't be parsed goes to rejects(sid, ln, line, reason) and the rest
-    is kept; strict raises an error for it instead.
+    A chunk line that can't be parsed goes to rejects(sid, ln, line, reason) and the
+    rest is kept; strict raises an error for it instead. chunks have the text of their
+    morphemes. A null value has no lines and no sentence.
     """
-    rows = _numbered(raw)
-    reason = A.malformed(F.col("line"))
-    of_chunk = rows.where("kind = 'chunk'").withColumn("reason", reason)
-    if strict:
-        of_chunk = of_chunk.withColumn("reason", F.when(F.col("reason").isNotNull(), F.raise_error(F.concat(F.lit("malformed "), "reason", F.lit(" in "), "sid", F.lit(": "), "line"))))
-    good = of_chunk.where("reason IS NULL")
-    chunks = good.select(
+    parts = _chunk_parts(raw, strict)
+    chunks = parts.where("reason IS NULL").select(
         "sid",
         "chunk_id",
         F.substring("line", 1, 1).alias("kind"),
         F.regexp_extract("line", A.CHUNK, 1).try_cast("int").alias("parent"),
         F.regexp_extract("line", A.CHUNK, 2).alias("dep_type"),
-        A.case_links(F.col("line")).alias("cases"),
-        A.entities(F.col("line")).alias("entities"),
+        A.case_links(F.col("links")).alias("cases"),
+        A.entities(F.col("named")).alias("entities"),
+        "text",
     )
     part = F.split("line", " ")
     fields = [F.get(part, F.lit(i)).alias(name) for name, i in A.FIELDS.items()]
-    morphemes = rows.where("kind = 'morpheme'").select("sid", "chunk_id", "ln", *fields, "off_start", (F.col("off_start") + F.length("surface") - 1).alias("off_end"))
-    # Bounded by one sentence's lines.
-    texts = rows.groupBy("sid").agg(F.min(F.when(F.col("kind") == "header", F.struct("ln", "line"))).alias("h"), F.array_sort(F.collect_list(F.struct("ln", "surface"))).alias("x"))
-    number = lambda at: F.get(F.reverse(F.split("sid", "-")), F.lit(at)).try_cast("int")
-    sentences = texts.select(
-        "sid",
-        F.regexp_extract("sid", r"^(.*)-1-[^-]*-[^-]*$", 1).alias("article"),
-        number(1).alias("sent_no"),
-        number(0).alias("sub_no"),
-        F.col("h.line").alias("header"),
-        F.array_join(F.transform("x", lambda m: m["surface"]), "").alias("text"),
-    )
-    rejects = of_chunk.where("reason IS NOT NULL").select("sid", "ln", "line", "reason")
-    return Parsed(sentences, chunks, morphemes, rejects)
+    morphemes = _morphemes(raw).select("sid", "chunk_id", "ln", *fields, "off_start", (F.col("off_start") + F.length("surface") - 1).alias("off_end"))
+    rejects = parts.where("reason IS NOT NULL").select("sid", "ln", "line", "reason")
+    return Parsed(sentence_table(raw), chunks, morphemes, rejects)
 
 
-def chunk_texts(chunks: DataFrame, morphemes: DataFrame) -> DataFrame:
+def chunk_texts(chunks: DataFrame) -> DataFrame:
     """(sid, chunk_id, text, label): the surfaces of a chunk joined, and its labels."""
-    joined = morphemes.groupBy("sid", "chunk_id").agg(F.array_sort(F.collect_list(F.struct("ln", "surface"))).alias("x"))
-    texts = joined.select("sid", "chunk_id", F.array_join(F.transform("x", lambda m: m["surface"]), "").alias("text"))
-    labelled = chunks.select("sid", "chunk_id", A.chunk_label(F.col("cases"), F.col("entities")).alias("label"))
-    return labelled.join(texts, ["sid", "chunk_id"], "left").select("sid", "chunk_id", F.coalesce("text", F.lit("")).alias("text"), "label")
+    return chunks.select("sid", "chunk_id", "text", A.chunk_label(F.col("cases"), F.col("entities")).alias("label"))
 
 
 def block_texts(raw: DataFrame) -> DataFrame:
     """(sid, block, text): the surfaces up to each end mark; a file may hold several."""
-    rows = _numbered(raw).where("kind IN ('morpheme', 'end')")
-    joined = rows.groupBy("sid", "block").agg(F.array_sort(F.collect_list(F.struct("ln", "surface"))).alias("x"), F.max((F.col("kind") == "end").cast("int")).alias("ended"))
-    return joined.where("ended = 1").select("sid", "block", F.array_join(F.transform("x", lambda m: m["surface"]), "").alias("text"))
+    cut = F.split(F.concat(F.lit("\n"), F.regexp_replace("value", r"\n\z", "")), r"\nEOS(?=\n|\z)")
+    ended = F.slice(cut, F.lit(1), F.size(cut) - 1)
+    # Each part starts with the line end that was put or left before its first line.
+    texts = F.transform(ended, lambda part: _surfaces(F.filter(F.split(part, "\n"), lambda x: x != "")))
+    return raw.where("value IS NOT NULL").select("sid", F.posexplode(texts).alias("block", "text"))
 
 
 def plain_texts(raw: DataFrame) -> DataFrame:
-    """(sid, text): all surfaces of a file, without lines that start with #, *, + or E."""
-    kept = lines(raw).where(~F.col("line").rlike(r"^[#*+E]")).select("sid", "ln", F.get(F.split("line", " "), F.lit(0)).alias("surface"))
-    joined = kept.groupBy("sid").agg(F.array_sort(F.collect_list(F.struct("ln", "surface"))).alias("x"))
-    return joined.select("sid", F.array_join(F.transform("x", lambda m: m["surface"]), "").alias("text"))
+    """(sid, text): all surfaces of a file, without lines that start with #, *, + or E;
+    files of such lines only are left out."""
+    kept = F.filter(_lines(F.col("value")), lambda x: ~x.rlike(r"^[#*+E]"))
+    return raw.select("sid", kept.alias("kept")).where(F.size("kept") > 0).select("sid", F.array_join(F.transform("kept", _surface), "").alias("text"))
 
 
 def morpheme_display(morphemes: DataFrame) -> DataFrame:
     """(sid, ln, surface, reading, lemma, pos, conj): the columns as tables show them."""
     return morphemes.select("sid", "ln", "surface", "reading", "lemma", A.shown(F.col("pos1"), F.col("pos2")).alias("pos"), A.shown(F.col("conj_type"), F.col("conj_form")).alias("conj"))
+
+
+def output_order(chunks: DataFrame, morphemes: DataFrame) -> DataFrame:
+    """(sid, chunk_id, ln, kind, parent, surface) as pages show them: sentences by name, in
+    each the chunks by number and their morphemes by line. Sorted by ranges; a chunk
+    without morphemes has a row of its own."""
+    rows = chunks.select("sid", "chunk_id", "kind", "parent").join(morphemes.select("sid", "chunk_id", "ln", "surface"), ["sid", "chunk_id"], "left")
+    return rows.select("sid", "chunk_id", "ln", "kind", "parent", "surface").orderBy("sid", "chunk_id", "ln")

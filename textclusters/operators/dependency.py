@@ -1,12 +1,10 @@
 """Dependency edges of chunks and the grid in which they are drawn."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The symbols of the grid.
 JOINS, FIRST, CROSSES, PASSES, THROUGH, BLANK = "┫", "┓", "╋", "━", "┃", "　"
-#: Chunks beyond which a sentence's grid, whose size is the square, is not drawn.
-MAX_CHUNKS = 2000
 
 
 def edges(chunks: DataFrame) -> DataFrame:
@@ -25,30 +23,60 @@ def chunk_counts(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("sid").agg((F.max("chunk_id") + 1).alias("n_chunks"))
 
 
-def oversized(chunks: DataFrame, max_chunks: int = MAX_CHUNKS) -> DataFrame:
-    """The sentences that dependency_grid leaves out: more than max_chunks chunks."""
-    return chunk_counts(chunks).where(F.col("n_chunks") > max_chunks)
+def _drawn(chunks: DataFrame) -> DataFrame:
+    """(sid, i, classes array<string>, dep_type): the classes of the cells of chunk i.
+
+    A sentence's chunks meet in one row, the only shuffle; a chunk's row of the grid is
+    then made from the array of all chunks, a chunk at a time, so that what is held
+    grows with a sentence and not with its square.
+    """
+    told = F.struct(F.coalesce("parent", F.lit(-1)).alias("parent"), "dep_type")
+    chunk = F.struct(F.col("chunk_id").alias("j"), told.alias("told"), F.lit(None).cast("int").alias("child"))
+    child = F.struct(F.col("parent").alias("j"), F.lit(None).cast("struct<parent:int,dep_type:string>").alias("told"), F.col("chunk_id").alias("child"))
+    ends = chunks.select("sid", F.inline(F.array(chunk, child))).where("j >= 0").repartition("sid")
+    each = ends.groupBy("sid", "j").agg(F.max("told").alias("told"), F.min("child").alias("first"))
+    sentence = each.groupBy("sid").agg(F.collect_list(F.struct("j", "told", "first")).alias("own"), (F.max(F.when(F.col("told").isNotNull(), F.col("j"))) + 1).alias("n"))
+    # Numbers that no row has, those of lines that could not be parsed, are filled in: places are numbers then.
+    missing = F.array_except(F.sequence(F.lit(0), F.col("n") - 1), F.transform("own", lambda x: x["j"]))
+    none = F.transform(missing, lambda j: F.struct(j.alias("j"), F.lit(None).cast("struct<parent:int,dep_type:string>").alias("told"), F.lit(None).cast("int").alias("first")))
+    sentence = sentence.select("sid", "n", F.filter(F.array_sort(F.concat("own", none)), lambda x: x["j"] < F.col("n")).alias("all"))
+    each = sentence.select("sid", "n", "all", F.explode("all").alias("c")).where(F.col("c.told").isNotNull() & (F.col("c.j") < F.col("n") - 1))
+    i, parent = F.col("c.j"), F.col("c.told.parent")
+
+    def kind(j: Column) -> Column:
+        here, later, earlier = parent == j, parent > j, F.coalesce(F.get("all", j)["first"] < i, F.lit(False))
+        return F.when(here & earlier, "joins").when(here, "first").when(later & earlier, "crosses").when(later, "passes").when(earlier, "through").otherwise("blank")
+
+    return each.select("sid", i.alias("i"), F.transform(F.sequence(i + 1, F.col("n") - 1), kind).alias("classes"), F.col("c.told.dep_type").alias("dep_type"))
+
+
+def _symbol(kind: Column, dep_type: Column) -> Column:
+    letter = F.when(dep_type == "D", F.when(kind == "joins", JOINS).otherwise(FIRST)).otherwise(dep_type)
+    return F.when(kind.isin("joins", "first"), letter).when(kind == "crosses", CROSSES).when(kind == "passes", PASSES).when(kind == "through", THROUGH).otherwise(BLANK)
 
 
-def dependency_grid(chunks: DataFrame, max_chunks: int = MAX_CHUNKS) -> DataFrame:
+def dependency_grid(chunks: DataFrame) -> DataFrame:
     """(sid, i, j, class, cell) for each chunk i and each later chunk j of its sentence.
 
     A chunk whose parent is beyond the last chunk, or unknown, never joins; the
     line of an unknown parent or of the root does not pass either.
     """
-    sizes = chunk_counts(chunks).where(F.col("n_chunks") <= max_chunks)
-    rows = chunks.select("sid", F.col("chunk_id").alias("i"), F.coalesce("parent", F.lit(-1)).alias("parent"), "dep_type").join(sizes, "sid").where("i < n_chunks - 1")
-    cells = rows.withColumn("j", F.explode(F.sequence(F.col("i") + 1, F.col("n_chunks") - 1)))
-    first = children(chunks).select("sid", F.col("parent").alias("j"), "min_child")
-    cells = cells.join(first, ["sid", "j"], "left").withColumn("earlier", F.coalesce(F.col("min_child") < F.col("i"), F.lit(False)))
-    here, later, earlier = F.col("parent") == F.col("j"), F.col("parent") > F.col("j"), F.col("earlier")
-    kind = F.when(here & earlier, "joins").when(here, "first").when(later & earlier, "crosses").when(later, "passes").when(earlier, "through").otherwise("blank")
-    letter = F.when(F.col("dep_type") == "D", F.when(F.col("class") == "joins", JOINS).otherwise(FIRST)).otherwise(F.col("dep_type"))
-    symbol = F.when(here, letter).when(F.col("class") == "crosses", CROSSES).when(F.col("class") == "passes", PASSES).when(F.col("class") == "through", THROUGH).otherwise(BLANK)
-    return cells.withColumn("class", kind).withColumn("cell", symbol).select("sid", "i", "j", "class", "cell")
-
-
-def grid_rows(grid: DataFrame) -> DataFrame:
-    """(sid, i, drawing): the cells of a chunk joined in order; bounded by a sentence."""
-    joined = grid.groupBy("sid", "i").agg(F.array_sort(F.collect_list(F.struct("j", "cell"))).alias("x"))
-    return joined.select("sid", "i", F.array_join(F.transform("x", lambda c: c["cell"]), "").alias("drawing"))
+    cells = _drawn(chunks).select("sid", "i", "dep_type", F.posexplode("classes").alias("at", "class"))
+    return cells.select("sid", "i", (F.col("i") + 1 + F.col("at")).alias("j"), "class", _symbol(F.col("class"), F.col("dep_type")).alias("cell"))
+
+
+def grid_rows(chunks: DataFrame) -> DataFrame:
+    """(sid, i, drawing): the cells of a chunk joined in order."""
+    return _drawn(chunks).select("sid", "i", F.array_join(F.transform("classes", lambda x: _symbol(x, F.col("dep_type"))), "").alias("drawing"))
+
+
+def grid_classes(chunks: DataFrame) -> DataFrame:
+    """(sid, class, n_cells) of each sentence, counted within the rows of the grid first."""
+    names = ("joins", "first", "crosses", "passes", "through", "blank")
+
+    def counted(name: str) -> Column:
+        return F.struct(F.lit(name).alias("class"), F.size(F.filter("classes", lambda x: x == name)).alias("n"))
+
+    rows = _drawn(chunks).select("sid", F.array(*map(counted, names)).alias("x"))
+    each = rows.select("sid", F.inline("x")).where("n > 0")
+    return each.groupBy("sid", "class").agg(F.sum("n").cast("long").alias("n_cells"))

@@ -56,16 +56,19 @@ assigned AS (
   UNION ALL SELECT unnest(['BOS', 'EOS']), 0)"""
 )
 
-_PIECES = (
-    _SENTENCES
-    + """,
+
+def _cut(size: str) -> str:
+    """The pieces of all lines, of so many words each."""
+    return (
+        _SENTENCES
+        + f""",
 safe AS (
   SELECT doc_id, grp, line_no, list_transform(words, lambda w: CASE WHEN regexp_matches(w, '^[#*+]') OR w = 'EOS' THEN '_' || w ELSE w END) AS ws
   FROM sentence WHERE len(words) > 0),
-part AS (SELECT *, unnest(range((len(ws) + 11) // 12)) AS k FROM safe),
+part AS (SELECT *, unnest(range((len(ws) + {size} - 1) // {size})) AS k FROM safe),
 piece AS (
   SELECT 'D' || doc_id || '_' || grp || '_1-1-' || (line_no + 1) || '-' || CASE WHEN k < 9 THEN '0' ELSE '' END || (k + 1) AS sid,
-    'D' || doc_id || '_' || grp || '_1' AS article, (line_no + 1)::INTEGER AS sent_no, (k + 1)::INTEGER AS sub_no, ws[k * 12 + 1 : k * 12 + 12] AS w
+    'D' || doc_id || '_' || grp || '_1' AS article, (line_no + 1)::INTEGER AS sent_no, (k + 1)::INTEGER AS sub_no, ws[k * {size} + 1 : k * {size} + {size}] AS w
   FROM part),
 unit AS (
   SELECT sid, i, len(w) AS n, w[i + 1] AS word, CASE WHEN i > 0 THEN w[i] END AS before
@@ -75,16 +78,22 @@ chunk AS (
     (CASE WHEN i = n - 1 THEN -1 ELSE least(i + 1 + length(word) % 3, n - 1) END)::INTEGER AS parent,
     CASE WHEN length(word) % 7 = 0 THEN 'P' ELSE 'D' END AS dep_type, n, word,
     CASE WHEN i > 0 AND NOT regexp_matches(before, '[<>【】();:]') THEN before END AS linked,
-    CASE WHEN regexp_matches(word, '^[A-Z]') AND NOT regexp_matches(word, '[<>【】();:]') THEN word END AS named
+    CASE WHEN length(linked) % 5 = 0 THEN 'メモ' ELSE 'ガ' END AS marker, CASE WHEN length(linked) % 3 = 0 THEN '1文前' ELSE '同一文' END AS position,
+    CASE WHEN marker = 'メモ' THEN marker || ':' || linked WHEN position = '同一文' THEN linked || ':' || marker
+      ELSE linked || ':' || marker || ':' || position END AS linked_label,
+    CASE WHEN regexp_matches(word, '^[A-Z]') AND NOT regexp_matches(word, '[<>【】();:]') THEN word END AS named,
+    (1 + 2 * i + CASE WHEN i > 5 THEN 1 ELSE 0 END)::INTEGER AS chunk_ln
   FROM unit),
 off AS (
-  SELECT sid, chunk_id, word, coalesce(sum(length(word)) OVER (PARTITION BY sid ORDER BY chunk_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INTEGER AS off_start
+  SELECT sid, chunk_id, word, (chunk_ln + 1)::INTEGER AS ln, CASE WHEN length(word) % 4 = 0 THEN '*' ELSE '普通名詞' END AS pos2,
+    coalesce(sum(length(word)) OVER (PARTITION BY sid ORDER BY chunk_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INTEGER AS off_start
   FROM chunk)"""
-)
+    )
 
-_GRID = (
-    _PIECES
-    + """,
+
+_PIECES = _cut("12")
+
+_GRID_OF = """,
 child AS (SELECT sid, parent, min(chunk_id) AS min_child FROM chunk WHERE parent >= 0 GROUP BY ALL),
 pairs AS (SELECT sid, chunk_id AS i, parent, dep_type, unnest(range(chunk_id + 1, n))::INTEGER AS j FROM chunk),
 cell AS (
@@ -93,7 +102,7 @@ cell AS (
       WHEN p.parent > j AND min_child < i THEN 'crosses' WHEN p.parent > j THEN 'passes'
       WHEN min_child < i THEN 'through' ELSE 'blank' END AS class
   FROM pairs p LEFT JOIN child c ON c.sid = p.sid AND c.parent = p.j)"""
-)
+_GRID = _PIECES + _GRID_OF
 
 _DOC_WORDS = """
 word AS (
@@ -106,9 +115,9 @@ morpheme AS (
   FROM word),
 given AS (
   SELECT d.doc_id::VARCHAR AS sid, regexp_replace(d.text, '[ \\n]+', '', 'g') AS sent, regexp_replace(b.text, '[ \\n]+', '', 'g') AS expr,
-    CASE WHEN item_id % 2 = 0 THEN '[著者]' ELSE 'source' END AS holder, 'T' || item_id % 3 AS type, lang AS target, item_id
+    CASE WHEN item_id % 2 = 0 THEN '[著者]' ELSE source END AS holder, 'T' || item_id % 3 AS type, lang AS target, item_id
   FROM documents d JOIN benchmark b ON contains(d.text, b.text)
-  WHERE len(list_filter(regexp_split_to_array(b.text, '[ \\n]+'), lambda w: w <> '')) >= 5),
+  WHERE len(list_filter(regexp_split_to_array(b.text, '[ \\n]+'), lambda w: w <> '')) > 0),
 opinion AS (
   SELECT sid, (row_number() OVER (PARTITION BY sid ORDER BY item_id, holder, expr, type, target) - 1)::INTEGER AS idx, holder, expr,
     (instr(sent, expr) - 1)::INTEGER AS start, (instr(sent, expr) - 2 + length(expr))::INTEGER AS "end", type, target
@@ -145,6 +154,8 @@ ORACLES = {
     "seed_clusters": _sql(_SEEDS, "SELECT * FROM seed"),
     "seed_affinity": _sql(_SEEDS, "SELECT * FROM affinity"),
     "seed_assignment": _sql(_ASSIGNED, "SELECT * FROM assigned"),
+    "stored_clusters": _sql(_ASSIGNED, "SELECT * FROM assigned"),
+    "gold_path_bigrams": _sql(_COUNTS, "SELECT * FROM bi"),
     "cluster_sizes": _sql(_ASSIGNED, "SELECT cluster, count(*) AS n_words FROM assigned GROUP BY cluster"),
     "cluster_mass": _sql(_ASSIGNED, "SELECT cluster, sum(cnt)::DOUBLE AS mass FROM assigned JOIN uni USING (word) GROUP BY cluster"),
     "cluster_lookup": _sql(
@@ -154,20 +165,24 @@ SELECT doc_id, line_no, place, word, coalesce(cluster, 0)::INTEGER AS cluster FR
     ),
     "line_kinds": _sql(
         _PIECES,
-        """SELECT sid, unnest(['header', 'chunk', 'morpheme', 'end']) AS kind, unnest([1, len(w), len(w), 1])::BIGINT AS n_lines FROM piece""",
+        """SELECT sid, unnest(['header', 'chunk', 'morpheme', 'end']) AS kind, unnest([1, len(w), len(w), CASE WHEN len(w) > 6 THEN 2 ELSE 1 END])::BIGINT AS n_lines FROM piece""",
     ),
-    "chunks": _sql(_PIECES, "SELECT sid, chunk_id, kind, parent, dep_type, concat_ws(', ', linked || ':ガ', 'LOCA:' || named) AS label FROM chunk"),
+    "chunks": _sql(_PIECES, "SELECT sid, chunk_id, kind, parent, dep_type, concat_ws(', ', linked_label, 'LOCA:' || named) AS label FROM chunk"),
     "morphemes": _sql(
         _PIECES,
-        """SELECT sid, chunk_id, (2 + 2 * chunk_id)::INTEGER AS ln, word AS surface, word AS reading, word AS lemma, '名詞' AS pos1, '普通名詞' AS pos2,
+        """SELECT sid, chunk_id, ln, word AS surface, word AS reading, word AS lemma, '名詞' AS pos1, pos2,
   '*' AS conj_type, '*' AS conj_form, off_start, (off_start + length(word) - 1)::INTEGER AS off_end FROM off""",
     ),
-    "morpheme_display": _sql(_PIECES, "SELECT sid, (2 + 2 * chunk_id)::INTEGER AS ln, word AS surface, word AS reading, word AS lemma, '名詞 普通名詞' AS pos, ' ' AS conj FROM off"),
-    "case_links": _sql(_PIECES, "SELECT sid, chunk_id, 0 AS idx, linked AS word, 'ガ' AS marker, '同一文' AS position FROM chunk WHERE linked IS NOT NULL"),
+    "morpheme_display": _sql(_PIECES, "SELECT sid, ln, word AS surface, word AS reading, word AS lemma, '名詞 ' || CASE WHEN pos2 = '*' THEN '' ELSE pos2 END AS pos, ' ' AS conj FROM off"),
+    "case_links": _sql(_PIECES, "SELECT sid, chunk_id, 0 AS idx, linked AS word, marker, position FROM chunk WHERE linked IS NOT NULL"),
     "entities": _sql(_PIECES, "SELECT sid, chunk_id, 0 AS idx, 'LOCA' AS type, named AS word FROM chunk WHERE named IS NOT NULL"),
     "sentence_table": _sql(_PIECES, "SELECT sid, article, sent_no, sub_no, '# S-ID:' || sid AS header, array_to_string(w, '') AS text FROM piece"),
-    "chunk_text": _sql(_PIECES, "SELECT sid, chunk_id, word AS text, concat_ws(', ', linked || ':ガ', 'LOCA:' || named) AS label FROM chunk"),
-    "sentence_text": _sql(_PIECES, "SELECT sid, 0 AS block, array_to_string(w, '') AS text FROM piece"),
+    "chunk_text": _sql(_PIECES, "SELECT sid, chunk_id, word AS text, concat_ws(', ', linked_label, 'LOCA:' || named) AS label FROM chunk"),
+    "sentence_text": _sql(
+        _PIECES,
+        """SELECT sid, 0 AS block, array_to_string(w[1:CASE WHEN len(w) > 6 THEN 6 ELSE len(w) END], '') AS text FROM piece
+UNION ALL SELECT sid, 1 AS block, array_to_string(w[7:], '') AS text FROM piece WHERE len(w) > 6""",
+    ),
     "plain_text": _sql(_HEADINGS, "SELECT * FROM plain"),
     "children": _sql(_PIECES, "SELECT sid, parent, string_agg(chunk_id::VARCHAR, ',' ORDER BY chunk_id) AS children, min(chunk_id) AS min_child FROM chunk WHERE parent >= 0 GROUP BY ALL"),
     "dependency_edges": _sql(_PIECES, "SELECT sid, chunk_id AS child, parent, dep_type FROM chunk"),
@@ -180,8 +195,14 @@ SELECT doc_id, line_no, place, word, coalesce(cluster, 0)::INTEGER AS cluster FR
     WHEN 'crosses' THEN '╋' WHEN 'passes' THEN '━' WHEN 'through' THEN '┃' ELSE '　' END, '' ORDER BY j) AS drawing
 FROM cell GROUP BY sid, i""",
     ),
+    "line_grid_cells": _sql(_cut("len(ws)") + _GRID_OF, "SELECT sid, class, count(*) AS n_cells FROM cell GROUP BY ALL"),
+    "rejects": _sql(_PIECES, "SELECT sid, chunk_ln AS ln, 'link' AS reason FROM chunk WHERE length(linked) % 11 = 0"),
+    "output_rows": _sql(_PIECES, "SELECT sid, chunk_id, ln, kind, parent, c.word AS surface FROM chunk c JOIN off USING (sid, chunk_id)"),
     "morpheme_offsets": _sql(_DOC_WORDS, "SELECT * FROM morpheme"),
     "opinion_spans": _sql(_DOC_WORDS, "SELECT * FROM opinion"),
+    "stored_opinions": _sql(_DOC_WORDS, "SELECT * FROM opinion"),
+    "opinion_files": _sql(_DOC_WORDS, "SELECT * FROM opinion"),
+    "marked_morphemes": _sql(_DOC_WORDS, "SELECT sid, ln, idx, idx IS NOT NULL AS in_opinion FROM morpheme LEFT JOIN overlap USING (sid, ln)"),
     "sentence_opinions": _sql(_DOC_WORDS, "SELECT d.doc_id::VARCHAR AS sid, count(o.idx) AS n_opinions FROM documents d LEFT JOIN opinion o ON o.sid = d.doc_id::VARCHAR GROUP BY d.doc_id"),
     "opinion_overlap": _sql(_DOC_WORDS, "SELECT * FROM overlap"),
     "chunk_opinions": _sql(
@@ -195,6 +216,7 @@ FROM morpheme m LEFT JOIN told t ON m.sid = t.sid AND m.ln = t.ln GROUP BY m.sid
     ),
     "article_categories": _sql(_HEADINGS, "SELECT * FROM article"),
     "article_headings": _sql(_HEADINGS, "SELECT category, article, heading FROM heading WHERE category IS NOT NULL AND heading IS NOT NULL"),
+    "headings_by_category": _sql(_HEADINGS, "SELECT category, article, heading FROM heading WHERE category IS NOT NULL AND heading IS NOT NULL"),
     "article_rejects": _sql(_HEADINGS, "SELECT article, CASE WHEN category IS NULL THEN 'category' ELSE 'heading' END AS reason FROM heading WHERE category IS NULL OR heading IS NULL"),
     "category_sizes": _sql(_HEADINGS, "SELECT category, count(*) AS n_articles FROM heading WHERE category IS NOT NULL AND heading IS NOT NULL GROUP BY category"),
     "sentence_order": _sql(_PIECES, "SELECT article, sid, sent_no, row_number() OVER (PARTITION BY article ORDER BY sent_no, sid)::INTEGER AS place FROM piece"),

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from textclusters.functions.annotation import chunk_label
 from textclusters.operators import annotated, brown, counts, dependency, index, opinions, pmi
 from textclusters.plans.oracles import ORACLES
-from textclusters.sources import adapters
+from textclusters.sources import adapters, corpus
 from textclusters.sources.tables import table
 
 #: The parameters of the clustering queries.
@@ -120,6 +120,20 @@ def cluster_lookup(spark, sf_dir):
     return brown.get_cluster(words, seed_assignment(spark, sf_dir))
 
 
+def stored_clusters(spark, sf_dir):
+    """The seed assignment, written and read back."""
+    path = corpus.scratch(spark)
+    corpus.write_clusters(seed_assignment(spark, sf_dir), path)
+    return corpus.read_clusters(spark, path)
+
+
+def gold_path_bigrams(spark, sf_dir):
+    """Adjacent words of gold paths, written and read back, with their counts."""
+    path = corpus.scratch(spark)
+    corpus.write_gold_paths(_sentences(spark, sf_dir).select("sid", F.array_join("words", "").alias("reading"), "words"), path)
+    return counts.bigram_counts(corpus.read_gold_paths(spark, path))
+
+
 def _raw(spark, sf_dir) -> DataFrame:
     return adapters.annotated(_documents(spark, sf_dir))
 
@@ -128,6 +142,12 @@ def _parsed(spark, sf_dir) -> annotated.Parsed:
     return annotated.parse_annotated(_raw(spark, sf_dir))
 
 
+def rejects(spark, sf_dir):
+    """Chunk lines that can't be parsed, of annotated text with broken links."""
+    broken = adapters.annotated(_documents(spark, sf_dir), broken=True)
+    return annotated.parse_annotated(broken).rejects.select("sid", "ln", "reason")
+
+
 def line_kinds(spark, sf_dir):
     """Lines of each kind in every annotated sentence."""
     rows = annotated.lines(_raw(spark, sf_dir)).groupBy("sid", "kind").agg(F.count("*").alias("n_lines"))
@@ -162,13 +182,18 @@ def entities(spark, sf_dir):
 
 def sentence_table(spark, sf_dir):
     """Sentences with article, numbers, header and text."""
-    return _parsed(spark, sf_dir).sentences
+    return annotated.sentence_table(_raw(spark, sf_dir))
 
 
 def chunk_text(spark, sf_dir):
     """Text and labels of every chunk."""
+    return annotated.chunk_texts(_parsed(spark, sf_dir).chunks)
+
+
+def output_rows(spark, sf_dir):
+    """Chunks and morphemes in the order of pages."""
     parsed = _parsed(spark, sf_dir)
-    return annotated.chunk_texts(parsed.chunks, parsed.morphemes)
+    return annotated.output_order(parsed.chunks, parsed.morphemes)
 
 
 def sentence_text(spark, sf_dir):
@@ -197,24 +222,48 @@ def chunk_counts(spark, sf_dir):
     return dependency.chunk_counts(_parsed(spark, sf_dir).chunks)
 
 
-def _grid(spark, sf_dir) -> DataFrame:
-    return dependency.dependency_grid(_parsed(spark, sf_dir).chunks)
-
-
 def grid_cells(spark, sf_dir):
     """Cells of each class in every sentence's grid."""
-    return _grid(spark, sf_dir).groupBy("sid", "class").agg(F.count("*").alias("n_cells"))
+    return dependency.grid_classes(_parsed(spark, sf_dir).chunks)
 
 
 def grid_rows(spark, sf_dir):
     """The drawn row of every chunk."""
-    return dependency.grid_rows(_grid(spark, sf_dir))
+    return dependency.grid_rows(_parsed(spark, sf_dir).chunks)
+
+
+def line_grid_cells(spark, sf_dir):
+    """Cells of each class in the grid of every whole line, however long."""
+    whole = adapters.annotated(_documents(spark, sf_dir), piece=None)
+    return dependency.grid_classes(annotated.parse_annotated(whole).chunks)
+
+
+def _opinion_rows(spark, sf_dir) -> DataFrame:
+    return adapters.opinion_rows(_documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
 
 def _opinions(spark, sf_dir):
-    documents = _documents(spark, sf_dir)
-    rows = adapters.opinion_rows(documents, table(spark, sf_dir, "benchmark"))
-    return documents, opinions.locate_opinions(rows, order=("item_id",))
+    return _documents(spark, sf_dir), opinions.locate_opinions(_opinion_rows(spark, sf_dir))
+
+
+def stored_opinions(spark, sf_dir):
+    """Located opinions, written to a store and read back."""
+    path = corpus.scratch(spark)
+    corpus.write_opinions(_opinions(spark, sf_dir)[1][0], path)
+    return corpus.read_stored_opinions(spark, path)
+
+
+def opinion_files(spark, sf_dir):
+    """Opinions with the place of their expressions, from tab-separated files."""
+    path = corpus.scratch(spark)
+    corpus.write_opinion_rows(_opinion_rows(spark, sf_dir), path)
+    return opinions.locate_opinions(corpus.read_opinions(spark, path), order=("file", "line"))[0]
+
+
+def marked_morphemes(spark, sf_dir):
+    """Every morpheme with the lowest opinion that it lies in, or none."""
+    documents, (found, _) = _opinions(spark, sf_dir)
+    return opinions.marked_morphemes(adapters.document_morphemes(documents), found).select("sid", "ln", "idx", "in_opinion")
 
 
 def opinion_spans(spark, sf_dir):
@@ -247,11 +296,11 @@ def chunk_opinions(spark, sf_dir):
 
 def article_categories(spark, sf_dir):
     """Articles with their category."""
-    return index.articles(_parsed(spark, sf_dir).sentences, adapters.LANGS)
+    return index.articles(sentence_table(spark, sf_dir), adapters.LANGS)
 
 
 def _headings(spark, sf_dir):
-    return index.article_headings(_parsed(spark, sf_dir).sentences, plain_text(spark, sf_dir), adapters.LANGS)
+    return index.article_headings(sentence_table(spark, sf_dir), plain_text(spark, sf_dir), adapters.LANGS)
 
 
 def article_headings(spark, sf_dir):
@@ -264,6 +313,13 @@ def article_rejects(spark, sf_dir):
     return _headings(spark, sf_dir)[1]
 
 
+def headings_by_category(spark, sf_dir):
+    """Articles with their headings, written in a folder for each category and read back."""
+    path = corpus.scratch(spark)
+    corpus.write_by_category(_headings(spark, sf_dir)[0], path)
+    return spark.read.parquet(path).select("category", "article", "heading")
+
+
 def category_sizes(spark, sf_dir):
     """Articles in each category."""
     return index.category_sizes(_headings(spark, sf_dir)[0])
@@ -271,7 +327,7 @@ def category_sizes(spark, sf_dir):
 
 def sentence_order(spark, sf_dir):
     """Every sentence's place in its article."""
-    return index.sentence_order(_parsed(spark, sf_dir).sentences)
+    return index.sentence_order(sentence_table(spark, sf_dir))
 
 
 QUERIES = {
@@ -279,10 +335,10 @@ QUERIES = {
     for f in (
         (bigram_counts, unigram_counts, bigram_counts_by_group, vocabulary, filtered_bigrams, filtered_unigrams, bigram_mass)
         + (weighted_pmi, seed_clusters, seed_affinity, seed_assignment, brown_clusters, brown_clusters_by_group, brown_cluster_sizes)
-        + (cluster_sizes, cluster_mass, cluster_lookup, line_kinds, chunks, morphemes, morpheme_display, case_links, entities)
-        + (sentence_table, chunk_text, sentence_text, plain_text, children, dependency_edges, chunk_counts, grid_cells, grid_rows)
-        + (opinion_spans, sentence_opinions, opinion_overlap, morpheme_offsets, chunk_opinions)
-        + (article_categories, article_headings, article_rejects, category_sizes, sentence_order)
+        + (cluster_sizes, cluster_mass, cluster_lookup, stored_clusters, gold_path_bigrams, rejects, line_kinds, chunks, morphemes, morpheme_display, case_links, entities)
+        + (sentence_table, chunk_text, output_rows, sentence_text, plain_text, children, dependency_edges, chunk_counts, grid_cells, grid_rows, line_grid_cells)
+        + (opinion_spans, stored_opinions, opinion_files, sentence_opinions, opinion_overlap, marked_morphemes, morpheme_offsets, chunk_opinions)
+        + (article_categories, article_headings, article_rejects, headings_by_category, category_sizes, sentence_order)
     )
 }
 

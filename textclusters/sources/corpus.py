@@ -1,5 +1,9 @@
 """Readers and writers of annotated corpora, opinion rows, paths and clusters."""
 
+import tempfile
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,10 +47,40 @@ def write_opinions(opinions: DataFrame, path: str) -> None:
 
 
 def read_stored_opinions(spark: SparkSession, path: str | None) -> DataFrame | None:
-    """Located opinions, or None where no store is named: no sentence has any then."""
-    return spark.read.parquet(path) if path else None
+    """Located opinions, or None where no store is named or none is there: no sentence has any then."""
+    if not path:
+        return None
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as missing:
+        if missing.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+
+
+def write_opinion_rows(rows: DataFrame, path: str) -> None:
+    """Opinion rows as tab-separated text files, as read_opinions() reads them; no field may hold a tab or a line end."""
+    names = [x.split()[0] for x in OPINION_SCHEMA.split(", ")]
+    rows.select(F.array_join(F.array(*names), "\t", "").alias("value")).write.mode("overwrite").text(path)
+
+
+def write_gold_paths(paths: DataFrame, path: str) -> None:
+    """(sid, reading, words) as Parquet rows (sid, reading, nodes array<struct<surface>>)."""
+    paths.select("sid", "reading", F.transform("words", lambda w: F.struct(w.alias("surface"))).alias("nodes")).write.mode("overwrite").parquet(path)
 
 
 def write_by_category(df: DataFrame, path: str) -> None:
     """One folder a category; rows of an article lie together in its files."""
     df.repartition("category", "article").sortWithinPartitions("article").write.mode("overwrite").partitionBy("category").parquet(path)
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new path below the folder that spark.checkpoint.dir names; where none is set, a
+    temporary one is taken if all tasks run on this machine, and a cluster must name one."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    return f"{context.getCheckpointDir()}/{uuid.uuid4().hex}"
