@@ -8,8 +8,10 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
+import zstandard
 
 from textclusters.llm import components, linededup, lmscore, simhash, substrings, urlfilter
 from textclusters.llm.registry import op3_urlfilter  # noqa: F401
@@ -182,145 +184,148 @@ def test_scores_have_the_base_and_beat_it_on_held_out_texts(spark):
     sides = [[f"{s}{k}" for k in range(30)] for s in "xy"]
     docs = [(i, " ".join(rng.choice(sides[i % 2]) for _ in range(60))) for i in range(400)] + [(400, None), (401, "never seen"), (402, "É\xa0Ä x1 X1 \x1cé"), (403, "É é Ä")]
     rows = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
-    for common, with_path in ((1 << 17, 1 << 13), (1 << 17, 8), (8, 4)):
-        got = {r.doc_id: r for r in lmscore.score(rows, common, with_path, slot_bits=12).collect()}
-        for i, (held, n, known, train, base) in plain_scores(docs).items():
-            r = got[i]
-            assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held, n, known, train) and r.base_score == pytest.approx(base)
-        out = [r for r in got.values() if r.held_out and r.n_tokens > 50]
-        assert len(out) > 40
-        if with_path > 100:
-            assert sum(r.score for r in out) > 0.93 * sum(r.base_score for r in out)
-
-
-def test_scores_of_all_continuations_add_up(spark):
-    """The probabilities of all texts of up to one word are below one together and near it,
-    however tokens are told apart: by a path, by a share known to all tasks, by a joined count."""
-    docs = [(i, w) for i, w in enumerate(["a", "b", "a", "c", ""] * 20)]
-    asked = [(1000 + k, t) for k, t in enumerate(["", "a", "b", "c", "zzz"])]
-    ids = {t: i for i, t in asked}
-    rows = spark.createDataFrame(docs + asked, "doc_id long, text string")
-    for common, with_path in ((9, 9), (9, 1), (2, 1), (0, 0)):
-        got = {r.doc_id: r.score for r in lmscore.score(rows, common, with_path, slot_bits=10).collect()}
-        assert 0.7 < sum(10 ** got[ids[t]] for t in ids) < 1.0001
-
-
-def test_contexts_tell_rare_tokens_apart(spark):
-    """A token that is not a leaf of the tree is predicted by the one before it, and not only as one of the rare."""
-    docs = [(i, " ".join(f"a{(i + k) % 40} b{(i + k) % 40}" for k in range(20))) for i in range(300)]
-    asked = [(1000, "a7 b7"), (1001, "a7 b8")]
-    rows = spark.createDataFrame(docs + asked, "doc_id long, text string")
-    got = {r.doc_id: r.score for r in lmscore.score(rows, common=4, with_path=4).collect()}
-    assert got[1000] > got[1001] + 0.5
-
-
-def plain_model(docs, leaves):
-    """The model by loops over dictionaries, for one chunk of fewer than 2,048 training tokens."""
-    tokens = lambda t: [w.encode() for w in split(lower(t or ""))] + [b"\n"]
-    training = sorted((i, t) for i, t in docs if zlib.crc32(str(i).encode()) % 5 != 1)
-    count = Counter(w for _, t in training for w in tokens(t))
-    words = sorted((w for w in count if w != b"\n"), key=lambda w: (-count[w], w))
-    # As many whole steps of the histogram of counts as fit.
-    step = lambda w: math.floor(16 * math.log2(count[w]))
-    fits = [w for w in words if sum(step(x) >= step(w) for x in words) <= leaves]
-    other = sum(count[w] for w in words if w not in fits)
-    heap = [(max(n, 1), k, [k]) for k, n in enumerate([*(count[w] for w in fits), count[b"\n"], other])]
-    paths, fresh = {k: [] for k in range(len(heap))}, len(heap)
-    while len(heap) > 1:
-        heap.sort()
-        (a, _, x), (b, _, y) = heap[:2]
-        for side, own in enumerate((x, y)):
-            for k in own:
-                paths[k].append((fresh, side))
-        heap, fresh = [*heap[2:], (a + b, fresh, x + y)], fresh + 1
-    paths = {k: p[::-1] for k, p in paths.items()}
-    deep = len(count).bit_length() + 2
-    hashed = lambda w: xxhash.xxh64_intdigest(w, 42)
-
-    def path(w):
-        if w in fits or w == b"\n":
-            return paths[fits.index(w) if w in fits else len(fits)]
-        bits = f"{hashed(w):064b}"[:deep]
-        return paths[len(fits) + 1] + [("below", bits[:d], int(bit)) for d, bit in enumerate(bits)]
-
-    def events(text):
-        own = tokens(text)
-        for k, w in enumerate(own):
-            before = [own[k - d] if k >= d else None for d in (1, 2)]
-            contexts = [("0",), ("1", before[0]), ("2", *before), ("skip", before[1])]
-            for d, (*node, bit) in enumerate(path(w)):
-                gate = 16 if node[0] == "below" else min(d, 15)
-                yield k, gate, bit, [(*c, *node) for c in contexts]
-
-    seen = Counter((s, bit) for _, t in training for _, _, bit, slots in events(t) for s in slots)
-    odds = lambda s, own=None: [math.log((seen[x, 1] - (own == 1) + 0.4) / (seen[x, 0] - (own == 0) + 0.4)) for x in s]
-    total, moved = Counter(), {}
-    hits = Counter()
-    for _, t in training:
-        for _, gate, bit, slots in events(t):
-            given = odds(slots, bit)
-            x = max(-15, min(15, 0.3 * sum(given)))
-            error = bit - 1 / (1 + math.exp(-x))
-            moved[gate] = [m + error * g for m, g in zip(moved.get(gate, [0] * 4), given, strict=True)]
-            total[gate] += 1
-            hits[gate, max(0, min(32, round(2 * x) + 16)), bit] += 1
-    weights = {g: [0.3 + 0.3 * m / total[g] for m in moved[g]] for g in total}
-
-    def refined(gate, x, bit):
-        cell = max(0, min(32, round(2 * x) + 16))
-        centre = 1 / (1 + math.exp(-(cell - 16) / 2))
-        one = (hits[gate, cell, 1] + 20 * centre) / (hits[gate, cell, 0] + hits[gate, cell, 1] + 20)
-        one = min(1 - 1e-6, max(1e-6, one))
-        return one if bit else 1 - one
-
-    rare = [w for w in words if w not in fits]
-    unknown = (sum(count[w] == 1 for w in rare) + 0.5) / (other + 1) if other else 1.0
-    out = {}
-    for i, t in docs:
-        score, own = 0.0, tokens(t)
-        bits_of = Counter()
-        for k, gate, bit, slots in events(t):
-            x = max(-15, min(15, sum(w * o for w, o in zip(weights.get(gate, [0.3] * 4), odds(slots), strict=True))))
-            p = 0.5 / (1 + math.exp(-x if bit else x)) + 0.5 * refined(gate, x, bit)
-            if gate == 16:
-                bits_of[k] += math.log10(p)
-            else:
-                score += math.log10(p)
-        for k, w in enumerate(own):
-            if w in fits or w == b"\n":
-                continue
-            alike = sum(count[r] for r in rare if hashed(r) >> 64 - deep == hashed(w) >> 64 - deep)
-            score += bits_of[k] + math.log10((1 - unknown) * count[w] / alike) if count[w] else math.log10(unknown)
-        out[i] = score
-    return out
+    got = {r.doc_id: r for r in lmscore.score(rows).collect()}
+    for i, (held, n, known, train, base) in plain_scores(docs).items():
+        r = got[i]
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held, n, known, train) and r.base_score == pytest.approx(base)
+    out = [r for r in got.values() if r.held_out and r.n_tokens > 50]
+    assert len(out) > 40 and sum(r.score for r in out) > 0.93 * sum(r.base_score for r in out)
 
 
-@pytest.mark.parametrize("leaves", [0, 3, 100])
-def test_scores_equal_the_model_by_loops(spark, leaves):
-    rng = random.Random(5)
-    words = ["a", "B", "é", "d1", "ee", "f", "Gg"]
-    docs = [(i, " ".join(rng.choice(words[: 2 + i % 6]) for _ in range(rng.randint(0, 14)))) for i in range(60)] + [(60, None), (61, "never met"), (62, "solo")]
+def plain_model(docs, block=1 << 15, twice=8):
+    """The model by loops over dictionaries, for one chunk."""
+    held = lambda i: zlib.crc32(str(i).encode()) % 5 == 1
+    docs = sorted((i, t or "") for i, t in docs)
+    grams = lambda own: [[tuple(own[max(0, p - k) : p + 1]) if p >= k else ("<",) * (k - p) + tuple(own[: p + 1]) for k in range(3)] for p in range(len(own))]
+    texts = [grams([*split(lower(t)), "\n"]) for _, t in docs]
+    count = Counter(g for (i, _), own in zip(docs, texts, strict=True) if not held(i) for at in own for g in at)
+    total = sum(n for g, n in count.items() if len(g) == 1)
+    events, share = [[] for _ in range(sum(map(len, texts)))], [0.0] * len(docs)
+    at = 0
+    often = lambda n: min(15, int(math.log2(n + 1)))
+    for d, ((i, _), own) in enumerate(zip(docs, texts, strict=True)):
+        less = Counter(g for x in own for g in x) if not held(i) else Counter()
+        left = lambda g, less=less: count[g] - less[g]
+        levels = []
+        for p, x in enumerate(own):
+            n = [left(g) for g in x]
+            of = [total - len(own) * (not held(i)), left(own[p - 1][0]), left(own[p - 1][1])] if p else [total - len(own) * (not held(i)), *[left(("\n",))] * 2]
+            past = ([0, 0, 0] + levels)[::-1]
+            slots = [("one", x[1][0]), ("two", x[2][:2]), ("past", *past[:3], often(of[2])), ("often", often(of[2]), often(of[1]))]
+            level = 3 if n[2] else 2 if n[1] else 1 if n[0] else 0
+            for k in (0, 1, 2):
+                if of[2 - k]:
+                    yes = n[2 - k] > 0
+                    events[at].append((d, k, yes, slots, (past[0], often(of[2 if k == 0 else 1])), past[0], not held(i)))
+                    if yes:
+                        break
+            share[d] += math.log10(n[level - 1] / of[level - 1]) if level else 0
+            levels.append(level)
+            at += 1
+    seen, weights, cells = Counter(), {}, Counter()
+    blocks = [events[i : i + block] for i in range(0, len(events), block)]
+    sums = {}
+    for number, own in [*enumerate(blocks[:twice]), *enumerate(blocks)]:
+        sums[number] = Counter()
+        for kind in range(3):
+            moved, met, learned = {}, Counter(), []
+            for d, k, yes, slots, gate, last, teaches in (e for x in own for e in x):
+                if k != kind:
+                    continue
+                odds = [math.log((seen[kind, s, True] + 0.4) / (seen[kind, s, False] + 0.4)) for s in slots]
+                w = weights.setdefault((kind, gate), [0.4] * 4)
+                x = max(-15, min(15, sum(a * b for a, b in zip(w, odds, strict=True))))
+                p = 1 / (1 + math.exp(-x))
+                cell = max(0, min(32, round(2 * x) + 16))
+                centre = 1 / (1 + math.exp(-(cell - 16) / 2))
+                to = cells[kind, last, cell, True] + 20 * centre
+                no = cells[kind, last, cell, False] + 20 * (1 - centre)
+                sums[number][d] += math.log10(0.5 * (p if yes else 1 - p) + 0.5 * (to if yes else no) / (to + no))
+                if teaches:
+                    moved[gate] = [a + (yes - p) * o for a, o in zip(moved.get(gate, [0] * 4), odds, strict=True)]
+                    met[gate] += 1
+                    learned.append((slots, last, cell, yes))
+            for gate, step in moved.items():
+                weights[kind, gate] = [w + 0.02 * m / math.sqrt(met[gate]) for w, m in zip(weights[kind, gate], step, strict=True)]
+            for slots, last, cell, yes in learned:
+                cells[kind, last, cell, yes] += 1
+                for s in slots:
+                    seen[kind, s, yes] += 1
+    return {i: share[d] + sum(x[d] for x in sums.values()) for d, (i, _) in enumerate(docs)}
+
+
+def some_documents(n, rng):
+    words = ["a", "B", "é", "d1", "ee", "f", "Gg", *(f"w{k}" for k in range(40))]
+    docs = [(i, " ".join(rng.choice(words[: 2 + i % 40]) for _ in range(rng.randint(0, 30)))) for i in range(n)]
+    return docs + [(n, None), (n + 1, "never met"), (n + 2, "solo"), (n + 3, docs[3][1]), (n + 4, docs[8][1] + " f")]
+
+
+def test_scores_equal_the_model_by_loops(spark):
+    docs = some_documents(80, random.Random(5))
     rows = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
-    got = {r.doc_id: r.score for r in lmscore.score(rows, with_path=leaves).collect()}
-    want = plain_model(docs, leaves)
-    for i, _ in docs:
-        assert got[i] == pytest.approx(want[i], rel=2e-3, abs=2e-3), i
+    got = {r.doc_id: r.score for r in lmscore.score(rows, bucket_entries=50).collect()}
+    assert got == {i: pytest.approx(x, rel=1e-9, abs=1e-9) for i, x in plain_model(docs).items()}
+
+
+def chunk_of(docs, key_bits=62):
+    raw = [(t or "").encode() for _, t in docs]
+    held = [zlib.crc32(str(i).encode()) % 5 == 1 for i, _ in docs]
+    table = pa.table({"doc_ids": [[i for i, _ in docs]], "held_out": [held], "sizes": [list(map(len, raw))], "texts": [zstandard.compress(b"".join(raw))]})
+    chunk = lmscore.Chunk(table, key_bits)
+    sums = np.bincount(chunk.place, np.tile(chunk.learned, 3), len(chunk.keys)).astype(np.int64)
+    counts = sums[chunk.place].reshape(3, -1)
+    return chunk, counts, int(np.count_nonzero(chunk.learned))
+
+
+def test_blocks_are_predicted_by_those_before(monkeypatch):
+    monkeypatch.setattr(lmscore, "BLOCK", 64)
+    monkeypatch.setattr(lmscore, "TWICE", 2)
+    docs = some_documents(60, random.Random(7))
+    chunk, counts, total = chunk_of(docs)
+    got = dict(zip(chunk.ids, lmscore.log10_scores(chunk, counts, total), strict=True))
+    assert got == {i: pytest.approx(x, rel=1e-9, abs=1e-9) for i, x in plain_model(docs, 64, 2).items()}
+
+
+def test_scores_of_all_continuations_add_up_to_at_most_one():
+    docs = [(i, w) for i, w in enumerate(["a", "b", "a c", "c", "", "b a b"] * 20)]
+    free = (i for i in range(1000, 9000) if zlib.crc32(str(i).encode()) % 5 == 1)
+    words = ["a", "b", "c", "zzz"]
+    for start in ("", "a ", "b a ", "zzz "):
+        asked = {next(free): start + w for w in ["", *words]}
+        chunk, counts, total = chunk_of(docs + list(asked.items()))
+        got = dict(zip(chunk.ids, lmscore.log10_scores(chunk, counts, total), strict=True))
+        # What follows start, its end included, against the text up to there.
+        assert 0 < sum(10 ** got[i] for i in asked) <= 1 + 1e-9, start
+
+
+def test_documents_that_occur_twice_are_told_apart(spark):
+    rng = random.Random(9)
+    docs = [(i, " ".join(f"w{rng.randrange(300)}" for _ in range(80))) for i in range(150)]
+    docs += [(150 + i, docs[i][1]) for i in range(0, 30)]
+    got = {r.doc_id: r.score for r in lmscore.score(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    taught = lambda i: zlib.crc32(str(i).encode()) % 5 != 1
+    twice = [got[i] for i in range(30) if taught(150 + i)]
+    assert len(twice) > 15 and min(twice) > max(got[i] for i in range(30, 150))
 
 
-def test_scores_do_not_depend_on_partitions(spark, monkeypatch):
-    monkeypatch.setattr(lmscore, "CHUNK_CHARS", 4000)
+def test_scores_do_not_depend_on_partitions(spark):
     rng = random.Random(6)
     docs = [(i, " ".join(f"w{min(rng.randrange(40), rng.randrange(40))}" for _ in range(50))) for i in range(200)]
     one, many = (spark.createDataFrame(rows, "doc_id long, text string").repartition(n) for rows, n in ((docs, 1), (docs[::-1], 8)))
-    a, b = ({r.doc_id: r.score for r in lmscore.score(x, with_path=16).collect()} for x in (one, many))
-    assert a == {i: pytest.approx(x, rel=1e-6) for i, x in b.items()}
+    a, b = ({r.doc_id: tuple(r) for r in lmscore.score(x, chunk_chars=4000, bucket_entries=500).collect()} for x in (one, many))
+    assert a == b and len(a) == 200
+
+
+def test_packed_numbers_come_back():
+    for x in (np.array([5], np.uint32), np.array([0, 1, 2**32 - 1], np.uint32), np.array([7, 2**63], np.uint64)):
+        assert lmscore._unpack(lmscore._pack(x), x.dtype.type).tolist() == x.tolist()
 
 
-def test_scores_odd_rows(spark, odd, empty):
-    got = lmscore.score(odd, slot_bits=10).collect()
+def test_scores_odd_rows(odd, empty):
+    got = lmscore.score(odd).collect()
     assert len(got) == len(ODD_ROWS) and all(math.isfinite(r.score) for r in got)
     assert {r.bits_per_byte for r in got if r.doc_id in (1, 2)} == {None}
-    assert lmscore.score(empty, slot_bits=10).count() == 0
+    assert lmscore.score(empty).count() == 0
 
 
 def test_url_parts(spark):
