@@ -123,6 +123,16 @@ def test_line_dedup_equals_loops(spark, min_lines):
     assert got == plain_line_dedup(docs, min_lines, 0 if min_lines == 1 else 10)
 
 
+def test_a_long_run_is_one_interval(spark):
+    run = [f"line {k}" for k in range(64)]
+    docs = [(1, "\n".join(["a", *run, "b"])), (2, "\n".join(["c", "d", *run])), (3, "\n".join([*run[10:43], "e"]))]
+    rows = spark.createDataFrame([(i, 0, t) for i, t in docs], "doc_id long, version long, text string")
+    found = {(r.doc_id, r.seq, r.size) for r in linededup.later_copies(rows, 2, 10).collect()}
+    assert (2, 2, 64) in found and (3, 0, 32) in found and max(size for i, _, size in found if i == 3) == 32 and not any(i == 1 for i, _, _ in found)
+    got = {r.doc_id: (r.n_lines, r.n_removed, r.n_runs, r.text) for r in linededup.dedup_lines(rows.drop("version")).collect()}
+    assert got == plain_line_dedup(docs)
+
+
 def test_line_dedup_odd_rows(spark, odd, empty):
     got = linededup.dedup_lines(odd)
     assert got.columns == [*odd.columns, "n_lines", "n_removed", "n_runs"]
@@ -192,7 +202,7 @@ def test_scores_have_the_base_and_beat_it_on_held_out_texts(spark):
     assert len(out) > 40 and sum(r.score for r in out) > 0.93 * sum(r.base_score for r in out)
 
 
-def plain_model(docs, block=1 << 15, twice=8):
+def plain_model(docs, block=1 << 15, twice=4):
     """The model by loops over dictionaries, for one chunk."""
     held = lambda i: zlib.crc32(str(i).encode()) % 5 == 1
     docs = sorted((i, t or "") for i, t in docs)
