@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from textclusters.sources.corpus import kept
+
 #: The words that stand for the beginning and the end of a sentence.
 BOS, EOS = "BOS", "EOS"
 
@@ -109,10 +111,10 @@ class Counts(NamedTuple):
 def vocabulary_counts(sentences: DataFrame, min_freq: int = 3, max_vocab: int = 8000, group_col: str | None = None) -> Counts:
     """All that weights and clusters are made from, the corpus read once for words and once for pairs.
 
-    What is used more than once is persisted: at most max_vocab words, and the pairs
-    among them (a group). Lost parts are computed again from their lineage.
+    What is used more than once is written to the shared folder and read again: at most
+    max_vocab words, and the pairs among them (a group).
     """
-    vocab = vocabulary(unigram_counts(sentences, group_col), min_freq, max_vocab, group_col).persist()
-    bigrams = filtered_bigrams(bigram_counts(sentences, group_col), vocab, group_col).persist()
+    vocab = kept(vocabulary(unigram_counts(sentences, group_col), min_freq, max_vocab, group_col))
+    bigrams = kept(filtered_bigrams(bigram_counts(sentences, group_col), vocab, group_col))
     unigrams = vocab.drop("rank").unionByName(sentinel_counts(sentences, group_col))
     return Counts(vocab, unigrams, bigrams, bigram_mass(bigrams, group_col))

@@ -84,3 +84,10 @@ def scratch(spark: SparkSession) -> str:
             raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     return f"{context.getCheckpointDir()}/{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """The same rows, written as Parquet below the shared folder and read again."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
