@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textclusters.llm import bpe, decontaminate, licenses, linededup, lmscore, pii, quality, simhash, substrings, urlfilter
+from textclusters.llm import bpe, chosenpath, decontaminate, licenses, linededup, lmscore, pii, quality, simhash, substrings, urlfilter
 from textclusters.llm.oracles import ORACLES
 from textclusters.llm.shared import documents
 
@@ -80,5 +80,10 @@ def op10_lmscore(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lmscore.score(documents(spark, sf_dir))
 
 
+def op13_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of every document by the similarity of its two-word shingles."""
+    return chosenpath.similar_sets(documents(spark, sf_dir))
+
+
 __all__ = ["ORACLES", "QUERIES"]
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_pii, op3_urlfilter, op4_simhash, op5_substrings, op6_licenses, op7_quality, op8_linededup, op9_bpe, op10_lmscore)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_pii, op3_urlfilter, op4_simhash, op5_substrings, op6_licenses, op7_quality, op8_linededup, op9_bpe, op10_lmscore, op13_minhash)}
