@@ -8,9 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textclusters.llm import bpe, chosenpath, decontaminate, licenses, linededup, lmscore, pii, quality, simhash, substrings, urlfilter
+from textclusters.llm import bpe, chosenpath, decontaminate, licenses, linededup, lmscore, periods, pii, quality, simhash, substrings, urlfilter
 from textclusters.llm.oracles import ORACLES
-from textclusters.llm.shared import documents
+from textclusters.llm.shared import SPACE, documents
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -80,10 +80,42 @@ def op10_lmscore(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lmscore.score(documents(spark, sf_dir))
 
 
+def _with_planted_periods(docs: DataFrame) -> DataFrame:
+    """docs(doc_id, text) in which one of ten, by the checksum of its doc_id, goes on periodically from some word."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(h / 10).cast("long")
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), SPACE), lambda w: w != "")
+    n = F.size("w").cast("long")
+    rows = docs.select("doc_id", "text", F.when(h % 10 == 0, words).otherwise(F.array().cast("array<string>")).alias("w"), g.alias("g"))
+    rows = rows.withColumn("a", F.when(n > 0, F.col("g") % n)).withColumn("p", 1 + F.floor((n - F.col("a")) / (3 + F.col("g") % 8)).cast("long"))
+    a, p = F.col("a"), F.col("p")
+    place = lambda i: F.when(i < a, i).otherwise(a + (i - a) % p).cast("int")
+    planted = F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.get("w", place(i))), " ")
+    return rows.select("doc_id", F.when(n > 0, planted).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of every document, its longest one, and hashes of all of them and of what is left without their repeats."""
+    found = periods.periodic_runs(_with_planted_periods(documents(spark, sf_dir)))
+    first = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    told = found.withColumn("top", first).withColumn("length", F.col("top.length")).withColumn("period", -F.col("top.period"))
+    lines = F.transform("runs", lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n")))
+    return told.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("top.start")).alias("start"),
+        "length",
+        "period",
+        F.floor(1000 * F.col("length") / F.col("period")).cast("long").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def op13_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Component of every document by the similarity of its two-word shingles."""
     return chosenpath.similar_sets(documents(spark, sf_dir))
 
 
 __all__ = ["ORACLES", "QUERIES"]
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_pii, op3_urlfilter, op4_simhash, op5_substrings, op6_licenses, op7_quality, op8_linededup, op9_bpe, op10_lmscore, op13_minhash)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_pii, op3_urlfilter, op4_simhash, op5_substrings, op6_licenses, op7_quality, op8_linededup, op9_bpe, op10_lmscore, op12_periods, op13_minhash)}
