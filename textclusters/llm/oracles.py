@@ -1,6 +1,6 @@
 """DuckDB SQL for the queries of this subpackage that SQL can express."""
 
-from textclusters.llm import licenses, linededup, urlfilter
+from textclusters.llm import licenses, linededup, search, urlfilter
 
 _RULES = " ".join(
     f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '/{p}') THEN {{'verdict': '{v}', 'rule': '{r}'}}"
@@ -123,4 +123,21 @@ SELECT d.doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_removed, 0)
 FROM documents d LEFT JOIN counted USING (doc_id) LEFT JOIN runs USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
 
-ORACLES = {"op3_urlfilter": OP3, "op6_licenses": OP6, "op8_linededup": OP8}
+_TERMS = rf"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{search.TERM}')"
+
+OP11 = f"""
+WITH held AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({_TERMS}) AS term FROM documents) GROUP BY ALL),
+long AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM held GROUP BY doc_id),
+total AS (SELECT count(*) AS docs, sum(n)::BIGINT AS terms FROM long),
+known AS (SELECT term, count(*) AS df FROM held GROUP BY term),
+weight AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w FROM known, total),
+measured AS (SELECT doc_id, 100 - {search.LENGTH_SHARE} + (({search.LENGTH_SHARE} * n * docs) // terms) AS m FROM long, total),
+asked AS (SELECT item_id, unnest({_TERMS}) AS term FROM benchmark),
+scored AS (
+  SELECT item_id, doc_id, sum(w * (({search.UNIT} * tf) // (1000 * tf + {search.K1} * m)))::BIGINT AS score
+  FROM asked JOIN held USING (term) JOIN weight USING (term) JOIN measured USING (doc_id) GROUP BY ALL)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score
+FROM scored WHERE score > 0 QUALIFY rank <= 20
+"""
+
+ORACLES = {"op3_urlfilter": OP3, "op6_licenses": OP6, "op8_linededup": OP8, "op11_search": OP11}

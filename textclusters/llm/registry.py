@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textclusters.llm import bpe, chosenpath, decontaminate, licenses, linededup, lmscore, periods, pii, quality, simhash, substrings, urlfilter
+from textclusters.llm import bpe, chosenpath, decontaminate, licenses, linededup, lmscore, periods, pii, quality, search, simhash, substrings, urlfilter
 from textclusters.llm.oracles import ORACLES
 from textclusters.llm.shared import SPACE, documents
 
@@ -80,6 +80,11 @@ def op10_lmscore(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lmscore.score(documents(spark, sf_dir))
 
 
+def op11_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best documents for every item of the benchmark."""
+    return search.search(search.build_index(documents(spark, sf_dir)), _table(spark, sf_dir, "benchmark"))
+
+
 def _with_planted_periods(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text) in which one of ten, by the checksum of its doc_id, goes on periodically from some word."""
     h = F.crc32(F.col("doc_id").cast("string"))
@@ -118,4 +123,4 @@ def op13_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 __all__ = ["ORACLES", "QUERIES"]
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_pii, op3_urlfilter, op4_simhash, op5_substrings, op6_licenses, op7_quality, op8_linededup, op9_bpe, op10_lmscore, op12_periods, op13_minhash)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_pii, op3_urlfilter, op4_simhash, op5_substrings, op6_licenses, op7_quality, op8_linededup, op9_bpe, op10_lmscore, op11_search, op12_periods, op13_minhash)}
