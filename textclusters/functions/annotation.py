@@ -41,6 +41,10 @@ def entities(named: Column) -> Column:
     return F.transform(named, lambda x: F.struct(F.regexp_extract(x, ENTITY, 1).alias("type"), F.regexp_extract(x, ENTITY, 2).alias("word")))
 
 
+#: Why a chunk line may not be parsed.
+REASONS = ("chunk", "link", "entity")
+
+
 def malformed(line: Column, links: Column, named: Column) -> Column:
     """Why a chunk line can't be parsed, or null."""
     bad = lambda found, one: F.exists(found, lambda x: ~x.rlike(one))

@@ -1,27 +1,51 @@
 """Tables of sentences, chunks and morphemes from annotated text.
 
 A sentence file is one row, and all that is numbered along its lines is numbered
-within the row, by array functions: nothing is shuffled or sorted.
+within the row, by array functions: nothing is shuffled or sorted. Rows are made by
+outer generators, since for inner ones the optimiser puts a filter on what is exploded
+below it, and with the filter all of the parsing a second time.
 """
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from textclusters.functions import annotation as A
 
 
+#: Entries of a block of running sums at least.
+_BLOCK = 32
+
+
 def _lines(value: Column) -> Column:
     return F.split(F.regexp_replace(value, r"\n\z", ""), "\n")
 
 
 def lines(raw: DataFrame) -> DataFrame:
     """(sid, ln, line, kind) of raw(sid, value), one row for each sentence file."""
-    each = raw.select("sid", F.posexplode(_lines(F.col("value"))).alias("ln", "line"))
+    each = raw.select("sid", F.posexplode_outer(_lines(F.col("value"))).alias("ln", "line")).where("ln IS NOT NULL")
     return each.withColumn("kind", A.line_kind(F.col("line")))
 
 
+def running_sums(values: str) -> Column:
+    """For each entry of an array column of ints the sum of those before it.
+
+    Two levels: blocks of entries, each summed from where the one before ended. Arrays
+    are appended to by copying, so n entries in blocks of the cube root of n cost n^(4/3)
+    copies instead of n^2. values must be a column's name, not an expression, which
+    would be made anew for each block.
+    """
+    n = F.size(values)
+    size = F.greatest(F.lit(_BLOCK), F.ceil(F.cbrt(n)).cast("int"))
+    blocks = F.transform(F.sequence(F.lit(0), F.floor(F.greatest(n - 1, F.lit(0)) / size).cast("int")), lambda b: F.slice(values, b * size + 1, size))
+    last = lambda sums: F.element_at(sums, -1)
+    summed = lambda block, start: F.aggregate(block, F.array(start), lambda sums, x: F.concat(sums, F.array(last(sums) + x)))
+    # Each block's sums end with that of all its entries, where the next block starts.
+    each = F.aggregate(blocks, F.array(F.array(F.lit(0))), lambda sums, block: F.concat(sums, F.array(summed(block, last(last(sums))))))
+    return F.flatten(F.transform(F.slice(each, F.lit(2), F.size(blocks)), lambda sums: F.slice(sums, F.lit(1), F.size(sums) - 1)))
+
+
 @dataclass
 class Parsed:
     sentences: DataFrame
@@ -39,41 +63,36 @@ def _surfaces(some_lines: Column) -> Column:
     return F.array_join(F.transform(F.filter(some_lines, lambda x: A.line_kind(x) == "morpheme"), _surface), "")
 
 
-def _chunk_parts(raw: DataFrame, strict: bool) -> DataFrame:
-    """(sid, chunk_id, ln, line, links, named, reason, text), a row for each chunk line.
-
-    The text of a file is cut before each chunk line; what is matched in a line is
-    matched once, before the rows are made.
-    """
+def _cut(raw: DataFrame) -> DataFrame:
+    """(sid, own, ahead): the lines of a file, cut before each chunk line, and how many of
+    the parts, one or none, come before the first chunk line."""
     cut = F.split(F.regexp_replace("value", r"\n\z", ""), r"\n(?=[*+])")
-    raw = raw.select("sid", F.transform(cut, lambda part: F.split(part, "\n")).alias("own"))
-    # The part before the first chunk line is none, if the file does not start with one.
-    parts = F.filter("own", lambda x: A.line_kind(x[0]) == "chunk")
-    before = F.when(A.line_kind(F.get(F.get("own", F.lit(0)), F.lit(0))) == "chunk", 0).otherwise(F.size(F.get("own", F.lit(0))))
-    found = F.transform(parts, lambda x: F.struct(x[0].alias("line"), A.links_of(x[0]).alias("links"), A.named_of(x[0]).alias("named"), F.size(x).alias("n_lines"), _surfaces(x).alias("text")))
-    told = raw.select("sid", before.alias("before"), found.alias("found"))
-    ends = F.transform("found", lambda x: x["n_lines"])
-    each = told.select("sid", "before", ends.alias("sizes"), F.posexplode("found").alias("chunk_id", "x"))
-    upto = F.aggregate(F.slice("sizes", F.lit(1), F.col("chunk_id")), F.col("before"), lambda a, b: a + b)
-    reason = A.malformed(F.col("x.line"), F.col("x.links"), F.col("x.named"))
-    out = each.select("sid", "chunk_id", upto.alias("ln"), "x.line", "x.links", "x.named", "x.text", reason.alias("reason"))
-    if strict:
-        out = out.withColumn("reason", F.when(F.col("reason").isNotNull(), F.raise_error(F.concat(F.lit("malformed "), "reason", F.lit(" in "), "sid", F.lit(": "), "line"))))
-    return out
+    own = raw.where("value IS NOT NULL").select("sid", F.transform(cut, lambda part: F.split(part, "\n")).alias("own"))
+    return own.select("sid", "own", F.when(A.line_kind(F.get(F.get("own", F.lit(0)), F.lit(0))) == "chunk", 0).otherwise(1).alias("ahead"))
 
 
-def _morphemes(raw: DataFrame) -> DataFrame:
-    """(sid, ln, chunk_id, line, surface, off_start) with the running chunk number and character offset."""
-    start = F.struct(F.lit(-1).alias("chunk"), F.lit(0).alias("off"), F.array().cast("array<struct<chunk:int,off:int>>").alias("out"))
+def _chunk_parts(raw: DataFrame) -> DataFrame:
+    """(sid, chunk_id, ln, line, links, named, text, reason), a row for each chunk line."""
+    told = lambda x: F.struct(x[0].alias("line"), A.links_of(x[0]).alias("links"), A.named_of(x[0]).alias("named"), _surfaces(x).alias("text"))
+    parts = F.slice("own", F.col("ahead") + 1, F.greatest(F.size("own") - F.col("ahead"), F.lit(0)))
+    found = _cut(raw).select("sid", "ahead", F.transform("own", F.size).alias("sizes"), F.transform(parts, told).alias("found"))
+    placed = found.select("sid", "found", F.slice(running_sums("sizes"), F.col("ahead") + 1, F.greatest(F.size("found"), F.lit(0))).alias("ln"))
+    each = placed.select("sid", F.posexplode_outer(F.arrays_zip("found", "ln")).alias("chunk_id", "x")).where("chunk_id IS NOT NULL")
+    each = each.select("sid", "chunk_id", "x.ln", "x.found.*")
+    return each.withColumn("reason", A.malformed(F.col("line"), F.col("links"), F.col("named")))
 
-    def step(at: Column, line: Column) -> Column:
-        kind = A.line_kind(line)
-        chunk = F.when(kind == "chunk", at["chunk"] + 1).otherwise(at["chunk"])
-        off = at["off"] + F.when(kind == "morpheme", F.length(_surface(line))).otherwise(0)
-        return F.struct(chunk.alias("chunk"), off.alias("off"), F.concat(at["out"], F.array(F.struct(chunk.alias("chunk"), at["off"].alias("off")))).alias("out"))
 
-    numbered = raw.select("sid", _lines(F.col("value")).alias("lines")).withColumn("at", F.aggregate("lines", start, step, lambda at: at["out"]))
-    each = numbered.select("sid", F.posexplode(F.arrays_zip("lines", "at")).alias("ln", "x")).select("sid", "ln", F.col("x.lines").alias("line"), F.col("x.at.chunk").alias("chunk_id"), F.col("x.at.off").alias("off_start"))
+def _morphemes(raw: DataFrame) -> DataFrame:
+    """(sid, ln, chunk_id, line, surface, off_start) with the chunk's number and the character offset."""
+    sized = _cut(raw).select("sid", "ahead", "own", F.transform("own", F.size).alias("sizes"), F.transform("own", lambda x: F.length(_surfaces(x))).alias("lengths"))
+    placed = sized.select("sid", "ahead", "own", running_sums("sizes").alias("ln"), running_sums("lengths").alias("off"))
+    parts = placed.select("sid", "ahead", F.posexplode_outer(F.arrays_zip("own", "ln", "off")).alias("part", "x")).where("part IS NOT NULL")
+    parts = parts.select("sid", (F.col("part") - F.col("ahead")).alias("chunk_id"), "x.*")
+    width = lambda line: F.when(A.line_kind(line) == "morpheme", F.length(_surface(line))).otherwise(0)
+    within = parts.select("sid", "chunk_id", "ln", "off", "own", F.transform("own", width).alias("widths"))
+    within = within.select("sid", "chunk_id", "ln", "off", "own", running_sums("widths").alias("offs"))
+    each = within.select("sid", "chunk_id", "ln", "off", F.posexplode_outer(F.arrays_zip("own", "offs")).alias("at", "y")).where("at IS NOT NULL")
+    each = each.select("sid", (F.col("ln") + F.col("at")).alias("ln"), "chunk_id", F.col("y.own").alias("line"), (F.col("off") + F.col("y.offs")).alias("off_start"))
     return each.where(A.line_kind(F.col("line")) == "morpheme").withColumn("surface", _surface(F.col("line")))
 
 
@@ -91,15 +110,38 @@ def sentence_table(raw: DataFrame) -> DataFrame:
     )
 
 
-def parse_annotated(raw: DataFrame, strict: bool = False) -> Parsed:
+class TooManyRejects(ValueError):
+    """More chunk lines than allowed could not be parsed."""
+
+
+def check_rejects(watch: Observation, limit: int = 0) -> dict[str, int]:
+    """What an action on watched chunks has counted: lines, and rejects for each of REASONS.
+
+    Raises TooManyRejects if there are more rejects than limit. Waits for the action.
+    """
+    counted = dict(watch.get)
+    found = {reason: counted[reason] for reason in A.REASONS if counted[reason]}
+    if sum(found.values()) > limit:
+        raise TooManyRejects(f"{sum(found.values())} of {counted['lines']} chunk lines can't be parsed, {limit} may: " + ", ".join(f"{n} for their {reason}" for reason, n in found.items()))
+    return counted
+
+
+def parse_annotated(raw: DataFrame, strict: bool = False, watch: Observation | None = None) -> Parsed:
     """The tables of raw(sid, value).
 
     A chunk line that can't be parsed goes to rejects(sid, ln, line, reason) and the
-    rest is kept; strict raises an error for it instead. chunks have the text of their
-    morphemes. A null value has no lines and no sentence.
+    rest is kept; strict raises an error for it instead. With watch, the first action on
+    chunks also counts lines and rejects by reason, in the same pass, and check_rejects()
+    then tells or fails. chunks have the text of their morphemes. A null value has no
+    lines and no sentence.
     """
-    parts = _chunk_parts(raw, strict)
-    chunks = parts.where("reason IS NULL").select(
+    parts = _chunk_parts(raw)
+    seen = parts
+    if strict:
+        seen = parts.withColumn("reason", F.when(F.col("reason").isNotNull(), F.raise_error(F.concat(F.lit("malformed "), "reason", F.lit(" in "), "sid", F.lit(": "), "line"))))
+    if watch is not None:
+        seen = seen.observe(watch, F.count("*").alias("lines"), *(F.count_if(F.col("reason") == r).alias(r) for r in A.REASONS))
+    chunks = seen.where("reason IS NULL").select(
         "sid",
         "chunk_id",
         F.substring("line", 1, 1).alias("kind"),
@@ -127,7 +169,7 @@ def block_texts(raw: DataFrame) -> DataFrame:
     ended = F.slice(cut, F.lit(1), F.size(cut) - 1)
     # Each part starts with the line end that was put or left before its first line.
     texts = F.transform(ended, lambda part: _surfaces(F.filter(F.split(part, "\n"), lambda x: x != "")))
-    return raw.where("value IS NOT NULL").select("sid", F.posexplode(texts).alias("block", "text"))
+    return raw.where("value IS NOT NULL").select("sid", F.posexplode_outer(texts).alias("block", "text")).where("block IS NOT NULL")
 
 
 def plain_texts(raw: DataFrame) -> DataFrame:

@@ -54,17 +54,35 @@ def bigram_counts(sentences: DataFrame, group_col: str | None = None) -> DataFra
     return sentences.select(*keys, F.inline(pairs).alias("prev", "curr")).groupBy(*keys, "prev", "curr").agg(F.count("*").alias("cnt"))
 
 
-def vocabulary(unigrams: DataFrame, min_freq: int = 3, max_vocab: int = 8000, group_col: str | None = None) -> DataFrame:
-    """(word, cnt, rank): the max_vocab most frequent words of at least min_freq
-    occurrences, ranked from 1 by count, equal counts by word."""
-    kept = unigrams.where((F.col("cnt") >= min_freq) & ~F.col("word").isin(BOS, EOS))
+def word_ranks(unigrams: DataFrame) -> DataFrame:
+    """(word, cnt, rank long) of all rows of unigrams(word, cnt), from 1 by count, equal counts by word.
+
+    Ranges of the order are dealt to tasks and sorted there; running sums over the sizes of
+    the ranges, a row each, tell at which rank a range starts. No task sees all words.
+    """
+    order = [F.desc("cnt"), F.asc("word")]
+    ranged = unigrams.select("word", "cnt").repartitionByRange(*order).sortWithinPartitions(*order)
+    # Written, so that numbers and sizes are of the same ranges.
+    ranged = kept(ranged.withColumns({"part": F.spark_partition_id(), "id": F.monotonically_increasing_id()}))
+    sizes = ranged.groupBy("part").agg(F.count("*").alias("n"), F.min("id").alias("first"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    starts = sizes.select("part", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead"))
+    return ranged.join(starts, "part").select("word", "cnt", (F.col("ahead") + F.col("id") - F.col("first") + 1).alias("rank"))
+
+
+def vocabulary(unigrams: DataFrame, min_freq: int = 3, max_vocab: int | None = 8000, group_col: str | None = None) -> DataFrame:
+    """(word, cnt, rank): the max_vocab most frequent words, all for None, of at least
+    min_freq occurrences, ranked from 1 by count, equal counts by word."""
+    words = unigrams.where((F.col("cnt") >= min_freq) & ~F.col("word").isin(BOS, EOS))
     order = [F.desc("cnt"), F.asc("word")]
     if group_col:
         # Spark keeps the best max_vocab of each task before it shuffles a group.
-        ranked = kept.withColumn("rank", F.row_number().over(Window.partitionBy(group_col).orderBy(*order)))
-        return ranked.where(F.col("rank") <= max_vocab)
-    kept = kept.orderBy(*order).limit(max_vocab)
-    return kept.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+        ranked = words.withColumn("rank", F.row_number().over(Window.partitionBy(group_col).orderBy(*order)))
+        return ranked if max_vocab is None else ranked.where(F.col("rank") <= max_vocab)
+    if max_vocab is None:
+        return word_ranks(words)
+    words = words.orderBy(*order).limit(max_vocab)
+    return words.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
 
 
 def known_words(vocab: DataFrame, group_col: str | None = None) -> DataFrame:
@@ -108,7 +126,7 @@ class Counts(NamedTuple):
     mass: DataFrame
 
 
-def vocabulary_counts(sentences: DataFrame, min_freq: int = 3, max_vocab: int = 8000, group_col: str | None = None) -> Counts:
+def vocabulary_counts(sentences: DataFrame, min_freq: int = 3, max_vocab: int | None = 8000, group_col: str | None = None) -> Counts:
     """All that weights and clusters are made from, the corpus read once for words and once for pairs.
 
     What is used more than once is written to the shared folder and read again: at most

@@ -1,9 +1,14 @@
 """Dependency edges of chunks and the grid in which they are drawn."""
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: The symbols of the grid.
+#: The classes of cells and the symbols of the grid.
+CLASSES = ("joins", "first", "crosses", "passes", "through", "blank")
 JOINS, FIRST, CROSSES, PASSES, THROUGH, BLANK = "┫", "┓", "╋", "━", "┃", "　"
 
 
@@ -23,13 +28,9 @@ def chunk_counts(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("sid").agg((F.max("chunk_id") + 1).alias("n_chunks"))
 
 
-def _drawn(chunks: DataFrame) -> DataFrame:
-    """(sid, i, classes array<string>, dep_type): the classes of the cells of chunk i.
-
-    A sentence's chunks meet in one row, the only shuffle; a chunk's row of the grid is
-    then made from the array of all chunks, a chunk at a time, so that what is held
-    grows with a sentence and not with its square.
-    """
+def _sentences(chunks: DataFrame) -> DataFrame:
+    """(sid, n, all): of each sentence the chunks by number, array<struct<j, told, first>>: what
+    a chunk's line tells, null for a number that no line has, and the first child. The only shuffle."""
     told = F.struct(F.coalesce("parent", F.lit(-1)).alias("parent"), "dep_type")
     chunk = F.struct(F.col("chunk_id").alias("j"), told.alias("told"), F.lit(None).cast("int").alias("child"))
     child = F.struct(F.col("parent").alias("j"), F.lit(None).cast("struct<parent:int,dep_type:string>").alias("told"), F.col("chunk_id").alias("child"))
@@ -39,7 +40,16 @@ def _drawn(chunks: DataFrame) -> DataFrame:
     # Numbers that no row has, those of lines that could not be parsed, are filled in: places are numbers then.
     missing = F.array_except(F.sequence(F.lit(0), F.col("n") - 1), F.transform("own", lambda x: x["j"]))
     none = F.transform(missing, lambda j: F.struct(j.alias("j"), F.lit(None).cast("struct<parent:int,dep_type:string>").alias("told"), F.lit(None).cast("int").alias("first")))
-    sentence = sentence.select("sid", "n", F.filter(F.array_sort(F.concat("own", none)), lambda x: x["j"] < F.col("n")).alias("all"))
+    return sentence.select("sid", "n", F.filter(F.array_sort(F.concat("own", none)), lambda x: x["j"] < F.col("n")).alias("all"))
+
+
+def _drawn(chunks: DataFrame) -> DataFrame:
+    """(sid, i, classes array<string>, dep_type): the classes of the cells of chunk i.
+
+    A chunk's row of the grid is made from the array of all chunks, a chunk at a time, so
+    that what is held grows with a sentence and not with its square.
+    """
+    sentence = _sentences(chunks)
     each = sentence.select("sid", "n", "all", F.explode("all").alias("c")).where(F.col("c.told").isNotNull() & (F.col("c.j") < F.col("n") - 1))
     i, parent = F.col("c.j"), F.col("c.told.parent")
 
@@ -70,13 +80,67 @@ def grid_rows(chunks: DataFrame) -> DataFrame:
     return _drawn(chunks).select("sid", "i", F.array_join(F.transform("classes", lambda x: _symbol(x, F.col("dep_type"))), "").alias("drawing"))
 
 
-def grid_classes(chunks: DataFrame) -> DataFrame:
-    """(sid, class, n_cells) of each sentence, counted within the rows of the grid first."""
-    names = ("joins", "first", "crosses", "passes", "through", "blank")
+def _passed(points: np.ndarray, low: np.ndarray, high: np.ndarray, below: np.ndarray) -> np.ndarray:
+    """For each query how many of points[low:high] are less than below.
+
+    Places are sorted by their value, bit by bit from the highest: at each bit those
+    without it go ahead of those with it, both in their order, and running counts tell where
+    the ends of each query's stretch go. One pass over points and queries for each bit.
+    """
+    low, high, found = low.copy(), high.copy(), np.zeros(len(low), np.int64)
+    high = np.maximum(high, low)
+    for bit in range(int(max(points.max(initial=0), below.max(initial=0))).bit_length() - 1, -1, -1):
+        zero = points >> bit & 1 == 0
+        before = np.r_[0, np.cumsum(zero)]
+        zeros, wanted = before[-1], below >> bit & 1 == 1
+        lo, hi = before[low], before[high]
+        # Points without the bit are less where the limit has it; else only they can be.
+        found += np.where(wanted, hi - lo, 0)
+        low, high = np.where(wanted, zeros + low - lo, lo), np.where(wanted, zeros + high - hi, hi)
+        points = np.concatenate([points[zero], points[~zero]])
+    return found
+
+
+def _class_counts(lengths: np.ndarray, present: np.ndarray, parent: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """(sentences, classes) cells of sentences laid end to end, their chunks with parent and first
+    child, -1 for none; chunks that are not present draw no row."""
+    ends = np.cumsum(lengths)
+    start = np.repeat(ends - lengths, lengths)
+    place, end = np.arange(len(parent)), np.repeat(ends, lengths)
+    # A chunk without children is never passed: its first child is taken to lie behind all.
+    child = np.where(first >= 0, start + first, len(parent))
+    mine = place[present]
+    at, stop = start[mine] + parent[mine], end[mine]
+    met = (parent[mine] > mine - start[mine]) & (at < stop)
+    # Where the line ends: at the parent, behind the sentence for a parent beyond it, at once for an earlier one or none.
+    upto = np.where(parent[mine] > mine - start[mine], np.minimum(at, stop), mine + 1)
+    rest = np.where(met, at + 1, upto)
+    early = lambda lo, hi: _passed(child, lo, hi, mine)
+    joins = met & (child[np.minimum(at, len(parent) - 1)] < mine)
+    crosses, through = early(mine + 1, upto), early(rest, stop)
+    each = {"joins": joins, "first": met & ~joins, "crosses": crosses, "passes": upto - mine - 1 - crosses, "through": through, "blank": stop - rest - through}
+    owner = np.repeat(np.arange(len(lengths)), lengths)[mine]
+    return np.stack([np.bincount(owner, each[name], len(lengths)) for name in CLASSES], axis=1).astype(np.int64)
+
+
+def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        own = batch.column("own")
+        lengths = np.diff(own.offsets.to_numpy())
+        flat = own.flatten()
+        present, parent, first = (flat.field(name).to_numpy(zero_copy_only=False) for name in ("present", "parent", "first"))
+        found = _class_counts(lengths, present.astype(bool), parent.astype(np.int64), first.astype(np.int64))
+        row, kind = np.nonzero(found)
+        names = pa.array(CLASSES)
+        yield pa.RecordBatch.from_arrays([batch.column("sid").take(pa.array(row)), names.take(pa.array(kind)), pa.array(found[row, kind])], names=["sid", "class", "n_cells"])
+
 
-    def counted(name: str) -> Column:
-        return F.struct(F.lit(name).alias("class"), F.size(F.filter("classes", lambda x: x == name)).alias("n"))
+def grid_classes(chunks: DataFrame) -> DataFrame:
+    """(sid, class, n_cells) of each sentence, counted without drawing.
 
-    rows = _drawn(chunks).select("sid", F.array(*map(counted, names)).alias("x"))
-    each = rows.select("sid", F.inline("x")).where("n > 0")
-    return each.groupBy("sid", "class").agg(F.sum("n").cast("long").alias("n_cells"))
+    Whether a line joins its parent is a look-up; how many of the chunks before the parent,
+    and behind it, have a child before the line's own chunk is a count of points below a
+    limit in a stretch. A sentence of n chunks takes n log n steps and n numbers.
+    """
+    rows = _sentences(chunks).select("sid", F.transform("all", lambda x: F.struct(x["told"].isNotNull().alias("present"), F.coalesce(x["told"]["parent"], F.lit(-1)).alias("parent"), F.coalesce(x["first"], F.lit(-1)).alias("first"))).alias("own"))
+    return rows.where("size(own) > 0").mapInArrow(_count_batches, "sid string, class string, n_cells long")

@@ -31,24 +31,64 @@ def locate_opinions(rows: DataFrame, order: tuple[str, ...] = ()) -> tuple[DataF
     split = given.select("sid", "sent", *order, *(A.fields_of(F.col(name)).alias(name) for name in _FIELDS))
     each = split.select("sid", "sent", *order, F.posexplode("holder").alias("at", "holder"), *(F.col(name).alias(f"all_{name}") for name in _FIELDS[1:]))
     each = each.select("sid", "sent", *order, "at", "holder", *(F.get(f"all_{name}", F.col("at")).alias(name) for name in _FIELDS[1:]))
+    # Located first, so that sentences are not shuffled with each of their values.
+    place = F.instr("sent", F.col("expr")) - 1
+    each = each.withColumn("start", place.cast("int")).select(*order, "sid", "at", *_FIELDS, "start")
+    reason = F.when(F.col("expr").isNull(), "missing").when(F.col("expr") == "", "empty").when(F.col("start") < 0, "not found")
     # A sentence's opinions are one window.
     number = F.row_number().over(Window.partitionBy("sid").orderBy(*order, "at", "holder", "expr", "type", "target")) - 1
-    each = each.withColumn("idx", number.cast("int"))
-    place = F.instr("sent", F.col("expr")) - 1
-    reason = F.when(F.col("expr").isNull(), "missing").when(F.col("expr") == "", "empty").when(place < 0, "not found")
-    each = each.withColumn("start", place.cast("int")).withColumn("reason", reason)
+    each = each.withColumn("idx", number.cast("int")).withColumn("reason", reason)
     good = each.where("reason IS NULL").select("sid", "idx", "holder", "expr", "start", (F.col("start") + F.length("expr") - 1).alias("end"), "type", "target")
     return good, each.where("reason IS NOT NULL").select("sid", "idx", "expr", "reason")
 
 
+def _covering(start: Column, end: Column) -> Column:
+    """array<struct<level, node>>: the fewest dyadic stretches whose union is start to end, both
+    inclusive; node k of a level is the places from k * 2^level on. At most two a level."""
+    size = lambda k: F.call_function("shiftleft", F.lit(1), k)
+    shift = lambda x, k: F.call_function("shiftright", x, k)
+    # At a level what is left runs from lo to hi; an odd lo and an even hi have no parent within.
+    levels = F.sequence(F.lit(0), F.floor(F.log2((end - start + 1).cast("double")) + 1e-9).cast("int"))
+
+    def at(k: Column) -> Column:
+        lo, hi = shift(start + size(k) - 1, k), shift(end + 1, k) - 1
+        node = lambda x: F.struct(k.alias("level"), x.alias("node"))
+        left = F.when((lo <= hi) & (lo % 2 == 1), node(lo))
+        right = F.when((lo <= hi) & (hi % 2 == 0), node(hi))
+        return F.array_distinct(F.filter(F.array(left, right), lambda x: x.isNotNull()))
+
+    return F.flatten(F.transform(levels, at))
+
+
+def _above(place: Column, levels: Column) -> Column:
+    """array<struct<level, node>>: the dyadic stretches of some levels that hold a place."""
+    return F.transform(levels, lambda k: F.struct(k.alias("level"), F.call_function("shiftright", place, k).alias("node")))
+
+
 def overlaps(morphemes: DataFrame, opinions: DataFrame) -> DataFrame:
     """(sid, ln, idx): the lowest opinion whose span overlaps the morpheme's offsets.
 
-    An equi-join on the sentence, never a bare range join.
+    Two stretches overlap if one holds the start of the other. Stretches are cut into
+    dyadic ones, at most two for each power of two, and a place is in one dyadic stretch of
+    each level, so that "holds the start" is an equality of (sentence, level, node): with n
+    morphemes and m spans in a sentence n + m rows, times levels, are joined, never n * m,
+    and a long sentence is dealt to many tasks. The least idx of each dyadic stretch is
+    found before the join. Levels that no span of the sentence has are not looked at.
+    Nothing overlaps an empty span or morpheme.
     """
-    spans = opinions.select("sid", "idx", "start", "end")
-    met = morphemes.select("sid", "ln", "off_start", "off_end").join(spans, "sid").where("end >= off_start AND start <= off_end")
-    return met.groupBy("sid", "ln").agg(F.min("idx").alias("idx"))
+    spans = opinions.where("start <= end").select("sid", "idx", F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"))
+    words = morphemes.where("off_start <= off_end").select("sid", "ln", "off_start", "off_end")
+    # Spans that hold a morpheme's start.
+    cover = spans.select("sid", "idx", F.inline(_covering(F.col("start"), F.col("end")))).groupBy("sid", "level", "node").agg(F.min("idx").alias("idx"))
+    levels = cover.groupBy("sid").agg(F.collect_set("level").alias("levels"))  # at most 31 numbers
+    with_spans = words.join(levels, "sid")
+    under = with_spans.select("sid", "ln", F.inline(_above(F.col("off_start"), F.col("levels")))).join(cover, ["sid", "level", "node"]).select("sid", "ln", "idx")
+    # Morphemes that hold a span's start; more than one place long.
+    long = with_spans.where("off_start < off_end").select("sid", "ln", F.inline(_covering(F.col("off_start"), F.col("off_end"))))
+    lengths = long.groupBy("sid").agg(F.collect_set("level").alias("levels"))
+    starts = spans.join(lengths, "sid").select("sid", "idx", F.inline(_above(F.col("start"), F.col("levels")))).groupBy("sid", "level", "node").agg(F.min("idx").alias("idx"))
+    inside = long.join(starts, ["sid", "level", "node"]).select("sid", "ln", "idx")
+    return under.unionByName(inside).groupBy("sid", "ln").agg(F.min("idx").alias("idx"))
 
 
 def marked_morphemes(morphemes: DataFrame, opinions: DataFrame | None) -> DataFrame:

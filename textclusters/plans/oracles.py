@@ -138,8 +138,51 @@ heading AS (SELECT article, category, text AS heading FROM article LEFT JOIN pla
 )
 
 
+_PHRASES = """
+worded AS (
+  SELECT doc_id::VARCHAR AS sid, lang, source, w, array_to_string(w, '') AS sent
+  FROM (SELECT *, list_filter(regexp_split_to_array(text, '[ \\n]+'), lambda x: x <> '') AS w FROM documents) WHERE len(w) > 0),
+phrase AS (SELECT *, unnest(range((len(w) - 1) // 40 + 1)) AS k FROM worded),
+phrases AS (
+  SELECT sid, k, sent, array_to_string(w[k * 40 + kind + 1 : k * 40 + kind + 3 + 2 * kind], '') AS expr,
+    CASE WHEN k % 2 = 0 THEN '[著者]' ELSE source END AS holder, 'T' || k % 3 AS type, lang AS target
+  FROM phrase CROSS JOIN (SELECT unnest([0, 1]) AS kind) WHERE k * 40 + kind < len(w)),
+told AS (
+  SELECT sid, (row_number() OVER (PARTITION BY sid ORDER BY k, holder, expr, type, target) - 1)::INTEGER AS idx, holder, expr,
+    (instr(sent, expr) - 1)::INTEGER AS start, (instr(sent, expr) - 2 + length(expr))::INTEGER AS "end", type, target
+  FROM phrases)"""
+
+_PHRASES_ON_WORDS = (
+    _DOC_WORDS
+    + ","
+    + _PHRASES
+    + """,
+covered AS (SELECT m.sid, ln, min(idx) AS idx FROM morpheme m JOIN told o ON m.sid = o.sid AND "end" >= off_start AND start <= off_end GROUP BY m.sid, ln)"""
+)
+
+
+def _greedy(words: int, seeds: int) -> str:
+    """Clusters of the most frequent words, one word a step of the recursion."""
+    return (
+        _VOCAB.replace("8000", str(words))
+        + f""",
+edge AS (
+  SELECT greatest(a.rank, b.rank) AS r, least(a.rank, b.rank) AS o, a.rank < b.rank AS back, wpmi AS w
+  FROM pmi JOIN vocab a ON prev = a.word JOIN vocab b ON curr = b.word WHERE a.rank <> b.rank),
+near AS (
+  SELECT rank AS r, list({{'o': o, 'w': w}} ORDER BY o, back) FILTER (o IS NOT NULL) AS e
+  FROM vocab LEFT JOIN edge ON r = rank WHERE rank > {seeds} GROUP BY rank),
+placed AS (
+  SELECT {seeds}::BIGINT AS r, range(1, {seeds} + 1) AS cl
+  UNION ALL
+  SELECT r, list_append(cl, list_position(score, list_max(score))::BIGINT) AS cl FROM (
+    SELECT n.r, cl, list_transform(range(1, {seeds} + 1), lambda c: coalesce(list_sum(list_transform(list_filter(e, lambda x: cl[x.o] = c), lambda x: x.w)), 0.0)) AS score
+    FROM placed p JOIN near n ON n.r = p.r + 1))"""
+    )
+
+
 def _sql(ctes: str, select: str) -> str:
-    return f"WITH {ctes.strip()}\n{select}"
+    return f"WITH RECURSIVE {ctes.strip()}\n{select}"
 
 
 ORACLES = {
@@ -219,5 +262,38 @@ FROM morpheme m LEFT JOIN told t ON m.sid = t.sid AND m.ln = t.ln GROUP BY m.sid
     "headings_by_category": _sql(_HEADINGS, "SELECT category, article, heading FROM heading WHERE category IS NOT NULL AND heading IS NOT NULL"),
     "article_rejects": _sql(_HEADINGS, "SELECT article, CASE WHEN category IS NULL THEN 'category' ELSE 'heading' END AS reason FROM heading WHERE category IS NULL OR heading IS NULL"),
     "category_sizes": _sql(_HEADINGS, "SELECT category, count(*) AS n_articles FROM heading WHERE category IS NOT NULL AND heading IS NOT NULL GROUP BY category"),
+    "word_ranks": _sql(_COUNTS, "SELECT word, cnt, row_number() OVER (ORDER BY cnt DESC, word) AS rank FROM uni WHERE word NOT IN ('BOS', 'EOS')"),
+    "brown_clusters_top": _sql(
+        _greedy(1000, 64),
+        """SELECT word, cl[rank]::INTEGER AS cluster FROM vocab CROSS JOIN (SELECT cl FROM placed ORDER BY r DESC LIMIT 1)
+UNION ALL SELECT unnest(['BOS', 'EOS']), 0""",
+    ),
+    "phrase_opinions": _sql(_PHRASES, "SELECT * FROM told"),
+    "phrase_overlap": _sql(_PHRASES_ON_WORDS, "SELECT * FROM covered"),
+    "phrase_labels": _sql(
+        _PHRASES_ON_WORDS,
+        """, start_ AS (SELECT sid, idx, min(ln) AS ln FROM covered GROUP BY sid, idx),
+label AS (
+  SELECT f.sid, f.ln, f.idx, type || '[' || target || ']' || CASE WHEN holder = '[著者]' THEN '' ELSE ':' || holder END AS label
+  FROM start_ f JOIN told o ON f.sid = o.sid AND f.idx = o.idx)
+SELECT m.sid, chunk_id, coalesce(string_agg(label, ', ' ORDER BY m.ln, idx), '') AS labels, count(label) > 0 AS with_sentiment
+FROM morpheme m LEFT JOIN label t ON m.sid = t.sid AND m.ln = t.ln GROUP BY m.sid, chunk_id""",
+    ),
+    "reannotated_opinions": _sql(
+        _PHRASES_ON_WORDS,
+        """, gone AS (SELECT doc_id::VARCHAR AS sid FROM documents WHERE lang = 'fr')
+SELECT * FROM opinion WHERE sid NOT IN (SELECT sid FROM gone)
+UNION ALL SELECT * FROM told WHERE sid NOT IN (SELECT sid FROM opinion) AND sid NOT IN (SELECT sid FROM gone)""",
+    ),
+    "article_manifest": _sql(_PIECES, "SELECT article, count(*) AS n_sentences, 1::BIGINT AS n_files FROM piece GROUP BY article"),
+    "corpus_files": _sql(
+        _PIECES,
+        """SELECT article || '-1-1-01' AS sid, string_agg(array_to_string(w, ''), '' ORDER BY sent_no, sub_no) AS text, count(*) AS n_pieces
+FROM piece GROUP BY article""",
+    ),
+    "reject_counts": _sql(
+        _PIECES,
+        """SELECT unnest(['lines', 'chunk', 'link', 'entity']) AS what, unnest([count(*), 0, count(*) FILTER (length(linked) % 11 = 0), 0])::BIGINT AS n FROM chunk""",
+    ),
     "sentence_order": _sql(_PIECES, "SELECT article, sid, sent_no, row_number() OVER (PARTITION BY article ORDER BY sent_no, sid)::INTEGER AS place FROM piece"),
 }

@@ -1,6 +1,9 @@
 """All registered queries by name; each runs over whole tables."""
 
-from pyspark.sql import DataFrame, SparkSession
+import sys
+import uuid
+
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from textclusters.functions.annotation import chunk_label
@@ -104,6 +107,16 @@ def brown_cluster_sizes(spark, sf_dir):
     return brown.cluster_sizes(brown_clusters(spark, sf_dir))
 
 
+def brown_clusters_top(spark, sf_dir):
+    """Greedy clusters of the thousand most frequent words."""
+    return brown.brown_cluster(_sentences(spark, sf_dir), 64, MIN_FREQ, 1000, block=300)
+
+
+def word_ranks(spark, sf_dir):
+    """All words by rank."""
+    return counts.word_ranks(unigram_counts(spark, sf_dir).where(~F.col("word").isin(counts.BOS, counts.EOS)))
+
+
 def cluster_sizes(spark, sf_dir):
     """Words in each cluster of the seed assignment."""
     return brown.cluster_sizes(seed_assignment(spark, sf_dir))
@@ -148,6 +161,34 @@ def rejects(spark, sf_dir):
     return annotated.parse_annotated(broken).rejects.select("sid", "ln", "reason")
 
 
+def reject_counts(spark, sf_dir):
+    """Chunk lines, and those that can't be parsed by reason, counted while the chunks are written."""
+    watch = Observation()
+    parsed = annotated.parse_annotated(adapters.annotated(_documents(spark, sf_dir), broken=True), watch=watch)
+    parsed.chunks.write.parquet(corpus.scratch(spark))
+    counted = annotated.check_rejects(watch, limit=sys.maxsize)
+    return spark.createDataFrame(list(counted.items()), "what string, n long")
+
+
+def corpus_files(spark, sf_dir):
+    """Text of the annotated sentences of every document, written as a small file each and read back by few tasks."""
+    raw = annotated.sentence_table(_raw(spark, sf_dir)).select("sid", "article", "sent_no", "sub_no").join(_raw(spark, sf_dir), "sid")
+    # The sentences of one document.
+    files = raw.groupBy("article").agg(F.array_sort(F.collect_list(F.struct("sent_no", "sub_no", "value"))).alias("x"))
+    path = corpus.scratch(spark)
+    corpus.write_corpus(files.select(F.concat("article", F.lit("-1-1-01")).alias("sid"), F.array_join(F.transform("x", lambda e: e["value"]), "").alias("value")), path)
+    read = corpus.read_corpus(spark, path, "part-*", folder_names=True)
+    return annotated.sentence_table(read).select("sid", "text").join(annotated.lines(read).where("kind = 'header'").groupBy("sid").agg(F.count("*").alias("n_pieces")), "sid")
+
+
+def article_manifest(spark, sf_dir):
+    """Sentences of every article and the files that they are written to."""
+    path = corpus.scratch(spark)
+    corpus.write_by_article(sentence_table(spark, sf_dir), path, rows_per_file=5000)
+    held = corpus.read_manifest(spark, path).groupBy("article")
+    return held.agg(F.sum("rows").alias("n_sentences"), F.count("*").alias("n_files"))
+
+
 def line_kinds(spark, sf_dir):
     """Lines of each kind in every annotated sentence."""
     rows = annotated.lines(_raw(spark, sf_dir)).groupBy("sid", "kind").agg(F.count("*").alias("n_lines"))
@@ -246,6 +287,37 @@ def _opinions(spark, sf_dir):
     return _documents(spark, sf_dir), opinions.locate_opinions(_opinion_rows(spark, sf_dir))
 
 
+def _phrases(spark, sf_dir) -> DataFrame:
+    return opinions.locate_opinions(adapters.phrase_rows(_documents(spark, sf_dir)))[0]
+
+
+def phrase_opinions(spark, sf_dir):
+    """Opinions on phrases of every document, many to a row and overlapping each other."""
+    return _phrases(spark, sf_dir)
+
+
+def phrase_overlap(spark, sf_dir):
+    """Morphemes inside the spans of phrases, with the lowest span's number."""
+    return opinions.overlaps(adapters.document_morphemes(_documents(spark, sf_dir)), _phrases(spark, sf_dir))
+
+
+def phrase_labels(spark, sf_dir):
+    """Labels of every chunk of every document by the opinions on phrases."""
+    return opinions.label_chunks(adapters.document_morphemes(_documents(spark, sf_dir)), _phrases(spark, sf_dir))
+
+
+def reannotated_opinions(spark, sf_dir):
+    """A store of opinions on phrases, in which documents that hold passages are annotated anew, and those in French have none any more."""
+    documents, (found, _) = _opinions(spark, sf_dir)
+    store = corpus.OpinionStore(spark, f"opinions_{uuid.uuid4().hex}", buckets=8)
+    store.put(_phrases(spark, sf_dir))
+    store.put(found)
+    store.put(found.limit(0), documents.where("lang = 'fr'").select(F.col("doc_id").cast("string").alias("sid")))
+    rows = corpus.kept(store.read())
+    store.drop()
+    return rows
+
+
 def stored_opinions(spark, sf_dir):
     """Located opinions, written to a store and read back."""
     path = corpus.scratch(spark)
@@ -334,10 +406,10 @@ QUERIES = {
     f.__name__: f
     for f in (
         (bigram_counts, unigram_counts, bigram_counts_by_group, vocabulary, filtered_bigrams, filtered_unigrams, bigram_mass)
-        + (weighted_pmi, seed_clusters, seed_affinity, seed_assignment, brown_clusters, brown_clusters_by_group, brown_cluster_sizes)
-        + (cluster_sizes, cluster_mass, cluster_lookup, stored_clusters, gold_path_bigrams, rejects, line_kinds, chunks, morphemes, morpheme_display, case_links, entities)
+        + (weighted_pmi, seed_clusters, seed_affinity, seed_assignment, brown_clusters, brown_clusters_top, brown_clusters_by_group, brown_cluster_sizes, word_ranks)
+        + (cluster_sizes, cluster_mass, cluster_lookup, stored_clusters, gold_path_bigrams, rejects, reject_counts, corpus_files, article_manifest, line_kinds, chunks, morphemes, morpheme_display, case_links, entities)
         + (sentence_table, chunk_text, output_rows, sentence_text, plain_text, children, dependency_edges, chunk_counts, grid_cells, grid_rows, line_grid_cells)
-        + (opinion_spans, stored_opinions, opinion_files, sentence_opinions, opinion_overlap, marked_morphemes, morpheme_offsets, chunk_opinions)
+        + (phrase_opinions, phrase_overlap, phrase_labels, reannotated_opinions, opinion_spans, stored_opinions, opinion_files, sentence_opinions, opinion_overlap, marked_morphemes, morpheme_offsets, chunk_opinions)
         + (article_categories, article_headings, article_rejects, headings_by_category, category_sizes, sentence_order)
     )
 }
