@@ -21,11 +21,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from textclusters.llm.shared import SPACE, map_batches, stored, texts_of
+from textclusters.llm.shared import map_batches, stored, texts_of
 
 #: Periods that a run must hold, and words.
 PERIODS, LEAST = 4, 6
@@ -148,38 +149,44 @@ def _solve_whole(batch: pa.RecordBatch) -> pa.RecordBatch:
     return _output(batch, words, [_as_runs(own) for own in runs])
 
 
-def tiles(long: DataFrame) -> DataFrame:
-    """(key, low, high, start, first, core, words) of long(key, text, ...): a row for each tile, with its other columns.
+def _tiles(n: int) -> Iterator[tuple[int, int, int, int, int, int]]:
+    """(low, high, start, first, core, end) of the tiles of n words.
 
     Tiles of octave k have boundaries in 16 * 2^k words (CORE, for all up to SHORT_OCTAVE),
     2^k words before the first and 5 * 2^k after the last.
     """
-    words = F.filter(F.split("text", SPACE), lambda w: w != "")
-    other = [c for c in long.columns if c != "text"]
-    counted = long.select(*other, words.alias("words")).withColumn("n", F.size("words"))
-    size = lambda k: F.call_function("shiftleft", F.lit(1), k)
+    for k in range(SHORT_OCTAVE, max(SHORT_OCTAVE, _octave(n)) + 1):
+        core, s = CORE if k == SHORT_OCTAVE else 16 << k, 1 << k
+        for begin in range(0, n, core):
+            start = max(begin - s, 0)
+            yield 0 if k == SHORT_OCTAVE else k, k, start, begin - start, core, min(begin + core + 5 * s, n)
+
 
-    def of_octave(k):
-        core, s = F.when(k == SHORT_OCTAVE, F.lit(CORE)).otherwise(16 * size(k)), size(k)
+_TILE = pa.schema([("key", pa.string()), *((name, pa.int64()) for name in ("deal", "low", "high", "start", "first", "core")), ("text", pa.string())])
 
-        def tile(t):
-            begin = t * core
-            start = F.greatest(begin - s, F.lit(0))
-            own = F.slice("words", start + 1, begin - start + core + 5 * s)
-            return F.struct(F.when(k == SHORT_OCTAVE, F.lit(0)).otherwise(k).alias("low"), k.alias("high"), start.alias("start"), (begin - start).alias("first"), core.alias("core"), own.alias("words"))
 
-        return F.transform(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / core).cast("int")), tile)
+def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for key, doc_id, text in zip(*(batch.column(name).to_pylist() for name in ("key", "doc_id", "text")), strict=True):
+            words = _words(text)
+            for low, high, start, first, core, end in _tiles(len(words)):
+                own = b" ".join(words[start:end]).decode("utf-8", "surrogatepass")
+                # By doc_id too, as copies of one text would meet in one task.
+                deal = xxhash.xxh64_intdigest(f"{key} {doc_id} {high} {start}") >> 1
+                yield pa.RecordBatch.from_pylist([{"key": key, "deal": deal, "low": low, "high": high, "start": start, "first": first, "core": core, "text": own}], _TILE)
 
-    last = F.greatest(F.lit(SHORT_OCTAVE), F.floor(F.log2(F.greatest(F.col("n"), F.lit(PERIODS)) / PERIODS) + 1e-9).cast("int"))
-    return counted.where("n > 0").select(*other, F.inline(F.flatten(F.transform(F.sequence(F.lit(SHORT_OCTAVE), last), of_octave))))
+
+def tiles(long: DataFrame) -> DataFrame:
+    """(key, deal, low, high, start, first, core, text) of long(key, doc_id, text): a row for each tile."""
+    return long.select("key", "doc_id", "text").mapInArrow(_explode, "key string, deal long, low long, high long, start long, first long, core long, text string")
 
 
 def _solve_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
         for row in batch.to_pylist():
-            known: dict[str, int] = {}
-            ids = np.array([known.setdefault(w, len(known)) for w in row["words"]], np.int64)
+            known: dict[bytes, int] = {}
+            ids = np.array([known.setdefault(w, len(known)) for w in _words(row["text"])], np.int64)
             for lo, hi, q in fragments(ids, row["low"], row["high"], row["first"], row["first"] + row["core"]):
                 rows.append((row["key"], q, lo + row["start"], hi + row["start"]))
         columns = list(zip(*rows, strict=True)) or [[]] * 4
@@ -214,8 +221,7 @@ def periodic_runs(docs: DataFrame) -> DataFrame:
     schema = f"doc_id long, n_words long, runs {RUN}, collapsed string"
     short = map_batches(docs.where(F.length("text") <= ONE_TILE), lambda: _solve_whole, schema)
     long = docs.where(F.length("text") > ONE_TILE).withColumn("key", F.sha2("text", 256))
-    # By doc_id too, as copies of one text would meet in one task.
-    dealt = tiles(long.select("doc_id", "key", "text")).repartition("key", "high", "start", "doc_id")
+    dealt = tiles(long).repartition("deal")
     runs = stored(stitched(dealt.mapInArrow(_solve_tiles, "key string, q long, lo long, hi long")))
 
     def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:

@@ -93,9 +93,9 @@ def _with_planted_periods(docs: DataFrame) -> DataFrame:
     n = F.size("w").cast("long")
     rows = docs.select("doc_id", "text", F.when(h % 10 == 0, words).otherwise(F.array().cast("array<string>")).alias("w"), g.alias("g"))
     rows = rows.withColumn("a", F.when(n > 0, F.col("g") % n)).withColumn("p", 1 + F.floor((n - F.col("a")) / (3 + F.col("g") % 8)).cast("long"))
-    a, p = F.col("a"), F.col("p")
-    place = lambda i: F.when(i < a, i).otherwise(a + (i - a) % p).cast("int")
-    planted = F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.get("w", place(i))), " ")
+    a, p = F.col("a").cast("int"), F.col("p").cast("int")
+    repeated = F.flatten(F.array_repeat(F.slice("w", a + 1, p), F.ceil((n - a) / p).cast("int")))
+    planted = F.array_join(F.concat(F.slice("w", F.lit(1), a), F.slice(repeated, F.lit(1), (n - a).cast("int"))), " ")
     return rows.select("doc_id", F.when(n > 0, planted).otherwise(F.col("text")).alias("text"))
 
 
