@@ -10,6 +10,7 @@ from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from tests.test_counts_and_clusters import greedy, paths
+from textclusters.functions import annotation
 from textclusters.operators import annotated, brown, counts, dependency, opinions
 from textclusters.plans import registry
 from textclusters.sources import corpus
@@ -26,7 +27,7 @@ def test_running_sums(spark):
     rng = random.Random(1)
     arrays = [[rng.randint(0, 9) for _ in range(n)] for n in (0, 1, 2, 31, 32, 33, 64, 1000, 40_000)]
     rows = spark.createDataFrame([(i, a) for i, a in enumerate(arrays)], "i int, a array<int>")
-    for r in rows.select("i", annotated.running_sums("a").alias("s")).collect():
+    for r in rows.select("i", annotation.running_sums("a").alias("s")).collect():
         want, total = [], 0
         for x in arrays[r.i]:
             want.append(total)

@@ -14,10 +14,6 @@ from pyspark.sql import functions as F
 from textclusters.functions import annotation as A
 
 
-#: Entries of a block of running sums at least.
-_BLOCK = 32
-
-
 def _lines(value: Column) -> Column:
     return F.split(F.regexp_replace(value, r"\n\z", ""), "\n")
 
@@ -28,24 +24,6 @@ def lines(raw: DataFrame) -> DataFrame:
     return each.withColumn("kind", A.line_kind(F.col("line")))
 
 
-def running_sums(values: str) -> Column:
-    """For each entry of an array column of ints the sum of those before it.
-
-    Two levels: blocks of entries, each summed from where the one before ended. Arrays
-    are appended to by copying, so n entries in blocks of the cube root of n cost n^(4/3)
-    copies instead of n^2. values must be a column's name, not an expression, which
-    would be made anew for each block.
-    """
-    n = F.size(values)
-    size = F.greatest(F.lit(_BLOCK), F.ceil(F.cbrt(n)).cast("int"))
-    blocks = F.transform(F.sequence(F.lit(0), F.floor(F.greatest(n - 1, F.lit(0)) / size).cast("int")), lambda b: F.slice(values, b * size + 1, size))
-    last = lambda sums: F.element_at(sums, -1)
-    summed = lambda block, start: F.aggregate(block, F.array(start), lambda sums, x: F.concat(sums, F.array(last(sums) + x)))
-    # Each block's sums end with that of all its entries, where the next block starts.
-    each = F.aggregate(blocks, F.array(F.array(F.lit(0))), lambda sums, block: F.concat(sums, F.array(summed(block, last(last(sums))))))
-    return F.flatten(F.transform(F.slice(each, F.lit(2), F.size(blocks)), lambda sums: F.slice(sums, F.lit(1), F.size(sums) - 1)))
-
-
 @dataclass
 class Parsed:
     sentences: DataFrame
@@ -76,7 +54,7 @@ def _chunk_parts(raw: DataFrame) -> DataFrame:
     told = lambda x: F.struct(x[0].alias("line"), A.links_of(x[0]).alias("links"), A.named_of(x[0]).alias("named"), _surfaces(x).alias("text"))
     parts = F.slice("own", F.col("ahead") + 1, F.greatest(F.size("own") - F.col("ahead"), F.lit(0)))
     found = _cut(raw).select("sid", "ahead", F.transform("own", F.size).alias("sizes"), F.transform(parts, told).alias("found"))
-    placed = found.select("sid", "found", F.slice(running_sums("sizes"), F.col("ahead") + 1, F.greatest(F.size("found"), F.lit(0))).alias("ln"))
+    placed = found.select("sid", "found", F.slice(A.running_sums("sizes"), F.col("ahead") + 1, F.greatest(F.size("found"), F.lit(0))).alias("ln"))
     each = placed.select("sid", F.posexplode_outer(F.arrays_zip("found", "ln")).alias("chunk_id", "x")).where("chunk_id IS NOT NULL")
     each = each.select("sid", "chunk_id", "x.ln", "x.found.*")
     return each.withColumn("reason", A.malformed(F.col("line"), F.col("links"), F.col("named")))
@@ -85,12 +63,12 @@ def _chunk_parts(raw: DataFrame) -> DataFrame:
 def _morphemes(raw: DataFrame) -> DataFrame:
     """(sid, ln, chunk_id, line, surface, off_start) with the chunk's number and the character offset."""
     sized = _cut(raw).select("sid", "ahead", "own", F.transform("own", F.size).alias("sizes"), F.transform("own", lambda x: F.length(_surfaces(x))).alias("lengths"))
-    placed = sized.select("sid", "ahead", "own", running_sums("sizes").alias("ln"), running_sums("lengths").alias("off"))
+    placed = sized.select("sid", "ahead", "own", A.running_sums("sizes").alias("ln"), A.running_sums("lengths").alias("off"))
     parts = placed.select("sid", "ahead", F.posexplode_outer(F.arrays_zip("own", "ln", "off")).alias("part", "x")).where("part IS NOT NULL")
     parts = parts.select("sid", (F.col("part") - F.col("ahead")).alias("chunk_id"), "x.*")
     width = lambda line: F.when(A.line_kind(line) == "morpheme", F.length(_surface(line))).otherwise(0)
     within = parts.select("sid", "chunk_id", "ln", "off", "own", F.transform("own", width).alias("widths"))
-    within = within.select("sid", "chunk_id", "ln", "off", "own", running_sums("widths").alias("offs"))
+    within = within.select("sid", "chunk_id", "ln", "off", "own", A.running_sums("widths").alias("offs"))
     each = within.select("sid", "chunk_id", "ln", "off", F.posexplode_outer(F.arrays_zip("own", "offs")).alias("at", "y")).where("at IS NOT NULL")
     each = each.select("sid", (F.col("ln") + F.col("at")).alias("ln"), "chunk_id", F.col("y.own").alias("line"), (F.col("off") + F.col("y.offs")).alias("off_start"))
     return each.where(A.line_kind(F.col("line")) == "morpheme").withColumn("surface", _surface(F.col("line")))
