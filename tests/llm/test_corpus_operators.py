@@ -202,8 +202,31 @@ def test_scores_have_the_base_and_beat_it_on_held_out_texts(spark):
     assert len(out) > 40 and sum(r.score for r in out) > 0.93 * sum(r.base_score for r in out)
 
 
+def plain_spelling(docs):
+    """log10 of the probability of a word's bytes and its end, by dictionaries; of no bytes for the end of a text."""
+    pairs = Counter()
+    for i, t in docs:
+        if zlib.crc32(str(i).encode()) % 5 != 1:
+            for w in set(split(lower(t or ""))):
+                raw = b" " + w.encode() + b" "
+                pairs.update(zip(raw, raw[1:], strict=False))
+    after, own = Counter(), Counter()
+    for (a, b), n in pairs.items():
+        after[a] += n
+        own[b] += n
+    share = lambda b: (own[b] + 1) / (sum(own.values()) + 256)
+    one = lambda a, b: math.log10((pairs[a, b] + 8 * share(b)) / (after[a] + 8))
+
+    def spelled(word):
+        raw = b" " + (word.encode() if word != "\n" else b"") + b" "
+        return sum(one(a, b) for a, b in zip(raw, raw[1:], strict=False))
+
+    return spelled
+
+
 def plain_model(docs, block=1 << 15, twice=4):
     """The model by loops over dictionaries, for one chunk."""
+    spelled = plain_spelling(docs)
     held = lambda i: zlib.crc32(str(i).encode()) % 5 == 1
     docs = sorted((i, t or "") for i, t in docs)
     grams = lambda own: [[tuple(own[max(0, p - k) : p + 1]) if p >= k else ("<",) * (k - p) + tuple(own[: p + 1]) for k in range(3)] for p in range(len(own))]
@@ -229,7 +252,7 @@ def plain_model(docs, block=1 << 15, twice=4):
                     events[at].append((d, k, yes, slots, (past[0], often(of[2 if k == 0 else 1])), past[0], not held(i)))
                     if yes:
                         break
-            share[d] += math.log10(n[level - 1] / of[level - 1]) if level else 0
+            share[d] += math.log10(n[level - 1] / of[level - 1]) if level else spelled(x[0][0])
             levels.append(level)
             at += 1
     seen, weights, cells = Counter(), {}, Counter()
@@ -292,7 +315,7 @@ def test_blocks_are_predicted_by_those_before(monkeypatch):
     monkeypatch.setattr(lmscore, "TWICE", 2)
     docs = some_documents(60, random.Random(7))
     chunk, counts, total = chunk_of(docs)
-    got = dict(zip(chunk.ids, lmscore.log10_scores(chunk, counts, total), strict=True))
+    got = dict(zip(chunk.ids, lmscore.log10_scores(chunk, counts, total, chunk.pair_counts()), strict=True))
     assert got == {i: pytest.approx(x, rel=1e-9, abs=1e-9) for i, x in plain_model(docs, 64, 2).items()}
 
 
@@ -303,11 +326,22 @@ def test_scores_of_all_continuations_add_up_to_at_most_one():
     for start in ("", "a ", "b a ", "zzz "):
         asked = {next(free): start + w for w in ["", *words]}
         chunk, counts, total = chunk_of(docs + list(asked.items()))
-        got = dict(zip(chunk.ids, lmscore.log10_scores(chunk, counts, total), strict=True))
+        got = dict(zip(chunk.ids, lmscore.log10_scores(chunk, counts, total, chunk.pair_counts()), strict=True))
         # What follows start, its end included, against the text up to there.
         assert 0 < sum(10 ** got[i] for i in asked) <= 1 + 1e-9, start
 
 
+def test_random_letters_cost_more_than_words(spark):
+    rng = random.Random(12)
+    words = [f"{a}{b}{c}" for a in ("st", "br", "l", "m") for b in ("a", "e", "ou") for c in ("n", "rt", "ld")]
+    noise = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 7)))
+    docs = [(i, " ".join(rng.choice(words) if i % 10 else noise() for _ in range(200))) for i in range(300)]
+    got = {r.doc_id: r for r in lmscore.score(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    for held in (False, True):
+        bits = [[r.bits_per_byte for i, r in got.items() if r.held_out == held and bool(i % 10) == prose] for prose in (True, False)]
+        assert max(bits[0]) < 2 < min(bits[1]), held
+
+
 def test_documents_that_occur_twice_are_told_apart(spark):
     rng = random.Random(9)
     docs = [(i, " ".join(f"w{rng.randrange(300)}" for _ in range(80))) for i in range(150)]
