@@ -50,9 +50,11 @@ def test_components_equal_all_pairs(spark, planted):
     assert found(spark.createDataFrame(planted, "doc_id long, text string").repartition(3)) == components(planted)
 
 
-@pytest.mark.parametrize("depth", [2, 10])
-def test_crowded_nodes_are_branched_and_tiled(spark, planted, monkeypatch, depth):
+@pytest.mark.parametrize("depth", [1, 4])
+def test_crowded_nodes_are_branched_and_large_groups_led(spark, planted, monkeypatch, depth):
     monkeypatch.setattr(chosenpath, "LEAF", 8)
+    monkeypatch.setattr(chosenpath, "BLOCK", 8)
+    monkeypatch.setattr(chosenpath, "LEADERS", 3)
     monkeypatch.setattr(chosenpath, "DEPTH", depth)
     assert found(spark.createDataFrame(planted, "doc_id long, text string")) == components(planted)
 

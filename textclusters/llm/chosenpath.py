@@ -9,14 +9,16 @@ meets in one child on average, and lesser pairs are parted. Nodes of few sets ar
 and are not branched; independent trees are grown until the chance that a pair shares a
 leaf of none is small (survival(), trees_for()).
 
-The members of a leaf are compared exhaustively, in two passes. First by their sketches,
-a byte of each token: what comes near links, as a spanning forest of the leaf, so that
-no group of any size gives all its pairs. This joins all sets that could be linked, and
-more. Then the whole shingle sets are compared within what was joined: a joined group of
-few sets is one block, and a large one has its leaves as blocks. Confirmed links leave a
-block as a spanning forest too. A node that does not become a leaf within DEPTH levels
-holds sets that agree in so many tokens that they are joined without sketches; its
-blocks are pairs of tiles.
+What shares a leaf is compared exhaustively, in two passes. First the members of a leaf by
+their sketches, a byte of each token: what comes near links, as a spanning forest, so
+that no group gives all its pairs. A node that is no leaf at DEPTH holds sets that agree
+in so many tokens that they are joined as they are. This joins all sets that could be
+linked, and more. Then the whole shingle sets are compared within what was joined. A
+joined group of few sets is one block. In a large one, LEADERS sets are compared with the
+others first, each with those whose sketches are nearest to its own, which links most of
+the group; who is then left outside its largest component is compared with the whole
+group, in blocks of a tile of the ones and a tile of the others. Confirmed links leave a
+block as a spanning forest too.
 """
 
 import math
@@ -27,6 +29,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from textclusters.llm.components import connected_components, spanning_links
 from textclusters.llm.shared import discard, map_batches, stored, texts_of
@@ -37,9 +40,9 @@ WORDS, PERCENT = 2, 80
 #: Minwise tokens of a set; standard deviations below the wanted similarity from which sketches count as near (one pair in 300,000 falls short).
 COORDINATES, DEVIATIONS = 128, 4.5
 #: Levels of a tree, and the share of pairs of the wanted similarity, alone in the corpus, that share a leaf even at that depth.
-DEPTH, RECALL = 10, 0.995
-#: Sets in a leaf or block, and shingles of these together, at most; one larger set aside.
-LEAF, WEIGHT = 256, 4_000_000
+DEPTH, RECALL = 3, 0.9999
+#: Sets in a leaf; sets in a block, and their shingles together, at most, one larger set aside; sets of a large group that are compared with its others.
+LEAF, BLOCK, WEIGHT, LEADERS = 1024, 256, 4_000_000, 16
 #: Shingles whose tokens are made at a time; shared shingles that are multiplied at a time.
 _PIECE, _COLUMNS = 1 << 12, 4096
 Keep = Callable[[DataFrame], DataFrame]
@@ -221,50 +224,79 @@ def _children(similarity: float) -> Column:
     return F.when(draw(3) < int((1 / similarity - 1) * (1 << 20)), F.array(child(first), child(second))).otherwise(F.array(child(first)))
 
 
-def _grown(each: DataFrame, similarity: float, keep: Keep) -> tuple[list[DataFrame], list[DataFrame]]:
-    """(leaves, dense): tables of (node, key, members, shingles) of nodes with two members or more."""
-    placed, leaves, dense = each.select(F.explode("nodes").alias("node"), "key", "n"), [], []
-    crowded = (F.col("members") > LEAF) | (F.col("shingles") > WEIGHT)
+def _union(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for table in tables[1:]:
+        out = out.unionByName(table)
+    return out
+
+
+def _candidates(each: DataFrame, similarity: float, keep: Keep) -> DataFrame:
+    """(a, b): links of each(key, sketch, nodes) that join all sets that may be similar."""
+    least = similarity - DEVIATIONS * math.sqrt(similarity * (1 - similarity) / COORDINATES)
+    placed, leaves, joined = each.select(F.explode("nodes").alias("node"), "key"), [], []
     for depth in range(1, DEPTH + 1):
-        sizes = placed.groupBy("node").agg(F.count("*").alias("members"), F.sum("n").alias("shingles")).where("members > 1")
+        sizes = placed.groupBy("node").agg(F.count("*").alias("members"), F.min("key").alias("first")).where("members > 1")
         level = keep(placed.join(sizes, "node"))
-        leaves.append(level.where(~crowded).drop("n"))
-        many = level.where(crowded)
-        if many.isEmpty():
+        leaves.append(level.where(F.col("members") <= LEAF).select("node", "key"))
+        crowded = level.where(F.col("members") > LEAF)
+        if crowded.isEmpty():
             break
         if depth == DEPTH:
-            dense.append(many.drop("n"))
+            joined.append(crowded.select(F.col("key").alias("a"), F.col("first").alias("b")))
             break
-        placed = many.select("node", "key", "n").join(each.select("key", "sketch"), "key").select(F.explode(_children(similarity)).alias("node"), "key", "n")
-    return leaves, dense
+        placed = crowded.select("node", "key").join(each.select("key", "sketch"), "key").select(F.explode(_children(similarity)).alias("node"), "key")
+    near = _by_group(_union(leaves).join(each.select("key", "sketch"), "key"), "node", _near(least), "a long, b long")
+    return _union([near, *joined])
 
 
-def _union(tables: list[DataFrame]) -> DataFrame:
-    out = tables[0]
-    for table in tables[1:]:
-        out = out.unionByName(table)
-    return out
+def _tiles(members: DataFrame, group: str) -> DataFrame:
+    """members(group, key, n) with tile and tiles: so many of a group that two tiles make a block."""
+    sizes = members.groupBy(group).agg(F.count("*").alias("members"), F.sum("n").alias("shingles"))
+    tiles = F.greatest(F.ceil(F.col("members") * 2 / BLOCK), F.ceil(F.col("shingles") * 2 / WEIGHT), F.lit(1)).cast("int")
+    sized = members.join(sizes.select(group, tiles.alias("tiles")), group)
+    return sized.withColumn("tile", F.pmod(F.xxhash64("key"), F.col("tiles")).cast("int"))
 
 
-def _tiles(dense: DataFrame) -> DataFrame:
-    """(block, key) of crowded nodes: their members are dealt to tiles, and every two tiles are a block."""
-    count = F.greatest(F.ceil(F.col("members") / (LEAF // 2)), F.ceil(F.col("shingles") / (WEIGHT // 2))).cast("int")
-    own = dense.select("node", "key", count.alias("tiles"), F.pmod(F.xxhash64("key"), count).cast("int").alias("tile"))
-    met = own.select("node", "key", "tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
-    return met.select(F.xxhash64("node", F.least("tile", "other"), F.greatest("tile", "other")).alias("block"), "key")
+def _nearest(least: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(root, key, n, leader): the leader whose sketch is nearest to a set's own, if near; of itself, the next."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint8).reshape(-1, COORDINATES)
+            keys, leaders = batch.column("key").to_pylist(), batch.column("leaders").to_pylist()
+            found: list[int | None] = []
+            for key, sketch, listed in zip(keys, own, leaders, strict=True):
+                told = [(np.count_nonzero(sketch == np.frombuffer(x["sketch"], np.uint8)), x["key"]) for x in listed if x["key"] != key]
+                agree, leader = max(told, default=(0, None))
+                found.append(leader if agree >= least * COORDINATES else None)
+            yield pa.RecordBatch.from_arrays([batch.column("root"), batch.column("key"), batch.column("n"), pa.array(found, pa.int64())], names=["root", "key", "n", "leader"])
+
+    return run
+
+
+def _led(large: DataFrame, each: DataFrame, similarity: float) -> DataFrame:
+    """(block, key): the leaders of each large group, each with tiles of the sets that are nearest to it."""
+    place = F.row_number().over(Window.partitionBy("root").orderBy("key"))
+    sketched = large.join(each.select("key", "sketch"), "key")
+    # Keys are hashes, so the first ones are a draw; Spark keeps the first of each task before it shuffles a group.
+    leaders = sketched.withColumn("place", place).where(F.col("place") <= LEADERS).groupBy("root").agg(F.collect_list(F.struct("key", "sketch")).alias("leaders"))
+    least = similarity - DEVIATIONS * math.sqrt(similarity * (1 - similarity) / COORDINATES)
+    nearest = sketched.join(leaders, "root").select("root", "key", "n", "sketch", "leaders").mapInArrow(_nearest(least), "root long, key long, n long, leader long")
+    tiled = _tiles(nearest.where("leader IS NOT NULL").select("leader", "key", "n"), "leader").withColumn("block", F.xxhash64("leader", "tile"))
+    return tiled.select("block", "key").unionByName(tiled.select("block", F.col("leader").alias("key"))).distinct()
 
-def _blocks(each: DataFrame, leaves: DataFrame, dense: list[DataFrame], near: DataFrame, keep: Keep) -> DataFrame:
-    """(block, key): the sets that must be compared whole, each block of bounded size."""
-    roots = connected_components(near)
-    member = keep(roots.withColumnsRenamed({"node": "key"}).unionByName(roots.select(F.col("root").alias("key"), "root").distinct()).join(each.select("key", "n"), "key"))
-    sizes = member.groupBy("root").agg(F.count("*").alias("members"), F.sum("n").alias("shingles"))
-    large = keep(member.join(sizes.where((F.col("members") > LEAF) | (F.col("shingles") > WEIGHT)).select("root"), "root", "left_semi").select("key"))
-    blocks = member.join(sizes.where((F.col("members") <= LEAF) & (F.col("shingles") <= WEIGHT)).select("root"), "root", "left_semi").select(F.col("root").alias("block"), "key")
-    if large.isEmpty():
-        return blocks
-    blocks = blocks.unionByName(leaves.join(large, "key", "left_semi").select(F.col("node").alias("block"), "key"))
-    return blocks.unionByName(_tiles(_union(dense))) if dense else blocks
+
+def _outside(large: DataFrame, links: DataFrame) -> DataFrame:
+    """(block, key): who is outside the largest component of a large group, against the whole group."""
+    found = large.join(connected_components(links).withColumnsRenamed({"node": "key", "root": "part"}), "key", "left").withColumn("part", F.coalesce("part", "key"))
+    largest = found.groupBy("root", "part").agg(F.count("*").alias("members")).groupBy("root").agg(F.max_by("part", F.struct("members", "part")).alias("most"))
+    outside = _tiles(found.join(largest, "root").where("part <> most").select("root", "key", "n"), "root")
+    whole = _tiles(large, "root")
+    counts = lambda df, name: df.select("root", F.col("tiles").alias(name)).distinct()
+    rows = whole.join(counts(outside, "others"), "root").select("root", "key", F.col("tile").alias("i"), F.explode(F.sequence(F.lit(0), F.col("others") - 1)).alias("j"))
+    met = outside.join(counts(whole, "others"), "root").select("root", "key", F.explode(F.sequence(F.lit(0), F.col("others") - 1)).alias("i"), F.col("tile").alias("j"))
+    return rows.unionByName(met).select(F.xxhash64("root", "i", "j").alias("block"), "key").distinct()
 
 
 def similar_sets(docs: DataFrame, percent: int = PERCENT, width: int = WORDS, recall: float = RECALL) -> DataFrame:
@@ -278,7 +310,7 @@ def similar_sets(docs: DataFrame, percent: int = PERCENT, width: int = WORDS, re
     is kept where nothing else names it; rows that repeat a doc_id each get a row; other
     columns are ignored; no rows give none. Every pair that is not confirmed is not
     linked; of the pairs to be linked, each alone in the corpus is met with the recall
-    in the deepest leaves and nearly always in shallow ones.
+    at the full depth and nearly always above it.
     """
     similarity = percent / 100
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -292,17 +324,22 @@ def similar_sets(docs: DataFrame, percent: int = PERCENT, width: int = WORDS, re
         made.append(stored(df))
         return made[-1]
 
-    leaves, dense = _grown(each, similarity, keep)
-    every = _union(leaves)
-    least = similarity - DEVIATIONS * math.sqrt(similarity * (1 - similarity) / COORDINATES)
-    near = _by_group(every.select("node", "key").join(each.select("key", "sketch"), "key"), "node", _near(least), "a long, b long")
-    for table in dense:
-        star = table.groupBy("node").agg(F.min("key").alias("b"))
-        near = near.unionByName(table.join(star, "node").select(F.col("key").alias("a"), "b"))
-    blocks = keep(_blocks(each, every, dense, near, keep).join(each.select("key", "version"), "key"))
-    wanted = blocks.select("version").distinct()
-    texts = docs.join(wanted, "version", "left_semi").select("version", "text").dropDuplicates(["version"])
-    links = _by_group(blocks.join(texts, "version").select("block", "key", "text"), "block", _confirmed(percent, width), "a long, b long")
+    roots = connected_components(_candidates(each, similarity, keep))
+    members = keep(roots.withColumnRenamed("node", "key").unionByName(roots.select(F.col("root").alias("key"), "root").distinct()).join(each.select("key", "n"), "key"))
+    sizes = members.groupBy("root").agg(F.count("*").alias("members"), F.sum("n").alias("shingles"))
+    fits = (F.col("members") <= BLOCK) & (F.col("shingles") <= WEIGHT)
+    sized = keep(members.join(sizes, "root"))
+    large = sized.where(~fits).select("root", "key", "n")
+    some = keep(docs.join(members.join(each.select("key", "version"), "key").select("version").distinct(), "version", "left_semi").dropDuplicates(["version"]).select("version", "text"))
+
+    def compared(blocks: DataFrame) -> DataFrame:
+        named = blocks.join(each.select("key", "version"), "key").join(some, "version").select("block", "key", "text")
+        return keep(_by_group(named, "block", _confirmed(percent, width), "a long, b long"))
+
+    links = compared(sized.where(fits).select(F.col("root").alias("block"), "key"))
+    if not large.isEmpty():
+        led = compared(_led(large, each, similarity))
+        links = _union([links, led, compared(_outside(large, led))])
     roots = connected_components(links)
     discard(*made)
     rooted = each.join(roots.withColumnRenamed("node", "key"), "key", "left").select("key", "named", F.coalesce("root", "key").alias("root"))
