@@ -273,7 +273,8 @@ def search(index: DataFrame, items: DataFrame, k: int = 20) -> DataFrame:
     for block in _query_blocks(items):
         words = sorted({t for _, terms in block for t in terms})
         wanted = spark.createDataFrame([(w,) for w in words], "term string")
-        lists = stored(index.join(wanted, "term", "left_semi"))
+        # The terms of a block of bounded size.
+        lists = stored(index.join(F.broadcast(wanted), "term", "left_semi"))
         df = lists.groupBy("term").agg(F.sum("n_docs").alias("df")).crossJoin(F.broadcast(totals))
         weights = df.select("term", F.floor(1000 * F.log((2 * F.col("total_docs") + 2) / (2 * F.col("df") + 1))).cast("long").alias("w"))
         weighted = lists.join(weights, "term").select(*index.columns, F.lit(None).cast("long").alias("total_docs"), F.lit(None).cast("long").alias("total_terms"), "w")
