@@ -191,7 +191,7 @@ ORACLES = {
     "bigram_counts_by_group": _sql(_COUNTS, "SELECT grp, prev, curr, count(*) AS cnt FROM pair GROUP BY ALL"),
     "vocabulary": _sql(_VOCAB, "SELECT word, cnt, rank::INTEGER AS rank FROM vocab"),
     "filtered_bigrams": _sql(_VOCAB, "SELECT * FROM fbi"),
-    "filtered_unigrams": _sql(_VOCAB, "SELECT * FROM funi"),
+    "filtered_unigrams": _sql(_VOCAB.replace("known AS (", "known AS MATERIALIZED (").replace("uni AS (\n", "uni AS MATERIALIZED (\n", 1), "SELECT uni.word, uni.cnt FROM known JOIN uni USING (word)"),
     "bigram_mass": _sql(_VOCAB, "SELECT * FROM mass"),
     "weighted_pmi": _sql(_VOCAB, "SELECT prev, curr, cnt, round(wpmi, 6) AS wpmi FROM pmi"),
     "seed_clusters": _sql(_SEEDS, "SELECT * FROM seed"),
@@ -245,7 +245,7 @@ FROM cell GROUP BY sid, i""",
     "opinion_spans": _sql(_DOC_WORDS, "SELECT * FROM opinion"),
     "stored_opinions": _sql(_DOC_WORDS, "SELECT * FROM opinion"),
     "opinion_files": _sql(_DOC_WORDS, "SELECT * FROM opinion"),
-    "marked_morphemes": _sql(_DOC_WORDS, "SELECT sid, ln, idx, idx IS NOT NULL AS in_opinion FROM morpheme LEFT JOIN overlap USING (sid, ln)"),
+    "marked_morphemes": _sql(_DOC_WORDS.replace("morpheme AS (", "morpheme AS MATERIALIZED (").replace("opinion AS (", "opinion AS MATERIALIZED ("), "SELECT sid, ln, idx, idx IS NOT NULL AS in_opinion FROM morpheme LEFT JOIN overlap USING (sid, ln)"),
     "sentence_opinions": _sql(_DOC_WORDS, "SELECT d.doc_id::VARCHAR AS sid, count(o.idx) AS n_opinions FROM documents d LEFT JOIN opinion o ON o.sid = d.doc_id::VARCHAR GROUP BY d.doc_id"),
     "opinion_overlap": _sql(_DOC_WORDS, "SELECT * FROM overlap"),
     "chunk_opinions": _sql(
