@@ -207,7 +207,7 @@ def plain_spelling(docs):
     pairs = Counter()
     for i, t in docs:
         if zlib.crc32(str(i).encode()) % 5 != 1:
-            for w in set(split(lower(t or ""))):
+            for w in split(lower(t or "")):
                 raw = b" " + w.encode() + b" "
                 pairs.update(zip(raw, raw[1:], strict=False))
     after, own = Counter(), Counter()
