@@ -27,7 +27,7 @@ from pyspark.sql.window import Window
 from textclusters.llm.shared import lower_ascii, narrow, parts, stored
 
 #: Bytes of text in a shard, one longer document aside; postings in a block; bytes of queries that are searched for at a time.
-SHARD_BYTES, BLOCK, QUERY_BYTES = 16 << 20, 128, 4 << 20
+SHARD_BYTES, BLOCK, QUERY_BYTES = 10 << 20, 128, 4 << 20
 #: Documents of a shard that are ranked at first; each later stretch is twice as long.
 _STRETCH = 1024
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
