@@ -3,9 +3,11 @@
 import math
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tests.llm.test_corpus_operators import ODD_ROWS, ODD_SCHEMA, lower
@@ -96,3 +98,16 @@ def test_odd_rows(spark):
     assert got == [(0, 1, 3), (0, 2, 3), (0, 3, 0), (7, 1, 3), (7, 1, 4), (7, 2, 3), (7, 3, 0)]
     assert search.search(search.build_index(odd.limit(0)), items).count() == 0
     assert search.search(search.build_index(odd), items.limit(0)).count() == 0
+
+
+def test_making_a_shard_takes_few_bytes_for_a_term():
+    rng = np.random.default_rng(8)
+    texts = [" ".join(f"t{k}" for k in rng.integers(0, 20_000, 200)) for _ in range(1000)]
+    shard = search._Shard()
+    shard.add(pa.RecordBatch.from_pydict({"doc_id": list(range(1000)), "text": texts}))
+    tracemalloc.start()
+    try:
+        assert sum(x.num_rows for x in shard.rows(0)) == 1 + len(shard.known)
+        assert tracemalloc.get_traced_memory()[1] < 140 * 200_000
+    finally:
+        tracemalloc.stop()

@@ -41,10 +41,10 @@ K1, LENGTH_SHARE, UNIT = 12, 25, 1_000_000_000
 
 def packed(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, where the bytes of each value end): seven bits a byte, the last below 128."""
-    size = np.ones(len(values), np.int64)
+    size = np.ones(len(values), np.uint8)
     for bits in range(7, 63, 7):
         size += values >= 1 << bits
-    ends = np.cumsum(size)
+    ends = np.cumsum(size, dtype=np.int64)
     out = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint8)
     for place in range(int(size.max(initial=0))):
         has = size > place
@@ -86,7 +86,7 @@ class _Shard:
             own = text.encode("utf-8", "surrogatepass").translate(_SEEN).split() if text else []
             numbers += [known.setdefault(w, len(known)) for w in own]
             self.lengths.append(len(own))
-            self.size += len(text or "")
+        self.size += part.nbytes
         self.terms.append(np.array(numbers, np.int32))
         self.doc_ids += part.column("doc_id").to_pylist()
 
@@ -95,25 +95,36 @@ class _Shard:
         # Documents are numbered by doc_id, those without one last.
         order = sorted(range(len(self.doc_ids)), key=lambda i: (self.doc_ids[i] is None, self.doc_ids[i]))
         lengths = np.array(self.lengths, np.int64)
-        number = np.empty(len(order), np.int64)
+        number = np.empty(len(order), np.int32)
         number[order] = np.arange(len(order))
-        owner = number[np.repeat(np.arange(len(lengths)), lengths)]
+        # In place, as workers of all cores share an executor's memory.
+        key = np.concatenate(self.terms, dtype=np.int64)
+        self.terms.clear()
+        key *= len(order)
+        key += np.repeat(number, lengths)
+        key.sort()
         lengths = lengths[order]
         head = {"shard": shard, "term": "", "n_docs": int(np.count_nonzero(lengths)), "doc_ids": [self.doc_ids[i] for i in order], "lengths": lengths}
         yield pa.RecordBatch.from_pylist([head], _FIELDS)
-        key, tf = np.unique(np.concatenate(self.terms).astype(np.int64) * len(order) + owner, return_counts=True)
         if not len(key):
             return
-        term, doc = key // len(order), key % len(order)
+        heads = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        tf = np.diff(heads, append=len(key)).astype(np.int32)
+        key = key[heads]
+        term, doc = (x.astype(np.int32) for x in np.divmod(key, len(order)))
+        del key, heads
         n_docs = np.bincount(term, minlength=len(self.known))
         first = np.cumsum(n_docs) - n_docs
-        place = np.arange(len(key)) - first[term]
-        block = np.flatnonzero(place % BLOCK == 0)
-        block_end = np.r_[block[1:], len(key)]
-        step = np.where(place % BLOCK == 0, doc, doc - np.r_[0, doc[:-1]])
-        data, ends = packed(np.stack([step, tf], axis=1).ravel())
+        begins = (np.arange(len(term)) - first[term]) % BLOCK == 0
+        block = np.flatnonzero(begins)
+        block_end = np.r_[block[1:], len(term)]
+        values = np.empty((len(term), 2), np.int32)
+        values[:, 0] = np.where(begins, doc, np.diff(doc, prepend=np.int32(0)))
+        values[:, 1] = tf
+        data, ends = packed(values.ravel())
         upto = np.r_[0, ends[2 * block_end - 1]]
-        of_term = np.searchsorted(block, np.r_[first, len(key)])
+        of_term = np.searchsorted(block, np.r_[first, len(term)])
+        del values, ends, begins, term
         start = upto[of_term]
         listed = lambda values, kind: pa.ListArray.from_arrays(pa.array(of_term, pa.int32()), pa.array(values, kind))
         n = len(self.known)
