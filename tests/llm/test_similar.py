@@ -92,3 +92,35 @@ def test_odd_rows(spark):
     kept = similar.drop_similar(odd)
     assert kept.columns == odd.columns and sorted((r.doc_id for r in kept.collect()), key=str) == sorted([1, 3, 4, None], key=str)
     assert similar.similar_documents(odd.limit(0)).count() == 0 and similar.drop_similar(odd.limit(0)).count() == 0
+
+
+def test_no_link_is_left_out_among_documents_with_much_in_common(spark):
+    """Pairs at the threshold that all share most of their words: blocks of bits lose some, and least members hide others."""
+    rng = random.Random(4)
+    fresh = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    common, docs = fresh(300), []
+    for _ in range(120):
+        own = fresh(100)
+        copy = list(own)
+        at = rng.randrange(60)
+        copy[at : at + 40] = fresh(40)
+        docs += [common + own, common + copy]
+    rng.shuffle(docs)
+    docs = [(i, " ".join(x)) for i, x in enumerate(docs)]
+    sets = [shingles(x) for _, x in docs]
+    root = roots((a, b) for a in range(len(docs)) for b in range(a + 1, len(docs)) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    assert sum(i != r for i, r in root.items()) == 120
+    got = {r.doc_id: r.component_id for r in similar.similar_documents(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {i: root.get(i, i) for i, _ in docs}
+
+
+def test_two_similar_sets_share_one_of_their_first_shingles():
+    rng = np.random.default_rng(5)
+    ranks = rng.permutation(1 << 16).astype(np.uint64)
+    for n in (1, 2, 4, 5, 9, 10, 50, 333):
+        least = similar.least_common(n, 0.8)
+        assert least - 1 < 0.8 * n <= least
+        a = rng.integers(1, 1 << 63, n).astype(np.uint64)
+        b = a[rng.permutation(n)[:least]]
+        first, ends = similar.first_shingles(np.concatenate([a, b]), np.array([0, n, n + least]), ranks, 0.8)
+        assert set(first[: ends[1]].tolist()) & set(first[ends[1] :].tolist())

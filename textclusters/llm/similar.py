@@ -10,10 +10,18 @@ threshold are zero, and each fingerprint goes to one anchor for each block. The
 a block follow from the number of fingerprints, so that an anchor has few members by
 chance, and the number of blocks from the wanted recall at the given similarity.
 
-At an anchor every member is compared with the least one, by all bits. Links within
-NEAR bits stand; those beyond, up to FAR bits, join what the former have not joined if
-the shingles themselves, compared exactly, are as similar as asked for. Groups of any
-size give one link for each member and block, never all pairs.
+At an anchor every member is compared with the least one, by all bits. Pairs within
+NEAR bits are links if their shingles, compared exactly, are as similar as asked for;
+then those beyond, up to FAR bits, that the former have not joined. Groups of any size
+give one pair for each member and block, never all pairs.
+
+What blocks of bits do not find by chance, members of crowded anchors that are not the
+least one, and pairs of more than FAR bits have an exact way: two sets of the similarity
+share one of the shingles that come first in each, under any common order. A set of n
+shingles has n - ceil(similarity * n) + 1 such ones, and in an order by rising frequency
+they are rare. Only sets of different components meet there, and a pair goes on to the
+comparison of all shingles if those that it shares among the first can still make it
+similar enough. So no link is left out.
 """
 
 import math
@@ -33,8 +41,8 @@ from textclusters.llm.shared import discard, map_batches, parts, stored, texts_o
 WORDS, SIMILARITY, RECALL = 5, 0.8, 0.95
 #: 64-bit words of a fingerprint; bits, of 256, within which links stand by themselves (an estimate of 0.91), and beyond which they are not looked at (0.68).
 LONGS, NEAR, FAR = 4, 24, 52
-#: Bits of a block at least, and beyond those that number all fingerprints.
-_LEAST, _SPARE = 24, 3
+#: Bits of a block at least, and beyond those that number all fingerprints; bits of a shingle's slot, whose count tells how rare it is.
+_LEAST, _SPARE, _SLOT_BITS = 24, 3, 16
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
 _NAMES = [f"f{k}" for k in range(LONGS)]
 
@@ -78,11 +86,14 @@ def shingle_hashes(texts: list[str], width: int) -> tuple[np.ndarray, np.ndarray
 def wide_fingerprints(texts: list[str], width: int = WORDS) -> np.ndarray:
     """Fingerprints of LONGS words each: a bit is set if over half of the text's distinct shingles have it."""
     hashes, owner = shingle_hashes(texts, width)
-    bounds = np.searchsorted(owner, np.arange(len(texts) + 1))
-    out = np.empty((len(texts), LONGS), np.uint64)
+    return _fingerprints(hashes, np.searchsorted(owner, np.arange(len(texts) + 1)))
+
+
+def _fingerprints(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    out = np.empty((len(bounds) - 1, LONGS), np.uint64)
     for k in range(LONGS):
         own = _mix(hashes ^ _ODD[k])
-        for i in range(len(texts)):
+        for i in range(len(out)):
             part = own[bounds[i] : bounds[i + 1]]
             # Columns of bits, counted in pieces so that a very long text needs little memory.
             ones = sum(np.unpackbits(part[j : j + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int32) for j in range(0, len(part), 65536))
@@ -90,6 +101,39 @@ def wide_fingerprints(texts: list[str], width: int = WORDS) -> np.ndarray:
     return out
 
 
+def least_common(n: int, similarity: float) -> int:
+    """Shingles that a set of n has in common with any set of the similarity, at least."""
+    return math.ceil(similarity * n - 1e-9)
+
+
+def first_shingles(hashes: np.ndarray, bounds: np.ndarray, ranks: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """(shingles that come first in each set, where those of each set end): one of them is shared by any two sets
+    of the similarity. The order is by the rank of a shingle's slot, then by the rest of its hash."""
+    rest = np.uint64(64 - _SLOT_BITS)
+    keys = ranks[(hashes >> rest).astype(np.int64)] << rest | hashes & np.uint64((1 << 64 - _SLOT_BITS) - 1)
+    own = [np.sort(keys[a:b])[: b - a - least_common(b - a, similarity) + 1] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+    return np.concatenate(own), np.cumsum([0, *map(len, own)])
+
+
+def _slot_ranks(docs: DataFrame, width: int) -> np.ndarray:
+    """The rank of each slot of shingles, by how many shingles of docs(text) it has; as many numbers for any corpus."""
+
+    def run(batches):
+        counts = np.zeros(1 << _SLOT_BITS, np.int64)
+        for part in (part for whole in batches for part in parts(whole)):
+            hashes, _ = shingle_hashes(texts_of(part), width)
+            counts += np.bincount((hashes >> np.uint64(64 - _SLOT_BITS)).astype(np.int64), minlength=len(counts))
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(counts[at])], names=["slot", "n"])
+
+    counts = np.zeros(1 << _SLOT_BITS, np.int64)
+    for row in docs.select("text").mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toLocalIterator():
+        counts[row.slot] = row.n
+    ranks = np.empty(len(counts), np.uint64)
+    ranks[np.argsort(counts, kind="stable")] = np.arange(len(counts))
+    return ranks
+
+
 def blocks_for(n: int, similarity: float, recall: float) -> list[list[int]]:
     """The masks of blocks: for each, the bits of all LONGS words that belong to it."""
     size = max(_LEAST, math.ceil(math.log2(n + 1)) + _SPARE)
@@ -122,14 +166,15 @@ def _candidates(each: DataFrame, similarity: float, recall: float) -> DataFrame:
     return found
 
 
-def _verified(docs: DataFrame, each: DataFrame, open_: DataFrame, similarity: float, width: int) -> DataFrame:
-    """The links of open_(a, b) whose texts have the similarity, shingle by shingle."""
-    named = each.select("node", "version")
-    pairs = open_.join(named.withColumnsRenamed({"node": "a", "version": "va"}), "a").join(named.withColumnsRenamed({"node": "b", "version": "vb"}), "b")
-    pairs = stored(pairs.select("a", "b", "va", "vb"))
-    wanted = pairs.select(F.explode(F.array("va", "vb")).alias("version")).distinct()
-    texts = stored(docs.join(wanted, "version", "left_semi").dropDuplicates(["version"]).select("version", "text"))
-    both = pairs.join(texts.withColumnsRenamed({"version": "va", "text": "text"}), "va").join(texts.withColumnsRenamed({"version": "vb", "text": "other"}), "vb").select("a", "b", "text", "other")
+def _texts(docs: DataFrame, each: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(node, text) of the nodes of pairs(a, b)."""
+    wanted = each.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi").select("node", "version")
+    return stored(docs.join(wanted, "version").dropDuplicates(["node"]).select("node", "text"))
+
+
+def _verified(texts: DataFrame, pairs: DataFrame, similarity: float, width: int) -> DataFrame:
+    """The pairs(a, b) whose texts have the similarity, shingle by shingle."""
+    both = pairs.select("a", "b").join(texts.withColumnRenamed("node", "a"), "a").join(texts.withColumnsRenamed({"node": "b", "text": "other"}), "b").select("a", "b", "text", "other")
 
     def run(batches):
         for batch in (part for whole in batches for part in parts(whole, 100)):
@@ -141,18 +186,37 @@ def _verified(docs: DataFrame, each: DataFrame, open_: DataFrame, similarity: fl
                 keep.append(common >= similarity * (n - common) - 1e-9)
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    found = stored(both.mapInArrow(run, "a long, b long"))
-    discard(pairs, texts)
-    return found
+    return stored(both.mapInArrow(run, "a long, b long"))
+
+
+def _left_out(each: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): all pairs of each(node, n, first) of different components of roots(node, root) that can have
+    the similarity, by what they share of their first shingles."""
+    rooted = each.join(roots, "node", "left").select("node", "n", F.coalesce("root", "node").alias("root"), "shingles")
+    placed = rooted.select("node", "root", F.explode("shingles").alias("shingle"))
+    # Most shingles are in one component only; one that is not may have many members, so its row is finished first.
+    several = stored(placed.groupBy("shingle").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("shingle"))
+    met = stored(placed.select("shingle", "node").join(several, "shingle", "left_semi"))
+    told = rooted.select("node", "n", "root", (F.col("n") - F.size("shingles")).alias("others"))
+    full = stored(met.join(told, "node"))
+    side = lambda name: full.select("shingle", *(F.col(c).alias(name + c) for c in ("node", "n", "root", "others")))
+    alike = F.least("an", "bn") >= similarity * F.greatest("an", "bn") - 1e-9
+    pairs = side("a").join(side("b"), "shingle").where((F.col("anode") < F.col("bnode")) & (F.col("aroot") != F.col("broot")) & alike)
+    # What is shared lies among the first of both, or after the first of one.
+    shared = pairs.groupBy(F.col("anode").alias("a"), F.col("bnode").alias("b")).agg(F.count("*").alias("met"), *(F.first(c).alias(c) for c in ("an", "bn", "aothers", "bothers")))
+    enough = F.col("met") + F.greatest("aothers", "bothers") >= similarity / (1 + similarity) * (F.col("an") + F.col("bn")) - 1e-9
+    out = stored(shared.where(enough).select("a", "b"))
+    discard(several, met, full)
+    return out
 
 
 def similar_documents(docs: DataFrame, similarity: float = SIMILARITY, width: int = WORDS, recall: float = RECALL) -> DataFrame:
     """(doc_id, component_id) for every row of docs(doc_id, text): the smallest doc_id
     that can be reached over links of documents whose sets of width-word shingles have
-    at least the similarity (found with the recall, for a pair alone; a pair in a group
-    has more ways to meet).
+    at least the similarity. All links count: the recall is that of the fingerprints'
+    blocks, and what they leave out is found by the rarest shingles of each set.
 
-    Texts with equal fingerprints are one. Null texts and texts without a word are alike;
+    Texts with equal sets are one. Null texts and texts without a word are alike;
     a text of fewer words than width is one shingle. A row without doc_id keeps its
     component and does not name it; rows that repeat a doc_id each get a row; other
     columns are ignored.
@@ -160,23 +224,37 @@ def similar_documents(docs: DataFrame, similarity: float = SIMILARITY, width: in
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     docs = docs.withColumn("version", F.xxhash64("text"))
 
+    ranks = _slot_ranks(docs, width)
+
     def make():
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            columns = [pa.array(c) for c in wide_fingerprints(texts_of(batch), width).view(np.int64).T]
-            return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("version"), *columns], names=["doc_id", "version", *_NAMES])
+            hashes, owner = shingle_hashes(texts_of(batch), width)
+            bounds = np.searchsorted(owner, np.arange(batch.num_rows + 1))
+            shingles, ends = first_shingles(hashes, bounds, ranks, similarity)
+            columns = [np.add.reduceat(_mix(hashes ^ _ODD[LONGS]), bounds[:-1]).view(np.int64), np.diff(bounds), *_fingerprints(hashes, bounds).view(np.int64).T]
+            listed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(shingles.view(np.int64)))
+            return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("version"), *map(pa.array, columns), listed], names=names)
 
         return work
 
-    rows = stored(map_batches(docs, make, ", ".join(["doc_id long", "version long", *(f"{f} long" for f in _NAMES)])).withColumn("node", F.xxhash64(*_NAMES)))
-    each = stored(rows.groupBy("node").agg(*(F.min(f).alias(f) for f in _NAMES), F.min("doc_id").alias("first"), F.min("version").alias("version")))
+    names = ["doc_id", "version", "node", "n", *_NAMES, "shingles"]
+    rows = stored(map_batches(docs, make, ", ".join(f"{c} {'array<long>' if c == 'shingles' else 'long'}" for c in names)))
+    # A node is a set: all but doc_id and version is the same in each of its rows.
+    each = stored(rows.groupBy("node").agg(*(F.min(c).alias(c) for c in ("n", *_NAMES)), F.min("doc_id").alias("first"), F.min("version").alias("version"), F.first("shingles").alias("shingles")))
     found = _candidates(each, similarity, recall)
-    sure = found.where(F.col("d") <= NEAR).select("a", "b")
+    texts = _texts(docs, each, found)
+    sure = _verified(texts, found.where(F.col("d") <= NEAR), similarity, width)
     roots = connected_components(sure)
     of = lambda name: roots.select(F.col("node").alias(name), F.col("root").alias("r" + name))
     apart = found.where(F.col("d") > NEAR).join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b"))
-    verified = _verified(docs, each, apart.select("a", "b"), similarity, width)
-    roots = connected_components(sure.unionByName(verified))
-    discard(found, verified)
+    more = _verified(texts, apart, similarity, width)
+    roots = connected_components(sure.unionByName(more))
+    left = _left_out(each, roots, similarity)
+    others = _texts(docs, each, left)
+    rest = _verified(others, left, similarity, width)
+    if not rest.isEmpty():
+        roots = connected_components(sure.unionByName(more).unionByName(rest))
+    discard(found, texts, sure, more, left, others, rest)
     rooted = each.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
     named = rooted.join(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("node", "component_id")
     out = stored(rows.join(named, "node").select("doc_id", "component_id"))
