@@ -124,3 +124,20 @@ def test_two_similar_sets_share_one_of_their_first_shingles():
         b = a[rng.permutation(n)[:least]]
         first, ends = similar.first_shingles(np.concatenate([a, b]), np.array([0, n, n + least]), ranks, 0.8)
         assert set(first[: ends[1]].tolist()) & set(first[ends[1] :].tolist())
+
+
+def test_edited_copies_that_do_not_link_are_not_paired(spark):
+    """A group of copies with an edit each, too short to link: a square of pairs before, none now."""
+    rng = random.Random(6)
+    base = [f"w{k}" for k in range(34)]
+    docs = [(i, " ".join([*base[:15], f"e{i}", *base[16:]])) for i in range(100)]
+    docs += [(100 + i, " ".join(f"x{rng.randrange(10**6)}" for _ in range(34))) for i in range(20)]
+    rows = spark.createDataFrame(docs, "doc_id long, text string")
+    ranks = similar._slot_ranks(rows, 5)
+    hashes, owner = similar.shingle_hashes([t for _, t in docs], 5)
+    bounds = np.searchsorted(owner, np.arange(len(docs) + 1))
+    first, ends = similar.first_shingles(hashes, bounds, ranks, 0.8)
+    each = spark.createDataFrame([(i, int(bounds[i + 1] - bounds[i]), first[ends[i] : ends[i + 1]].view(np.int64).tolist()) for i, _ in docs], "node long, n long, shingles array<long>")
+    none = spark.createDataFrame([], "node long, root long")
+    assert similar._meeting(each, none, 0.8).count() == 0 and similar._left_out(each, none, 0.8).count() == 0
+    assert all(r.doc_id == r.component_id for r in similar.similar_documents(rows).collect())

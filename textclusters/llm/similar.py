@@ -189,24 +189,37 @@ def _verified(texts: DataFrame, pairs: DataFrame, similarity: float, width: int)
     return stored(both.mapInArrow(run, "a long, b long"))
 
 
-def _left_out(each: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): all pairs of each(node, n, first) of different components of roots(node, root) that can have
-    the similarity, by what they share of their first shingles."""
+def _meeting(each: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): the pairs of each(node, n, shingles) of different components of roots(node, root) that share one
+    of their first shingles; all pairs of the similarity are among them."""
     rooted = each.join(roots, "node", "left").select("node", "n", F.coalesce("root", "node").alias("root"), "shingles")
-    placed = rooted.select("node", "root", F.explode("shingles").alias("shingle"))
+    # Two sets share at least this of both together. So fewer shingles are enough on the side of the smaller one: a
+    # group of copies, each with edits of its own, has only the rare shingles of its edits there.
+    few = F.col("n") - F.ceil(2 * similarity / (1 + similarity) * F.col("n") - 1e-9) + 1
+    placed = rooted.select("node", "root", few.alias("few"), F.posexplode("shingles").alias("at", "shingle")).select("shingle", "node", "root", (F.col("at") < F.col("few")).alias("early"))
     # Most shingles are in one component only; one that is not may have many members, so its row is finished first.
-    several = stored(placed.groupBy("shingle").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("shingle"))
-    met = stored(placed.select("shingle", "node").join(several, "shingle", "left_semi"))
-    told = rooted.select("node", "n", "root", (F.col("n") - F.size("shingles")).alias("others"))
-    full = stored(met.join(told, "node"))
-    side = lambda name: full.select("shingle", *(F.col(c).alias(name + c) for c in ("node", "n", "root", "others")))
-    alike = F.least("an", "bn") >= similarity * F.greatest("an", "bn") - 1e-9
-    pairs = side("a").join(side("b"), "shingle").where((F.col("anode") < F.col("bnode")) & (F.col("aroot") != F.col("broot")) & alike)
-    # What is shared lies among the first of both, or after the first of one.
-    shared = pairs.groupBy(F.col("anode").alias("a"), F.col("bnode").alias("b")).agg(F.count("*").alias("met"), *(F.first(c).alias(c) for c in ("an", "bn", "aothers", "bothers")))
-    enough = F.col("met") + F.greatest("aothers", "bothers") >= similarity / (1 + similarity) * (F.col("an") + F.col("bn")) - 1e-9
-    out = stored(shared.where(enough).select("a", "b"))
+    several = placed.groupBy("shingle").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.max("early").alias("early"))
+    several = stored(several.where("least < most AND early").select("shingle"))
+    met = stored(placed.select("shingle", "node", "early").join(several, "shingle", "left_semi"))
+    full = stored(met.join(rooted.select("node", "n", "root"), "node"))
+    side = lambda name: full.select("shingle", *(F.col(c).alias(name + c) for c in ("node", "n", "root", "early")))
+    smaller = (F.col("an") < F.col("bn")) | (F.col("an") == F.col("bn")) & (F.col("anode") < F.col("bnode"))
+    alike = F.col("an") >= similarity * F.col("bn") - 1e-9
+    pairs = side("a").where("aearly").join(side("b"), "shingle").where(smaller & (F.col("aroot") != F.col("broot")) & alike)
+    pairs = stored(pairs.select(F.col("anode").alias("a"), F.col("bnode").alias("b")).distinct())
     discard(several, met, full)
+    return pairs
+
+
+def _left_out(each: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): those of _meeting() that can have the similarity by all that they share of their first shingles."""
+    pairs = _meeting(each, roots, similarity)
+    own = lambda name: each.select(F.col("node").alias(name), F.col("n").alias(name + "n"), F.col("shingles").alias(name + "s"))
+    # What is shared lies among the first of both, or after the first of one.
+    others = F.greatest(F.col("an") - F.size("as"), F.col("bn") - F.size("bs"))
+    enough = F.size(F.array_intersect("as", "bs")) + others >= similarity / (1 + similarity) * (F.col("an") + F.col("bn")) - 1e-9
+    out = stored(pairs.join(own("a"), "a").join(own("b"), "b").where(enough).select("a", "b"))
+    discard(pairs)
     return out
 
 
