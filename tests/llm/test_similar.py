@@ -141,3 +141,20 @@ def test_edited_copies_that_do_not_link_are_not_paired(spark):
     none = spark.createDataFrame([], "node long, root long")
     assert similar._meeting(each, none, 0.8).count() == 0 and similar._left_out(each, none, 0.8).count() == 0
     assert all(r.doc_id == r.component_id for r in similar.similar_documents(rows).collect())
+
+
+def test_pairs_that_share_a_shingle_too_late_are_not_paired(spark):
+    """What comes after the one shingle that they share, in one of them, is too little."""
+    pair = lambda at: [(1, 100, list(range(1, 22))), (2, 100, [*range(100, 100 + at), 1, *range(200, 220 - at)])]
+    none = spark.createDataFrame([], "node long, root long")
+    met = lambda at: similar._meeting(spark.createDataFrame(pair(at), "node long, n long, shingles array<long>"), none, 0.8).collect()
+    # 89 of 100 must be shared.
+    assert [(r.a, r.b) for r in met(11)] == [(1, 2)] and met(12) == []
+
+
+def test_texts_are_filtered_before_they_are_joined(spark):
+    docs = spark.createDataFrame([(k, f"text {k}") for k in range(50)] + [(50, "text 3")], "version long, text string").selectExpr("(version % 50) * 1234567890123 - 7 AS version", "text")
+    docs = docs.where("text <> 'text 3' OR version = 3 * 1234567890123 - 7")
+    each = spark.createDataFrame([(100 + k, k * 1234567890123 - 7) for k in range(50)], "node long, version long")
+    pairs = spark.createDataFrame([(103, 104), (104, 149)], "a long, b long")
+    assert sorted(tuple(r) for r in similar._texts(docs, each, pairs).collect()) == [(103, "text 3"), (104, "text 4"), (149, "text 49")]

@@ -39,10 +39,12 @@ from textclusters.llm.shared import discard, map_batches, parts, stored, texts_o
 
 #: Words in a shingle; Jaccard similarity from which documents link; share of such pairs that meet at an anchor at least.
 WORDS, SIMILARITY, RECALL = 5, 0.8, 0.95
+#: Rows of a bucket of sets, about.
+BUCKET_ROWS = 8192
 #: 64-bit words of a fingerprint; bits, of 256, within which links stand by themselves (an estimate of 0.91), and beyond which they are not looked at (0.68).
 LONGS, NEAR, FAR = 4, 24, 52
-#: Bits of a block at least, and beyond those that number all fingerprints; bits of a shingle's slot, whose count tells how rare it is.
-_LEAST, _SPARE, _SLOT_BITS = 24, 3, 16
+#: Bits of a block at least, and beyond those that number all fingerprints; bits of a shingle's slot, whose count tells how rare it is; of the words of a filter of texts.
+_LEAST, _SPARE, _SLOT_BITS, _FILTER_BITS = 24, 3, 16, 16
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
 _NAMES = [f"f{k}" for k in range(LONGS)]
 
@@ -167,9 +169,18 @@ def _candidates(each: DataFrame, similarity: float, recall: float) -> DataFrame:
 
 
 def _texts(docs: DataFrame, each: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(node, text) of the nodes of pairs(a, b)."""
-    wanted = each.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi").select("node", "version")
-    return stored(docs.join(wanted, "version").dropDuplicates(["node"]).select("node", "text"))
+    """(node, text) of the nodes of pairs(a, b).
+
+    Few texts are wanted of many, so a filter of fixed size (64 bits in each of 2 ** _FILTER_BITS words) goes to all
+    tasks, and only the texts that pass it are shuffled. What passes by chance does not join.
+    """
+    wanted = stored(each.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi").select("node", "version"))
+    word, bit = F.col("version").bitwiseAND((1 << _FILTER_BITS) - 1), F.expr(f"shiftleft(1L, cast(pmod(shiftright(version, {_FILTER_BITS}), 64) AS int))")
+    words = wanted.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits"))
+    passed = docs.join(F.broadcast(words), word == F.col("word")).where(F.col("bits").bitwiseAND(bit) != 0).select("version", "text")
+    out = stored(passed.join(wanted, "version").dropDuplicates(["node"]).select("node", "text"))
+    discard(wanted)
+    return out
 
 
 def _verified(texts: DataFrame, pairs: DataFrame, similarity: float, width: int) -> DataFrame:
@@ -190,23 +201,28 @@ def _verified(texts: DataFrame, pairs: DataFrame, similarity: float, width: int)
 
 
 def _meeting(each: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): the pairs of each(node, n, shingles) of different components of roots(node, root) that share one
-    of their first shingles; all pairs of the similarity are among them."""
+    """(a, b): the pairs of each(node, n, shingles) of different components of roots(node, root) that share some
+    of their first shingles, and so many, and so early, that they can have the similarity; all pairs that have it are
+    among them."""
     rooted = each.join(roots, "node", "left").select("node", "n", F.coalesce("root", "node").alias("root"), "shingles")
     # Two sets share at least this of both together. So fewer shingles are enough on the side of the smaller one: a
     # group of copies, each with edits of its own, has only the rare shingles of its edits there.
     few = F.col("n") - F.ceil(2 * similarity / (1 + similarity) * F.col("n") - 1e-9) + 1
-    placed = rooted.select("node", "root", few.alias("few"), F.posexplode("shingles").alias("at", "shingle")).select("shingle", "node", "root", (F.col("at") < F.col("few")).alias("early"))
+    placed = rooted.select("node", "root", few.alias("few"), F.posexplode("shingles").alias("at", "shingle")).select("shingle", "node", "root", "at", (F.col("at") < F.col("few")).alias("early"))
     # Most shingles are in one component only; one that is not may have many members, so its row is finished first.
     several = placed.groupBy("shingle").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.max("early").alias("early"))
     several = stored(several.where("least < most AND early").select("shingle"))
-    met = stored(placed.select("shingle", "node", "early").join(several, "shingle", "left_semi"))
+    met = stored(placed.select("shingle", "node", "at", "early").join(several, "shingle", "left_semi"))
     full = stored(met.join(rooted.select("node", "n", "root"), "node"))
-    side = lambda name: full.select("shingle", *(F.col(c).alias(name + c) for c in ("node", "n", "root", "early")))
+    side = lambda name: full.select("shingle", *(F.col(c).alias(name + c) for c in ("node", "n", "root", "at", "early")))
     smaller = (F.col("an") < F.col("bn")) | (F.col("an") == F.col("bn")) & (F.col("anode") < F.col("bnode"))
     alike = F.col("an") >= similarity * F.col("bn") - 1e-9
     pairs = side("a").where("aearly").join(side("b"), "shingle").where(smaller & (F.col("aroot") != F.col("broot")) & alike)
-    pairs = stored(pairs.select(F.col("anode").alias("a"), F.col("bnode").alias("b")).distinct())
+    # All sets are in one order: what two share beyond these shingles comes after the last of them in both.
+    shared = pairs.groupBy(F.col("anode").alias("a"), F.col("bnode").alias("b")).agg(F.count("*").alias("shared"), *(F.max(c).alias(c) for c in ("an", "bn", "aat", "bat")))
+    after = F.least(F.col("an") - F.col("aat"), F.col("bn") - F.col("bat")) - 1
+    enough = F.col("shared") + after >= similarity / (1 + similarity) * (F.col("an") + F.col("bn")) - 1e-9
+    pairs = stored(shared.where(enough).select("a", "b"))
     discard(several, met, full)
     return pairs
 
@@ -253,7 +269,9 @@ def similar_documents(docs: DataFrame, similarity: float = SIMILARITY, width: in
     names = ["doc_id", "version", "node", "n", *_NAMES, "shingles"]
     rows = stored(map_batches(docs, make, ", ".join(f"{c} {'array<long>' if c == 'shingles' else 'long'}" for c in names)))
     # A node is a set: all but doc_id and version is the same in each of its rows.
-    each = stored(rows.groupBy("node").agg(*(F.min(c).alias(c) for c in ("n", *_NAMES)), F.min("doc_id").alias("first"), F.min("version").alias("version"), F.first("shingles").alias("shingles")))
+    # It is joined by node again and again, and so lies in buckets.
+    buckets = max(1, rows.count() // BUCKET_ROWS)
+    each = stored(rows.repartition(buckets, "node").groupBy("node").agg(*(F.min(c).alias(c) for c in ("n", *_NAMES)), F.min("doc_id").alias("first"), F.min("version").alias("version"), F.first("shingles").alias("shingles")), "node", buckets)
     found = _candidates(each, similarity, recall)
     texts = _texts(docs, each, found)
     sure = _verified(texts, found.where(F.col("d") <= NEAR), similarity, width)
