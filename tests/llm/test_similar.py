@@ -158,3 +158,46 @@ def test_texts_are_filtered_before_they_are_joined(spark):
     each = spark.createDataFrame([(100 + k, k * 1234567890123 - 7) for k in range(50)], "node long, version long")
     pairs = spark.createDataFrame([(103, 104), (104, 149)], "a long, b long")
     assert sorted(tuple(r) for r in similar._texts(docs, each, pairs).collect()) == [(103, "text 3"), (104, "text 4"), (149, "text 49")]
+
+
+def test_few_rows_are_shuffled_to_find_those_of_few_keys(spark):
+    """All rows that were exploded from shingles were shuffled for this join before."""
+    rows = spark.range(100_000).selectExpr("xxhash64(id) AS shingle", "id AS node")
+    keys = rows.where("node % 1000 = 7").select("shingle")
+    assert 100 <= similar._passing(rows, keys, "shingle").count() < 300
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        found = similar._of_keys(rows, keys, "shingle")
+        plan = found._jdf.queryExecution().sparkPlan().toString()
+        assert sorted(r.node for r in found.collect()) == list(range(7, 100_000, 1000))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    # The filter lies below the join that needs a shuffle.
+    assert plan.index("SortMergeJoin") < plan.index("BroadcastHashJoin")
+
+
+def test_joins_do_not_shuffle_texts_again(spark):
+    docs = spark.createDataFrame([(k, f"text {k}") for k in range(50)], "version long, text string")
+    each = spark.createDataFrame([(100 + k, k) for k in range(50)], "node long, version long")
+    pairs = spark.createDataFrame([(103, 104), (104, 149)], "a long, b long")
+    texts = similar._texts(docs, each, pairs)
+    plan = pairs.join(texts.hint("merge").withColumnRenamed("node", "a"), "a")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "SortMergeJoin" in plan
+
+
+def test_documents_that_stay_are_not_shuffled(spark):
+    """All documents were shuffled to leave out a few, where these were too many to be broadcast."""
+    docs = spark.createDataFrame([(k if k % 50 else None, f"t{k}") for k in range(2000)], "doc_id long, text string")
+    gone = spark.createDataFrame([(k,) for k in range(3, 2000, 100)], "doc_id long")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        kept = similar._without_keys(docs, gone, "doc_id")
+        plan = kept._jdf.queryExecution().sparkPlan().toString()
+        got = sorted(r.text for r in kept.collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert kept.columns == docs.columns and got == sorted(f"t{k}" for k in range(2000) if k % 50 == 0 or k % 100 != 3)
+    # The anti join has a filter below it.
+    assert plan.index("LeftAnti") < plan.rindex("BroadcastHashJoin")

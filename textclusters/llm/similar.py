@@ -30,7 +30,7 @@ import random
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -39,12 +39,12 @@ from textclusters.llm.shared import discard, map_batches, parts, stored, texts_o
 
 #: Words in a shingle; Jaccard similarity from which documents link; share of such pairs that meet at an anchor at least.
 WORDS, SIMILARITY, RECALL = 5, 0.8, 0.95
-#: Rows of a bucket of sets, about.
-BUCKET_ROWS = 8192
+#: Rows of a bucket of sets, about, and texts of a bucket.
+BUCKET_ROWS, BUCKET_TEXTS = 8192, 2048
 #: 64-bit words of a fingerprint; bits, of 256, within which links stand by themselves (an estimate of 0.91), and beyond which they are not looked at (0.68).
 LONGS, NEAR, FAR = 4, 24, 52
-#: Bits of a block at least, and beyond those that number all fingerprints; bits of a shingle's slot, whose count tells how rare it is; of the words of a filter of texts.
-_LEAST, _SPARE, _SLOT_BITS, _FILTER_BITS = 24, 3, 16, 16
+#: Bits of a block at least, and beyond those that number all fingerprints; bits of a shingle's slot, whose count tells how rare it is; of the number of a filter's words, at least and at most.
+_LEAST, _SPARE, _SLOT_BITS, _FILTER_BITS = 24, 3, 16, (16, 21)
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
 _NAMES = [f"f{k}" for k in range(LONGS)]
 
@@ -168,17 +168,44 @@ def _candidates(each: DataFrame, similarity: float, recall: float) -> DataFrame:
     return found
 
 
-def _texts(docs: DataFrame, each: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(node, text) of the nodes of pairs(a, b).
+def _filter(keys: DataFrame, key: str) -> tuple[DataFrame, Column, Column]:
+    """(words, a column that joins them to rows with a key, a column that tells if the key may be one of keys(key)).
 
-    Few texts are wanted of many, so a filter of fixed size (64 bits in each of 2 ** _FILTER_BITS words) goes to all
-    tasks, and only the texts that pass it are shuffled. What passes by chance does not join.
+    A filter of bounded size: words of 64 bits, one for four keys or so. It goes to all tasks, so that only the few rows
+    that pass it need be shuffled.
     """
+    least, most = _FILTER_BITS
+    size = min(most, max(least, (keys.count() // 4).bit_length()))
+    word, bit = F.col(key).bitwiseAND((1 << size) - 1), F.expr(f"shiftleft(1L, cast(pmod(shiftright({key}, {most}), 64) AS int))")
+    words = keys.groupBy(word.alias("_filter_word")).agg(F.bit_or(bit).alias("_filter_bits"))
+    return F.broadcast(words), word == F.col("_filter_word"), F.coalesce(F.col("_filter_bits").bitwiseAND(bit) != 0, F.lit(False))
+
+
+def _passing(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """The rows of df whose key is one of keys(key), and few others; no shuffle of df."""
+    words, on, passes = _filter(keys, key)
+    return df.join(words, on).where(passes).select(*df.columns)
+
+
+def _without_keys(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """The rows of df, null keys among them, whose key is none of keys(key); only those that may be one are shuffled."""
+    words, on, passes = _filter(keys, key)
+    marked, columns = df.join(words, on, "left"), [F.col(f"`{c}`") for c in df.columns]
+    return marked.where(~passes).select(*columns).unionByName(marked.where(passes).select(*columns).join(keys, key, "left_anti").select(*columns))
+
+
+def _of_keys(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """The rows of df whose key is one of the distinct keys(key); they are filtered before they are shuffled."""
+    # Not a semi join: Spark would put it below the filter.
+    return _passing(df, keys, key).join(keys, key).select(*df.columns)
+
+
+def _texts(docs: DataFrame, each: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(node, text) of the nodes of pairs(a, b), in buckets of nodes, so that joins do not shuffle texts again."""
     wanted = stored(each.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi").select("node", "version"))
-    word, bit = F.col("version").bitwiseAND((1 << _FILTER_BITS) - 1), F.expr(f"shiftleft(1L, cast(pmod(shiftright(version, {_FILTER_BITS}), 64) AS int))")
-    words = wanted.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits"))
-    passed = docs.join(F.broadcast(words), word == F.col("word")).where(F.col("bits").bitwiseAND(bit) != 0).select("version", "text")
-    out = stored(passed.join(wanted, "version").dropDuplicates(["node"]).select("node", "text"))
+    passed = _passing(docs.select("version", "text"), wanted, "version").dropDuplicates(["version"])
+    buckets = max(1, wanted.count() // BUCKET_TEXTS)
+    out = stored(passed.join(wanted, "version").select("node", "text").repartition(buckets, "node"), "node", buckets)
     discard(wanted)
     return out
 
@@ -208,12 +235,11 @@ def _meeting(each: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
     # Two sets share at least this of both together. So fewer shingles are enough on the side of the smaller one: a
     # group of copies, each with edits of its own, has only the rare shingles of its edits there.
     few = F.col("n") - F.ceil(2 * similarity / (1 + similarity) * F.col("n") - 1e-9) + 1
-    placed = rooted.select("node", "root", few.alias("few"), F.posexplode("shingles").alias("at", "shingle")).select("shingle", "node", "root", "at", (F.col("at") < F.col("few")).alias("early"))
+    placed = rooted.select("node", "n", "root", few.alias("few"), F.posexplode("shingles").alias("at", "shingle")).select("shingle", "node", "n", "root", "at", (F.col("at") < F.col("few")).alias("early"))
     # Most shingles are in one component only; one that is not may have many members, so its row is finished first.
     several = placed.groupBy("shingle").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.max("early").alias("early"))
     several = stored(several.where("least < most AND early").select("shingle"))
-    met = stored(placed.select("shingle", "node", "at", "early").join(several, "shingle", "left_semi"))
-    full = stored(met.join(rooted.select("node", "n", "root"), "node"))
+    full = stored(_of_keys(placed, several, "shingle"))
     side = lambda name: full.select("shingle", *(F.col(c).alias(name + c) for c in ("node", "n", "root", "at", "early")))
     smaller = (F.col("an") < F.col("bn")) | (F.col("an") == F.col("bn")) & (F.col("anode") < F.col("bnode"))
     alike = F.col("an") >= similarity * F.col("bn") - 1e-9
@@ -223,7 +249,7 @@ def _meeting(each: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
     after = F.least(F.col("an") - F.col("aat"), F.col("bn") - F.col("bat")) - 1
     enough = F.col("shared") + after >= similarity / (1 + similarity) * (F.col("an") + F.col("bn")) - 1e-9
     pairs = stored(shared.where(enough).select("a", "b"))
-    discard(several, met, full)
+    discard(several, full)
     return pairs
 
 
@@ -300,8 +326,8 @@ def drop_similar(docs: DataFrame, similarity: float = SIMILARITY, width: int = W
     Rows without doc_id stay. Where doc_ids repeat, rows that repeat both doc_id and
     text become one, and of rows with one doc_id and other texts all go if one does.
     """
-    gone = similar_documents(docs, similarity, width, recall).where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    gone = stored(similar_documents(docs, similarity, width, recall).where("doc_id <> component_id").select("doc_id").distinct())
+    kept = _without_keys(docs, gone, "doc_id")
     if docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
         return kept
     return kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id", "text"]).unionByName(kept.where("doc_id IS NULL"))
