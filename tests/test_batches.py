@@ -10,7 +10,7 @@ from textclusters.operators import annotated, dependency
 from textclusters.plans import registry
 
 #: Queries whose plan must not number or cut lines in lambdas, which are interpreted.
-LINEAR = ["chunks", "case_links", "morphemes", "morpheme_display", "reject_counts", "chunk_text", "children", "grid_rows", "grid_cells"]
+LINEAR = ["chunks", "case_links", "morphemes", "morpheme_display", "reject_counts", "chunk_text", "children", "grid_rows", "grid_cells", "line_grid_cells"]
 
 
 @pytest.mark.parametrize("name", LINEAR)
