@@ -6,11 +6,13 @@ import re
 import pytest
 
 from textclusters.functions import annotation as A
-from textclusters.operators import annotated, dependency
+from textclusters.operators import annotated, dependency, opinions
 from textclusters.plans import registry
 
 #: Queries whose plan must not number or cut lines in lambdas, which are interpreted.
-LINEAR = ["chunks", "case_links", "morphemes", "morpheme_display", "reject_counts", "chunk_text", "children", "grid_rows", "grid_cells", "line_grid_cells"]
+LINEAR = ["chunks", "case_links", "morphemes", "morpheme_display", "rejects", "chunk_text", "children", "grid_rows", "grid_cells", "line_grid_cells"]
+#: Queries in which words are shuffled once, packed.
+SHUFFLED_ONCE = ["phrase_labels"]
 
 
 @pytest.mark.parametrize("name", LINEAR)
@@ -85,3 +87,57 @@ def test_a_sentence_in_many_batches_is_one(spark):
     assert sorted(map(str, ((r[0], r[1], r[2]) for r in cells))) == sorted(map(str, (tuple(r) for r in counted)))
     # Sentences are packed before they are shuffled.
     assert plan.count("MapInArrow") == 2 and "Aggregate" not in plan
+
+
+OPINION = "sid string, idx int, holder string, expr string, start int, end int, type string, target string"
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_spans_of_repeated_and_odd_rows(spark, seed):
+    rng, words, spans = random.Random(seed), [], []
+    for sid in ("a", "b", "c", "d", None):
+        for _ in range(rng.choice([1, 1, 2])):
+            at = 0
+            for ln in range(rng.randint(1, 40)):
+                size = rng.choice([0, 1, 2, 9])
+                words.append((sid, ln, ln // 5, f"w{ln}", at, at + size - 1))
+                at += size
+        for idx in rng.sample(range(99), rng.choice([0, 3, 20])):
+            start = rng.randrange(60)
+            spans.append((sid, idx, rng.choice(["[著者]", "h", None]), "e", start, start + rng.choice([-1, 0, 3, 30]), rng.choice(["T", None]), "x"))
+    morphemes = spark.createDataFrame(words, "sid string, ln int, chunk_id int, surface string, off_start int, off_end int").repartition(3)
+    given = spark.createDataFrame(spans, OPINION).repartition(2)
+    least = {}
+    for sid, ln, _, _, a, b in words:
+        met = [s[1] for s in spans if sid is not None and s[0] == sid and a <= b and s[4] <= s[5] and s[5] >= a and s[4] <= b]
+        if met:
+            least[sid, ln] = min([*met, least.get((sid, ln), 99)])
+    first = {}
+    for (sid, ln), idx in least.items():
+        first[sid, idx] = min(ln, first.get((sid, idx), ln))
+    told = {(sid, ln): (idx, f"{kind or ''}[x]" + ("" if holder == "[著者]" else f":{holder}")) for sid, idx, holder, _, _, _, kind, _ in spans if holder and (ln := first.get((sid, idx))) is not None}
+    labels = {}
+    for sid, ln, chunk, *_ in words:
+        labels.setdefault((sid, chunk), []).extend([(ln, *told[sid, ln])] if (sid, ln) in told else [])
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+        got = {(r.sid, r.ln): r.idx for r in opinions.overlaps(morphemes, given).collect()}
+        chunks = {(r.sid, r.chunk_id): (r.labels, r.with_sentiment) for r in opinions.label_chunks(morphemes, given).collect()}
+        marked = opinions.marked_morphemes(morphemes, given)
+        marks = sorted(map(str, map(tuple, marked.select("sid", "ln", "chunk_id", "surface", "off_start", "off_end", "idx", "in_opinion").collect())))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert got == least
+    assert chunks == {k: (", ".join(x[2] for x in sorted(v)), bool(v)) for k, v in labels.items()}
+    assert marks == sorted(str((*w, least.get(w[:2]), w[:2] in least)) for w in words)
+
+
+@pytest.mark.parametrize("name", SHUFFLED_ONCE)
+def test_words_and_spans_meet_in_one_shuffle(spark, tmp_path, name):
+    spark.createDataFrame([(1, "a b\nc", "en", "s")], "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, "b c")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    plan = registry.QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    top = plan.split("Union")[0]
+    # Above the union of words and spans there is no join and no other shuffle.
+    assert top.count("RepartitionByExpression") == 1 and "Join" not in top and "Aggregate" not in top
