@@ -12,7 +12,7 @@ from textclusters.plans import registry
 #: Queries whose plan must not number or cut lines in lambdas, which are interpreted.
 LINEAR = ["chunks", "case_links", "morphemes", "morpheme_display", "rejects", "chunk_text", "children", "grid_rows", "grid_cells", "line_grid_cells"]
 #: Queries in which words are shuffled once, packed.
-SHUFFLED_ONCE = ["phrase_labels"]
+SHUFFLED_ONCE = ["phrase_labels", "phrase_overlap"]
 
 
 @pytest.mark.parametrize("name", LINEAR)
@@ -141,3 +141,11 @@ def test_words_and_spans_meet_in_one_shuffle(spark, tmp_path, name):
     top = plan.split("Union")[0]
     # Above the union of words and spans there is no join and no other shuffle.
     assert top.count("RepartitionByExpression") == 1 and "Join" not in top and "Aggregate" not in top
+
+
+def test_expressions_are_found_without_copies_of_their_sentence(spark):
+    rows = spark.createDataFrame([("s", "😀良い天気、良い", "a\\nb\\nc", "良い\\n天気\\nx\\ny", "T", "g\\n\\n")], "sid string, sent string, holder string, expr string, type string, target string")
+    good, bad = opinions.locate_opinions(rows)
+    assert sorted((r.idx, r.expr, r.start, r.end, r.type, r.target) for r in good.collect()) == [(0, "良い", 1, 2, "T", "g"), (1, "天気", 3, 4, None, None)]
+    assert [(r.idx, r.expr, r.reason) for r in bad.collect()] == [(2, "x", "not found")]
+    assert "Generate" not in good._jdf.queryExecution().optimizedPlan().toString()
