@@ -12,7 +12,7 @@ from textclusters.plans import registry
 #: Queries whose plan must not number or cut lines in lambdas, which are interpreted.
 LINEAR = ["chunks", "case_links", "morphemes", "morpheme_display", "rejects", "chunk_text", "children", "grid_rows", "grid_cells", "line_grid_cells"]
 #: Queries in which words are shuffled once, packed.
-SHUFFLED_ONCE = ["phrase_labels", "phrase_overlap", "marked_morphemes", "opinion_overlap"]
+SHUFFLED_ONCE = ["phrase_labels", "phrase_overlap", "marked_morphemes", "opinion_overlap", "chunk_opinions"]
 
 
 @pytest.mark.parametrize("name", LINEAR)
