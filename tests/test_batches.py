@@ -8,6 +8,7 @@ import pytest
 from textclusters.functions import annotation as A
 from textclusters.operators import annotated, dependency, opinions
 from textclusters.plans import registry
+from textclusters.sources import adapters
 
 #: Queries whose plan must not number or cut lines in lambdas, which are interpreted.
 LINEAR = ["chunks", "case_links", "morphemes", "morpheme_display", "rejects", "chunk_text", "children", "grid_rows", "grid_cells", "line_grid_cells"]
@@ -149,3 +150,12 @@ def test_expressions_are_found_without_copies_of_their_sentence(spark):
     assert sorted((r.idx, r.expr, r.start, r.end, r.type, r.target) for r in good.collect()) == [(0, "良い", 1, 2, "T", "g"), (1, "天気", 3, 4, None, None)]
     assert [(r.idx, r.expr, r.reason) for r in bad.collect()] == [(2, "x", "not found")]
     assert "Generate" not in good._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_documents_are_not_shuffled_to_find_passages(spark):
+    docs = spark.createDataFrame([(1, "a cat sat\non the mat", "en", "web"), (1, "the cat\nsat", "de", "src"), (None, "cat", "en", "x"), (3, "dog cats", "fr", None)], "doc_id long, text string, lang string, source string")
+    bench = spark.createDataFrame([(4, "cat sat\non the"), (2, "cat"), (2, "cat"), (6, "cat  sat"), (8, " \n"), (None, "cat")], "item_id long, text string")
+    rows = adapters.opinion_rows(docs, bench)
+    assert sorted((r.sid, r.expr, r.holder) for r in rows.collect()) == [("1", "cat", "[著者]"), ("1", r"cat\ncatsatonthe", r"[著者]\n[著者]"), ("3", "cat", "[著者]")]
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
