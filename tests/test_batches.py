@@ -8,7 +8,7 @@ import pytest
 from textclusters.functions import annotation as A
 from textclusters.operators import annotated, dependency, opinions
 from textclusters.plans import registry
-from textclusters.sources import adapters
+from textclusters.sources import adapters, corpus
 
 #: Queries whose plan must not number or cut lines in lambdas, which are interpreted.
 LINEAR = ["chunks", "case_links", "morphemes", "morpheme_display", "rejects", "chunk_text", "children", "grid_rows", "grid_cells", "line_grid_cells"]
@@ -159,3 +159,52 @@ def test_documents_are_not_shuffled_to_find_passages(spark):
     assert sorted((r.sid, r.expr, r.holder) for r in rows.collect()) == [("1", "cat", "[著者]"), ("1", r"cat\ncatsatonthe", r"[著者]\n[著者]"), ("3", "cat", "[著者]")]
     plan = rows._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Join" not in plan
+
+
+def test_sentences_are_made_once_to_be_written_by_article(spark, tmp_path):
+    made = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    rows = spark.createDataFrame([(f"A{i % 9}", i, f"A{i % 9}-{i}") for i in range(300)], "article string, sent_no int, sid string")
+    corpus.write_by_article(rows.mapInArrow(seen, rows.schema), str(tmp_path / "a"), rows_per_file=50)
+    assert made.value == 300 and spark.read.parquet(str(tmp_path / "a")).count() == 300
+
+
+def test_pages_are_put_in_order_by_one_shuffle(spark):
+    rng = random.Random(3)
+    chunks = spark.createDataFrame([(f"s{k:02}", i, "*+"[i % 2], i - 1) for k in rng.sample(range(40), 40) for i in range(k % 5 + 1)], "sid string, chunk_id int, kind string, parent int").repartition(3)
+    words = [(f"s{k:02}", i, 10 * i + j, f"w{j}\n") for k in range(40) for i in range(-1, k % 5 + 2) for j in range((k + i) % 3)]
+    pages = annotated.output_order(chunks, spark.createDataFrame(words, "sid string, chunk_id int, ln int, surface string").repartition(4))
+    held = {}
+    for sid, i, *word in words:
+        held.setdefault((sid, i), []).append(tuple(word))
+    want = [(f"s{k:02}", i, ln, "*+"[i % 2], i - 1, w) for k in range(40) for i in range(k % 5 + 1) for ln, w in held.get((f"s{k:02}", i), [(None, None)])]
+    assert list(map(tuple, pages.collect())) == want
+    plan = pages._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("RepartitionByExpression") == 1
+
+
+def test_small_files_are_compressed(spark, tmp_path):
+    path = str(tmp_path / "c")
+    corpus.write_corpus(spark.createDataFrame([("a", "x\ny\n"), ("c", "z")], "sid string, value string"), path)
+    assert sorted((r.sid, r.value) for r in corpus.read_corpus(spark, path, "part-*", folder_names=True).collect()) == [("a", "x\ny\n"), ("c", "z\n")]
+    assert len(list((tmp_path / "c").rglob("part-*.gz"))) == 2
+
+
+def test_files_of_an_article_are_put_together_without_a_shuffle_of_their_text(spark):
+    rng = random.Random(5)
+    rows = [(f"D{k}_1-1-{n}-0{m}", f"{k} {n} {m} {x}\n") for k in range(6) for x in range(1 + k % 2) for n, m in rng.sample([(n, m) for n in (1, 2, 10) for m in (1, 2)], 6)]
+    raw = spark.createDataFrame(rows, "sid string, value string").coalesce(1)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+        files = annotated.article_files(raw)
+        got = {r.article: r.value for r in files.collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert len(got) == 6 and "Exchange" not in files._jdf.queryExecution().executedPlan().toString()
+    assert got == {f"D{k}_1": "".join(f"{k} {n} {m} {x}\n" for n in (1, 2, 10) for m in (1, 2) for x in range(1 + k % 2)) for k in range(6)}
